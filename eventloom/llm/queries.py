@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, minhash_dedup, substring_dedup
+from . import (
+    byte_bpe,
+    decontaminate,
+    html_extract,
+    language_id,
+    line_dedup,
+    minhash_dedup,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    substring_dedup,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +31,19 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_run=3)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
@@ -29,6 +53,15 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents"), window=50, keep_text=False)
 
@@ -39,11 +72,64 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
+    "op10_html_extract": op10_html_extract,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Lines without white space at their ends; the windows of three; where each occurs first.
+_OP1 = """
+WITH lines AS (
+  SELECT doc_id, i AS no, list_extract(l, i) AS line, trim(list_extract(l, i), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare, len(l) AS n
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+), full_lines AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS p FROM lines WHERE bare <> ''
+), windows AS (
+  SELECT a.doc_id, a.p, a.bare AS x, b.bare AS y, c.bare AS z
+  FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.p = a.p + 1 JOIN full_lines c ON a.doc_id = c.doc_id AND c.p = a.p + 2
+), later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, p) AS nth FROM windows) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p + k AS p FROM later, (SELECT unnest([0, 1, 2]) AS k)
+), kept AS (
+  SELECT l.doc_id, l.no, l.line, g.p IS NOT NULL AS removed
+  FROM lines l LEFT JOIN full_lines f ON l.doc_id = f.doc_id AND l.no = f.no LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.p = g.p
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(removed::INT)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT removed), '')) AS kept_sha256
+FROM kept GROUP BY doc_id
+"""
+
+_OP2 = """
+WITH shingled AS (
+  SELECT kind, id, list_aggregate(w[i : i + k - 1], 'string_agg', ' ') AS s, k
+  FROM (
+    SELECT kind, id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+    FROM (
+      SELECT kind, id, w, CASE WHEN kind = 'item' THEN least(len(w), 5) ELSE 5 END AS k
+      FROM (
+        SELECT kind, id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), x -> x <> '') AS w
+        FROM (SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark)
+      )
+    ) WHERE len(w) >= k AND k > 0
+  )
+), sets AS (SELECT DISTINCT kind, id, s FROM shingled),
+sizes AS (SELECT id, count(*) AS n FROM sets WHERE kind = 'item' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, any_value(z.n)::BIGINT AS n_item, count(*)::BIGINT AS n_shared
+FROM sets i JOIN sets d ON i.s = d.s AND d.kind = 'doc' JOIN sizes z ON z.id = i.id
+WHERE i.kind = 'item' GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * any_value(z.n)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1, "op2_decontaminate": _OP2}
