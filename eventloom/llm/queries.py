@@ -120,7 +120,7 @@ WITH shingled AS (
     FROM (
       SELECT kind, id, w, CASE WHEN kind = 'item' THEN least(len(w), 5) ELSE 5 END AS k
       FROM (
-        SELECT kind, id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), x -> x <> '') AS w
+        SELECT kind, id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
         FROM (SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark)
       )
     ) WHERE len(w) >= k AND k > 0
