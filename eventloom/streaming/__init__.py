@@ -1,0 +1 @@
+"""Empty on purpose: the feature set covered here works on finished logs; nothing in it is defined on streams."""
