@@ -176,7 +176,7 @@ sr AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY name) - 1 AS row
 def _stats(s, d) -> DataFrame:
     path = L.scratch(s, "stats")
     A.stats_text(s, d).write.partitionBy("file").text(path)
-    files = s.read.option("wholetext", True).text(path)
+    files = s.read.text(path, wholetext=True)
     return S.stats_section(files.select(F.col("file").cast("string").alias("file"), "value"))
 
 
