@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -162,6 +163,36 @@ def fit(docs: DataFrame, may_learn: Column, *, sample_texts: int = SAMPLE_TEXTS,
     return Model({k: v for k, v in texts.items() if any(symbols(t).any() for t in v)}, sample_chars)
 
 
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of ``docs``, and ``lang_pred`` and ``score`` (these replace columns so named); see ``predict``.
+
+    Rows pass through the parser in batches with their other columns, so nothing is joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.drop("lang_pred", "score")
+    text = next(c for c in kept.columns if c.lower() == "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = _predicted(shared.value, batch.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, langs, scores], names=[*batch.schema.names, "lang_pred", "score"])
+
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return kept.mapInArrow(run, schema)
+
+
+def _predicted(known: Model, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+    langs, scores, at, total = [], [], 0, 0
+    for i, t in enumerate(texts):
+        total += len(t or "")
+        if total > 1_000_000 or i == len(texts) - 1:
+            a, b = known.predict([x or "" for x in texts[at : i + 1]])
+            langs += a
+            scores += b
+            at, total = i + 1, 0
+    return pa.array(langs, pa.string()), pa.array(scores, pa.float64())
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row of ``docs(doc_id, text)``.
 
@@ -173,17 +204,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            langs, scores, at, total = [], [], 0, 0
-            for i, t in enumerate(texts):
-                total += len(t or "")
-                if total > 1_000_000 or i == len(texts) - 1:
-                    a, b = known.predict([x or "" for x in texts[at : i + 1]])
-                    langs += a
-                    scores += b
-                    at, total = i + 1, 0
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *_predicted(shared.value, batch["text"].to_pylist())], names=["doc_id", "lang_pred", "score"])
 
     return common.identified(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
