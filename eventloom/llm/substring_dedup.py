@@ -30,6 +30,8 @@ from .wordhash import Words, mix, small_batches
 WINDOW = 50
 ANCHOR = 8
 SHARD_LIMIT = 1024
+#: An anchor that occurs this often, and in more than one part in FREQUENT_MOST of such places, is passed over where a window has another.
+FREQUENT, FREQUENT_MOST = 256, 20_000
 #: Windows in a segment at most.
 SEGMENT = 64
 
@@ -102,14 +104,18 @@ class SuffixAutomaton:
         return out
 
 
-def anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: Words, window: int, anchor: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments: text number, first word in the text, windows, and anchor."""
     none = np.zeros(0, np.int64)
     least = words.windows(anchor)
     have, width = 1, window - anchor + 1
     if len(least) < width:
         return none, none, none, none
-    least = mix(least)
+    least = mix(least) >> np.uint64(1)
+    if len(frequent):
+        # Frequent runs of words name a window only if it has no other.
+        place = np.minimum(np.searchsorted(frequent, least), len(frequent) - 1)
+        least[frequent[place] == least] |= np.uint64(1 << 63)
     while 2 * have <= width:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
@@ -118,7 +124,7 @@ def anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndar
     at = np.flatnonzero(words.valid(window))
     if not len(at):
         return none, none, none, none
-    name = least[at]
+    name = least[at] & np.uint64((1 << 63) - 1)
     text = np.searchsorted(words.first, at, side="right") - 1
     new = np.ones(len(at), bool)
     new[1:] = (name[1:] != name[:-1]) | (np.diff(at) != 1) | (text[1:] != text[:-1])
@@ -144,11 +150,12 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     text that tells apart different texts under one doc_id.
     """
     rows = _keys(docs)
+    frequent = np.zeros(0, np.uint64)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in small_batches(batch, "text"):
-                text, begin, size, name = anchors(Words(texts), window, anchor)
+                text, begin, size, name = anchors(Words(texts), window, anchor, frequent)
                 if len(text):
                     take = pa.array(text)
                     yield pa.RecordBatch.from_arrays(
@@ -156,6 +163,17 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
                         names=["doc_id", "body", "begin", "size", "anchor"],
                     )
 
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in small_batches(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(anchors(Words(texts), window, anchor, np.zeros(0, np.uint64))[3])], names=["anchor"])
+
+    # An anchor inside a very common passage would gather all that stands beside the passage.
+    # Fewer than FREQUENT_MOST anchors can hold more than that share of all that are counted.
+    counts = common.written(rows.where("doc_id is not null").mapInArrow(names, "anchor long").groupBy("anchor").count().where(F.col("count") >= FREQUENT), "frequent")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    often = counts.where(F.col("count") > total / FREQUENT_MOST).select("anchor").collect()
+    frequent = np.sort(np.array([r.anchor for r in often], np.uint64))
     found = common.written(rows.where("doc_id is not null").mapInArrow(find, "doc_id long, body long, begin int, size int, anchor long"), "anchors")
     repeated = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     hits = found.join(repeated, "anchor").groupBy("doc_id", "body").agg(F.array_sort(F.collect_list(F.struct("begin", "size", "anchor"))).alias("hits"))
