@@ -6,8 +6,9 @@ signature values at a time; it is given up once the posterior probability that i
 similarity reaches the threshold falls below ``miss``; survivors are verified on
 their full shingle sets.
 
-A band's bucket of m classes is not expanded into m * m pairs.  In a first pass
-each class meets the bucket's smallest; in a second, buckets that are not yet one
+A band's bucket of m classes is not expanded into m * m pairs.  Classes with too many
+shingles that no other candidate has cannot reach the threshold and go first.  Then
+each class meets the bucket's head, the one with the fewest such shingles; in a second pass, buckets that are not yet one
 component compare each class with the smallest of another order.  What then still
 lies in different components of one bucket is compared pair by pair, so no link
 that matters to the components is lost.
@@ -147,6 +148,34 @@ def verified(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int,
     return survivors.join(full("a"), "a").join(full("b"), "b").mapInArrow(exact, "a long, b long")
 
 
+def _linkable(sets: DataFrame, percent: int, peels: int = 2) -> DataFrame:
+    """``node, unshared``: the sets that can still reach the threshold with another.
+
+    A set of n shingles of which u occur in no other candidate has at most n - u in
+    common with any, out of n or more; if that is too few, it has no links and goes.
+    What it alone shared with one other set is then unshared there, so this is done
+    again.  Nothing that has a link is ever dropped.
+    """
+    size = F.octet_length("hashes") / 8
+    left, found = sets, None
+    for i in range(peels):
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    raw = part["hashes"].to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["node"].to_numpy(), [len(r) // 8 for r in raw])), pa.array(np.frombuffer(b"".join(raw), "<i8"))], names=["node", "h"])
+
+        alone = left.mapInArrow(split, "node long, h long").groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+        unshared = alone.groupBy("node").agg(F.count("*").alias("unshared"))
+        told = left.join(unshared, "node", "left").select("node", "hashes", F.coalesce("unshared", F.lit(0)).alias("unshared"))
+        found = told.where(100 * (size - F.col("unshared")) >= percent * size)
+        if i + 1 < peels:
+            left = common.written(found.select("node", "hashes"), "linkable")
+    return found.select("node", "unshared")
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGLE, miss: float = MISS) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``.
 
@@ -164,11 +193,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
     signed = common.written(classes, "classes")
     band = [F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)).alias("band") for i in range(BANDS)]
     banded = signed.select("node", F.explode(F.array(*band)).alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1")
-    buckets = common.written(banded.join(shared, "band").select("band", "node", "head", "members"), "buckets")
+    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    candidates_in = common.written(banded.join(shared, "band").select("band", "node"), "buckets")
 
     # Full sets of the classes that have a candidate, made from the texts of their least documents.
-    wanted = buckets.select("node").distinct()
+    wanted = candidates_in.select("node").distinct()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,6 +225,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
 
     sets = common.written(candidates.mapInArrow(right_text, "node long, hashes binary").dropDuplicates(["node"]), "full-sets")
 
+    linkable = common.written(_linkable(sets, percent), "linkable")
+    member = candidates_in.join(linkable, "node")
+    heads = member.groupBy("band").agg(F.min(F.struct("unshared", "node")).alias("m"), F.count("*").alias("members")).where("members > 1").select("band", F.col("m.node").alias("head"), "members")
+    buckets = common.written(member.join(heads, "band").select("band", "node", "head", "members"), "buckets")
     first = buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = common.written(verified(first, signed, sets, percent, miss), "links")
     roots = common.components(links)
