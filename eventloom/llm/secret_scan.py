@@ -27,6 +27,8 @@ TOKEN = r"[A-Za-z0-9+/_.=-]+"
 LEAST_TOKEN = 20
 #: Documents in the training sample.
 SAMPLE_DOCS = 4_000
+#: Pairs that the characters' own frequencies count for.
+BACKOFF = 20.0
 #: Natural logarithm per character above which a token is taken for random.
 THRESHOLD = 0.8
 
@@ -79,11 +81,13 @@ def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     n = len(ALPHABET)
     logs = []
     for kind in (1, 0):
+        # A pair never seen falls back on how often its second character occurs at all.
+        single = [sum(counts.get((kind, a + b), 0) for a in ALPHABET) + (1.0 if kind else 0.1) for b in ALPHABET]
+        alone = [x / sum(single) for x in single]
         table = []
         for a in ALPHABET:
-            row = [counts.get((kind, a + b), 0) + (1.0 if kind else 0.1) for b in ALPHABET]
-            total = sum(row)
-            table += [log(x / total) for x in row]
+            seen = [counts.get((kind, a + b), 0) for b in ALPHABET]
+            table += [log((x + BACKOFF * p) / (sum(seen) + BACKOFF)) for x, p in zip(seen, alone, strict=True)]
         logs.append(table)
     assert len(logs[0]) == n * n
     return [round(a - b, 6) for a, b in zip(*logs, strict=True)]

@@ -1,0 +1,222 @@
+"""Operators against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
+
+import base64
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from eventloom.llm import byte_bpe, common, decontaminate, html_extract, language_id, line_dedup, minhash_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, body string, kept string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def table(spark, texts, ids=None):
+    rows = [(i, t, "en", "s", len(t or ""), "x", "y") for i, t in zip(ids or range(len(texts)), texts, strict=True)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def corpus(seed=1, n=60):
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    base = [[rnd.choice(words) for _ in range(rnd.randint(60, 160))] for _ in range(12)]
+    out = [None, "", " \n\t ", "One two.", "one TWO.", "é ü 漢字 word " * 3, "rep " * 400]
+    for _ in range(n):
+        t = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 0, 1, 2, 6])):
+            t[rnd.randrange(len(t))] = rnd.choice(words)
+        if rnd.random() < 0.3:
+            t = [rnd.choice(words) for _ in range(30)] + t[:70]
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return corpus()
+
+
+def shingles(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+
+def test_near_duplicates(spark, texts):
+    got = {r.doc_id: r for r in minhash_dedup.near_duplicates(table(spark, texts)).collect()}
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    for i in range(len(texts)):
+        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), root[i], root[i] == i)
+    assert len(set(root)) < len(texts) - 5
+
+
+def test_near_duplicate_chain_and_repeated_rows(spark):
+    w = [f"v{i}" for i in range(200)]
+    chain = [" ".join(w[i * 2 :] + [f"n{i}{k}" for k in range(2 * i)]) for i in range(8)]
+    got = minhash_dedup.near_duplicates(table(spark, [*chain, chain[0]], [*range(8), 0])).collect()
+    assert len(got) == 9 and {r.component_id for r in got} == {0}
+
+
+@pytest.mark.parametrize("limit", [1024, 1])
+def test_substring_dedup(spark, texts, limit):
+    got = {r.doc_id: r for r in substring_dedup.dedup(table(spark, texts), shard_limit=limit).collect()}
+    first = {}
+    split = [(t or "").encode().split() for t in texts]
+    for d, w in enumerate(split):
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i : i + 50]), d)
+    removed = 0
+    for d, w in enumerate(split):
+        gone = {j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d for j in range(i, i + 50)}
+        rest = b" ".join(x for i, x in enumerate(w) if i not in gone)
+        removed += len(gone)
+        assert (got[d].n_words, got[d].n_removed, got[d].kept_text.encode()) == (len(w), len(gone), rest)
+        assert got[d].kept_sha256 == hashlib.sha256(rest).hexdigest()
+    assert removed
+
+
+def test_suffix_automaton():
+    rnd = random.Random(3)
+    docs = [[rnd.randrange(3) for _ in range(rnd.randint(4, 14))] for _ in range(20)]
+    known = substring_dedup.SuffixAutomaton([(d, i) for i, d in enumerate(docs)])
+    for d in docs:
+        want = [min(j for j, x in enumerate(docs) if any(x[k : k + 4] == d[i : i + 4] for k in range(len(x) - 3))) for i in range(len(d) - 3)]
+        assert known.owners(d, 4) == want
+    assert known.owners([9, 9, 9, 9], 4) == [float("inf")]
+
+
+def test_line_dedup(spark):
+    texts = ["a\nb\nc\nd", "x\n a \n\nb\nc\ny", "q\nq\nq\nq\nq", None, "", "a\nb", "a\nb\nc\nd"]
+    got = {r.doc_id: r for r in line_dedup.dedup(table(spark, texts)).collect()}
+    assert [got[i].text for i in range(7)] == ["a\nb\nc\nd", "x\n\ny", "q", None, "", "a\nb", ""]
+    assert got[1].n_removed == 3 and got[0].body == "x"
+
+
+def test_decontaminate(spark):
+    rnd = random.Random(2)
+    words = [f"t{i}" for i in range(500)]
+    items = [" ".join(rnd.choice(words) for _ in range(n)) for n in (2, 5, 9, 30, 70)] + [None, ""]
+    docs = [None, "", items[3].upper(), "a b " + items[4] + " c", items[2], " ".join(items[3].split()[:28]), " ".join(items[3].split()[:14]), "z " * 5000 + items[0]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for rows in (100_000, 0):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contained(table(spark, docs), bench, broadcast_rows=rows).collect()}
+        assert got == {(2, 3), (3, 4), (4, 2), (5, 3), (7, 0)}
+    assert {r.doc_id for r in decontaminate.clean(table(spark, docs), bench).collect()} == {0, 1, 6}
+    assert decontaminate.contained(table(spark, docs), bench.limit(0)).count() == 0
+
+
+def test_byte_bpe(spark, texts):
+    rnd = random.Random(4)
+    odd = ["".join(rnd.choice("ab  \n\t'sé漢😀1!") for _ in range(5000)), "x" * 4000, "a b" * 1500, *texts]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    tool = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = byte_bpe.encode(table(spark, [*odd, odd[0]], [*range(len(odd)), 0]), path, public_tokenizers.PATTERN, chunk=700, overlap=200).collect()
+    assert len(got) == len(odd) + 1
+    for r in got:
+        text = odd[r.doc_id] or ""
+        assert np.frombuffer(r.ids, "<u4").tolist() == tool.encode_ordinary(text)
+        assert bytes(r.decoded) == text.encode() and r.n_tokens * 4 == len(r.ids)
+
+
+def test_language_id(spark):
+    rnd = random.Random(6)
+    parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["ber", "sch", "ung", "eit"]}
+    rows = [(i, " ".join("".join(rnd.choice(parts[lang]) for _ in range(3)) for _ in range(rnd.randint(3, 300))), lang) for i, lang in enumerate(["xx", "yy"] * 40)]
+    docs = spark.createDataFrame([*rows, (900, None, "xx"), (901, "12 !?", "yy"), (902, "", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.col("doc_id") % 3 != 1)
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    assert np.mean([got[i].lang_pred == lang for i, _, lang in rows]) > 0.97
+    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[900].score == 0
+
+
+def test_secret_scan(spark):
+    rnd = random.Random(7)
+    key = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    plain = " ".join("".join(rnd.choice(["con", "ver", "tion", "ing", "able", "er"]) for _ in range(3)) for _ in range(400))
+    texts = [f"é {plain} token='{key(30)}' x" for _ in range(40)] + [f"see {key(40)} here", "conververtioningableertioncon", "AKIA" + "A1" * 8, "token=secret:abcdefghijkl", "password = short", "0" * 16 + " " + "f" * 15, None, ""]
+    got = secret_scan.digest(secret_scan.scan(table(spark, texts))).orderBy("doc_id").collect()
+    assert got[0].n_assign == 1 and got[0].base_sha256 == hashlib.sha256(re.sub(r",?markov[^,]*", "", got[0].spans).encode()).hexdigest()
+    assert got[0].spans == f"assign:{texts[0].index('token')}:{texts[0].index('token') + 37}"
+    assert got[40].spans == "markov:4:44" and got[41].spans == ""
+    assert got[42].spans == "access:0:20" and [r.spans for r in got[43:45]] == ["", ""]
+    assert got[45].spans == "hex:0:16" and [r.spans for r in got[46:]] == ["", ""]
+
+
+def test_quality_rules(spark, texts):
+    got = {r.doc_id: r for r in quality_rules.judge(table(spark, texts)).collect()}
+    for d, t in enumerate(texts):
+        w = WORD.findall(t or "")
+        grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        twice = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 8)}
+        assert (got[d].n_words, got[d].n_repeat_words, got[d].word_chars) == (len(w), len(twice), sum(map(len, w)))
+        assert got[d].base_failed == (len(w) < 20 or 100 * len(twice) > 30 * len(w))
+        assert not (got[d].base_failed and got[d].kept)
+    assert abs(quality_rules._chi2_cdf(11.0705, 5) - 0.95) < 1e-4
+
+
+def test_outliers_are_rejected(spark):
+    rnd = random.Random(8)
+    plain = [" ".join(f"word{rnd.randrange(999)}" for _ in range(rnd.randint(80, 120))) for _ in range(150)]
+    bad = [" ".join(f"{'#$%&|' * 4}w{rnd.randrange(999)}" for _ in range(100)) for _ in range(10)]
+    got = quality_rules.judge(table(spark, plain + bad)).collect()
+    assert all(r.kept == (r.doc_id < 150) for r in got)
+
+
+def test_quality_classifier(spark):
+    rnd = random.Random(9)
+    good = [" ".join(f"w{rnd.randrange(200)}" for _ in range(60)) for _ in range(150)]
+    bad = [" ".join(f"BUY!!{rnd.randrange(200)}" for _ in range(60)) for _ in range(60)]
+    docs = table(spark, [*good, *bad, None, ""])
+    labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(0, 210, 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, labels).collect()}
+    assert np.mean([got[i].kept == (i < 150) for i in range(210)]) > 0.97
+    assert not got[210].kept and not got[211].kept
+    assert quality_classifier.classify(docs, labels.limit(0)).count() == 212
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/b">More</a></li></ul></nav>
+<div class="ad">Buy this now, it is cheap.</div><article><h1>Head &amp; more</h1><p>First   paragraph of the text,<br>it goes on for a good while here.<p>Second one, also with a few words in it.</article>
+<div id="comments"><p>I do not agree, says a reader of this page.</p></div><footer>&copy; 2024</footer>"""
+
+
+def test_html_extract(spark):
+    pages = spark.createDataFrame([(i, "u", PAGE) for i in range(20)] + [(30, "u", None), (31, "u", ""), (None, None, "<nav><a>x</a></nav>")], "page_id long, url string, html string")
+    got = html_extract.extract(pages).collect()
+    want = "Head & more\n\nFirst paragraph of the text, it goes on for a good while here.\n\nSecond one, also with a few words in it."
+    assert [r.text for r in got if r.page_id is not None and r.page_id < 30] == [want] * 20
+    assert {r.text for r in got if r.page_id is None or r.page_id >= 30} == {""} and len(got) == 23
+
+
+def test_minimum_cut_is_minimal():
+    rnd = random.Random(10)
+    for _ in range(60):
+        n = rnd.randint(1, 8)
+        odds = [rnd.uniform(-2, 2) for _ in range(n)]
+        edges = [(a, b, rnd.uniform(0, 1)) for a in range(n) for b in range(a) if rnd.random() < 0.4]
+        cost = lambda side: sum(max(o, 0) if not s else max(-o, 0) for o, s in zip(odds, side, strict=True)) + sum(c for a, b, c in edges if side[a] != side[b])  # noqa: B023, E731
+        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert abs(cost(html_extract.minimum_cut(odds, edges)) - best) < 1e-6
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (None, 3), (5, 5)], "a long, b long")
+    got = {r.node: r.root for r in common.components(links).collect()}
+    assert set(got.values()) == {0, 200} and got[100] == 0 and len(got) == 44
+
+
+def test_empty_tables(spark):
+    none = table(spark, [])
+    for frame in (line_dedup.dedup(none), substring_dedup.dedup(none), minhash_dedup.near_duplicates(none), quality_rules.judge(none), secret_scan.scan(none), byte_bpe.encode(none, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), language_id.predict(none, language_id.fit(none, F.lit(True)))):
+        assert frame.count() == 0
