@@ -8,7 +8,7 @@ their full shingle sets.
 
 A band's bucket of m classes is not expanded into m * m pairs.  Classes with too many
 shingles that no other candidate has cannot reach the threshold and go first.  Then
-each class meets the bucket's head, the one with the fewest such shingles; in a second pass, buckets that are not yet one
+each class meets the bucket's head, the one with the most shared shingles; in a second pass, buckets that are not yet one
 component compare each class with the smallest of another order.  What then still
 lies in different components of one bucket is compared pair by pair, so no link
 that matters to the components is lost.
@@ -22,7 +22,7 @@ from math import lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -149,7 +149,7 @@ def verified(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int,
 
 
 def _linkable(sets: DataFrame, percent: int, peels: int = 2) -> DataFrame:
-    """``node, unshared``: the sets that can still reach the threshold with another.
+    """``node, n, common``: the sets that can still reach the threshold with another, their sizes and how much others have.
 
     A set of n shingles of which u occur in no other candidate has at most n - u in
     common with any, out of n or more; if that is too few, it has no links and goes.
@@ -173,7 +173,13 @@ def _linkable(sets: DataFrame, percent: int, peels: int = 2) -> DataFrame:
         found = told.where(100 * (size - F.col("unshared")) >= percent * size)
         if i + 1 < peels:
             left = common.written(found.select("node", "hashes"), "linkable")
-    return found.select("node", "unshared")
+    return found.select("node", size.cast("long").alias("n"), (size - F.col("unshared")).cast("long").alias("common"))
+
+
+def _possible(percent: int, n_a: str, common_a: str, n_b: str, common_b: str) -> Column:
+    """Whether two sets can reach the threshold, given their sizes and what of them others have."""
+    most = F.least(common_a, common_b)
+    return 100 * most >= percent * (F.col(n_a) + F.greatest(F.col(n_b), most) - most)
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGLE, miss: float = MISS) -> DataFrame:
@@ -227,15 +233,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
 
     linkable = common.written(_linkable(sets, percent), "linkable")
     member = candidates_in.join(linkable, "node")
-    heads = member.groupBy("band").agg(F.min(F.struct("unshared", "node")).alias("m"), F.count("*").alias("members")).where("members > 1").select("band", F.col("m.node").alias("head"), "members")
-    buckets = common.written(member.join(heads, "band").select("band", "node", "head", "members"), "buckets")
+    # What the smallest set and the largest common part of a bucket leave possible for each member.
+    ends = member.groupBy("band").agg(F.min("n").alias("least_n"), F.max("common").alias("most_common"))
+    member = member.join(ends, "band").where(_possible(percent, "n", "common", "least_n", "most_common")).drop("least_n", "most_common")
+    member = common.written(member, "members")
+    heads = member.groupBy("band").agg(F.max(F.struct("common", "node")).alias("m"), F.count("*").alias("members")).where("members > 1").select("band", F.col("m.node").alias("head"), "members")
+    buckets = common.written(member.join(heads, "band").select("band", "node", "n", "common", "head", "members"), "buckets")
     first = buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = common.written(verified(first, signed, sets, percent, miss), "links")
     roots = common.components(links)
 
     def unsettled() -> DataFrame:
         """Members of buckets of three or more that are not one component."""
-        member = buckets.where("members > 2").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        member = buckets.where("members > 2").join(roots, "node", "left").select("band", "node", "n", "common", F.coalesce("root", "node").alias("root"))
         split = member.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
         return common.written(member.join(split, "band"), "unsettled")
 
@@ -252,8 +262,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
         # The bucket's largest component meets the rest, and the rest meet each other.
         largest = left.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
         told = left.join(largest, "band")
-        rest = told.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        links = further(rest.join(left, "band").where("root_a <> root").select("a", F.col("node").alias("b")))
+        rest = told.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("common").alias("common_a"))
+        links = further(rest.join(left, "band").where("root_a <> root").where(_possible(percent, "n_a", "common_a", "n", "common")).select("a", F.col("node").alias("b")))
         roots = common.components(links)
 
     named = signed.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
