@@ -262,8 +262,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
         # The bucket's largest component meets the rest, and the rest meet each other.
         largest = left.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
         told = left.join(largest, "band")
+        # A pair is made in the least of its common bands alone.
+        bands = common.written(left.groupBy("node").agg(F.collect_set("band").alias("bands")), "bands")
         rest = told.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("common").alias("common_a"))
-        links = further(rest.join(left, "band").where("root_a <> root").where(_possible(percent, "n_a", "common_a", "n", "common")).select("a", F.col("node").alias("b")))
+        rest = rest.join(bands.select(F.col("node").alias("a"), F.col("bands").alias("bands_a")), "a")
+        once = F.col("band") == F.array_min(F.array_intersect("bands_a", "bands"))
+        links = further(rest.join(left.join(bands, "node"), "band").where("root_a <> root").where(once).where(_possible(percent, "n_a", "common_a", "n", "common")).select("a", F.col("node").alias("b")))
         roots = common.components(links)
 
     named = signed.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
