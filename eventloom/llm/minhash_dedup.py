@@ -10,8 +10,9 @@ A band's bucket of m classes is not expanded into m * m pairs.  Classes with too
 shingles that no other candidate has cannot reach the threshold and go first.  Then
 each class meets the bucket's head, the one with the most shared shingles; in a second pass, buckets that are not yet one
 component compare each class with the smallest of another order.  What then still
-lies in different components of one bucket is compared pair by pair, so no link
-that matters to the components is lost.
+lies in different components of one bucket is compared pair by pair where sizes and
+bitmaps of the sets leave a link possible, so no link that matters to the
+components is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BANDS, ROWS = 24, 4
 #: Signature values: those of the bands, and as many for the comparison as fill whole batches.
 BATCH, VALUES = 32, 128
 MISS = 1e-7
+#: Longs in the bitmap of a set, which bounds what two sets have in common.
+BITMAP = 32
 
 _rng = np.random.default_rng(20240517)
 _MULTIPLY = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,6 +185,33 @@ def _possible(percent: int, n_a: str, common_a: str, n_b: str, common_b: str) ->
     return 100 * most >= percent * (F.col(n_a) + F.greatest(F.col(n_b), most) - most)
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """``node, bits, spare``: one bit per shingle of a set in ``BITMAP`` longs, and how many shingles found theirs taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.frombuffer(x, "<u8") for x in batch["hashes"].to_pylist()]
+            bits = np.zeros((len(raw), 64 * BITMAP), np.uint8)
+            for i, value in enumerate(raw):
+                bits[i, (mix(value) % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+            spare = np.array([len(x) for x in raw], np.int64) - bits.sum(1, dtype=np.int64)
+            longs = pa.array(np.packbits(bits, axis=1).view("<i8").ravel())
+            ends = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * BITMAP)
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.ListArray.from_arrays(ends, longs), pa.array(spare)], names=["node", "bits", "spare"])
+
+    return sets.select("node", "hashes").mapInArrow(run, "node long, bits array<long>, spare long")
+
+
+def _overlapping(percent: int) -> Column:
+    """Whether two sets can reach the threshold, given their bitmaps.
+
+    Two sets have at most one common shingle for each common bit, and one more for
+    each that found its bit taken, in the set that has fewer of those.
+    """
+    most = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseAND(F.get("bits", F.lit(i)))) for i in range(BITMAP)), F.least("spare_a", "spare"))
+    return 100 * most >= percent * (F.col("n_a") + F.col("n") - most)
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGLE, miss: float = MISS) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``.
 
@@ -261,13 +291,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
     if not left.isEmpty():
         # The bucket's largest component meets the rest, and the rest meet each other.
         largest = left.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
-        told = left.join(largest, "band")
-        # A pair is made in the least of its common bands alone.
-        bands = common.written(left.groupBy("node").agg(F.collect_set("band").alias("bands")), "bands")
-        rest = told.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("common").alias("common_a"))
-        rest = rest.join(bands.select(F.col("node").alias("a"), F.col("bands").alias("bands_a")), "a")
+        # A pair is made in the least of its common bands alone, if its bitmaps leave it possible.
+        known = left.groupBy("node").agg(F.collect_set("band").alias("bands"))
+        known = common.written(known.join(bitmaps(sets.join(known, "node", "left_semi")), "node"), "bitmaps")
+        rest = left.join(largest, "band").where("root <> main").join(known, "node")
+        rest = rest.select("band", *(F.col(c).alias("a" if c == "node" else f"{c}_a") for c in ("node", "root", "n", "common", "bits", "spare", "bands")))
         once = F.col("band") == F.array_min(F.array_intersect("bands_a", "bands"))
-        links = further(rest.join(left.join(bands, "node"), "band").where("root_a <> root").where(once).where(_possible(percent, "n_a", "common_a", "n", "common")).select("a", F.col("node").alias("b")))
+        met = rest.join(left.join(known, "node"), "band").where("root_a <> root").where(_possible(percent, "n_a", "common_a", "n", "common")).where(_overlapping(percent)).where(once)
+        links = further(met.select("a", F.col("node").alias("b")))
         roots = common.components(links)
 
     named = signed.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
