@@ -68,6 +68,47 @@ def test_near_duplicate_chain_and_repeated_rows(spark):
     assert len(got) == 9 and {r.component_id for r in got} == {0}
 
 
+def test_bitmaps_never_rule_out_a_link(spark):
+    """The bound from bitmaps holds for every pair of sets, small, large and empty."""
+    rnd = np.random.default_rng(5)
+    pool = rnd.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    sets = [np.sort(rnd.choice(pool[: 2 * n], n, replace=False)) for n in (0, 1, 3, 40, 41, 150, 150, 160, 2000, 1900)]
+    rows = [(i, x.astype("<u8").tobytes(), len(x)) for i, x in enumerate(sets)]
+    known = spark.createDataFrame(rows, "node long, hashes binary, n long")
+    known = known.join(minhash_dedup.bitmaps(known), "node").drop("hashes")
+    pairs = known.select(*(F.col(c).alias(f"{c}_a") for c in known.columns)).crossJoin(known)
+    for percent in (10, 45, 80):
+        possible = {(r.node_a, r.node) for r in pairs.where(minhash_dedup._overlapping(percent)).select("node_a", "node").collect()}
+        common_ = {(i, j): len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets)}
+        linked = {(i, j) for (i, j), n in common_.items() if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n)}
+        assert linked <= possible and len(possible) < len(common_)
+
+
+def test_near_duplicates_below_and_above_the_threshold(spark):
+    """Many copies of one text, most of them just too far from each other to be linked."""
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(70):
+        t = list(base)
+        for at in rnd.sample(range(150), rnd.choice([2, 3, 4, 5])):
+            t[at] = f"c{rnd.randrange(40)}"
+        texts.append(" ".join(t))
+    sets = [shingles(t) for t in texts]
+    for percent in (70, 85):
+        got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(table(spark, texts), percent=percent).collect()}
+        root = list(range(len(texts)))
+        changed = True
+        while changed:
+            changed = False
+            for i, a in enumerate(sets):
+                for j in range(i):
+                    if root[i] != root[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                        root[i] = root[j] = min(root[i], root[j])
+                        changed = True
+        assert [got[i] for i in range(len(texts))] == root
+
+
 @pytest.mark.parametrize("limit", [1024, 1])
 def test_substring_dedup(spark, texts, limit):
     got = {r.doc_id: r for r in substring_dedup.dedup(table(spark, texts), shard_limit=limit).collect()}
