@@ -4,7 +4,11 @@ Each document has a vector of transformed statistics.  Per language and source,
 centre and covariance are the minimum-covariance-determinant estimates: from two
 deterministic starts, concentration steps keep the three quarters of the rows that
 are nearest by Mahalanobis distance and estimate again; the start that ends with the
-smaller determinant wins.  Rows too far from their group's centre are rejected.
+smaller determinant wins.  Groups are drawn towards their language and languages
+towards all rows, the more so the fewer rows they have.  Few texts repeat lines or
+words, so the nearest rows show no spread of these; it comes from the texts that do
+repeat and have no more symbols than half of their group.  Rows too far from their
+group's centre are rejected.
 """
 
 from __future__ import annotations
@@ -19,16 +23,18 @@ from . import common
 #: Share of a group's rows that an estimate rests on.
 SUPPORT = 0.75
 STEPS = 3
-#: Rows that a group needs for estimates of its own; smaller ones use their language's, then all rows'.
-LEAST_GROUP = 100
+#: A group of so many rows has half the weight, the other half is its language's; a language's likewise, with all rows.
+SHRINK = 30
 #: A row with a regular vector is rejected with this probability.
-ERROR = 1e-12
+ERROR = 1e-3
 #: Groups up to which their estimates are broadcast.
 BROADCAST_GROUPS = 20_000
 
 VECTOR = ("z1", "z2", "z3", "z4", "z5")
-#: Least standard deviation of each statistic: differences below it mean nothing.
-_FLOOR = (0.5, 0.1, 0.5, 0.5, 0.1)
+#: Keeps covariances regular; for the last two, the spread where no text repeats anything.
+_FLOOR = (0.1, 0.03, 0.2, 0.5, 0.1)
+#: Statistics that are zero in most texts, regular ones with repeats included.
+_RARE = (3, 4)
 _P = len(VECTOR)
 
 
@@ -113,19 +119,30 @@ def _vector() -> list[Column]:
     ]
 
 
+def _named_moments() -> list[tuple[Column, str]]:
+    out = [(F.avg(z), f"m{i}") for i, z in enumerate(VECTOR)]
+    return out + [(F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j])), f"q{i}{j}") for i, j in _PAIRS]
+
+
 def _moments() -> list[Column]:
-    out = [F.count("*").alias("n")]
-    out += [F.avg(z).alias(f"m{i}") for i, z in enumerate(VECTOR)]
-    return out + [F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q{i}{j}") for i in range(_P) for j in range(i + 1)]
+    return [m.alias(name) for m, name in _named_moments()]
+
+
+_PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 
 
-def _whitened(moments: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    """Centre, inverse Cholesky factor and log-determinant of each row's covariance."""
-    frame = moments
+def _covariances(moments: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    cov = [((F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale).alias(f"c{i}{j}") for i, j in _PAIRS]
+    return moments.select(*keys, *(f"m{i}" for i in range(_P)), *cov)
+
+
+def _whitened(frame: DataFrame, keys: list[str], more: list[Column]) -> DataFrame:
+    """Centre, covariance, inverse Cholesky factor and log-determinant of each row's covariance with ``more`` on its diagonal."""
+    kept = [c for c in frame.columns if c[0] in "mc" and c[1:].isdigit()]
+    plain = [F.col(f"c{i}{i}").alias(f"p{i}{i}") for i in range(_P)]
+    frame = frame.select("*", *plain)
     for i in range(_P):
-        for j in range(i + 1):
-            s = F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
-            frame = frame.withColumn(f"c{i}{j}", s * scale + (F.lit(_FLOOR[i] ** 2) if i == j else F.lit(0.0)))
+        frame = frame.withColumn(f"c{i}{i}", F.col(f"c{i}{i}") + more[i])
     for j in range(_P):  # Cholesky, by columns
         frame = frame.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") ** 2 for k in range(j)), F.lit(0.0)), F.lit(1e-9))))
         for i in range(j + 1, _P):
@@ -135,7 +152,8 @@ def _whitened(moments: DataFrame, keys: list[str], scale: float) -> DataFrame:
         for i in range(j + 1, _P):
             frame = frame.withColumn(f"w{i}{j}", -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}"))
     det = 2 * sum((F.log(F.col(f"l{i}{i}")) for i in range(_P)), F.lit(0.0))
-    return frame.select(*keys, *(f"m{i}" for i in range(_P)), *(f"w{i}{j}" for i in range(_P) for j in range(i + 1)), det.alias("log_det"))
+    out = [F.col(f"p{c[1:]}").alias(c) if c[0] == "c" and c[1] == c[2] else F.col(c) for c in kept]
+    return frame.select(*keys, *out, *(f"w{i}{j}" for i, j in _PAIRS), det.alias("log_det"))
 
 
 def _distance() -> Column:
@@ -144,23 +162,60 @@ def _distance() -> Column:
 
 
 def estimates(rows: DataFrame, *, steps: int = STEPS, small: bool = True) -> DataFrame:
-    """MCD estimates per ``grp`` of ``rows(grp, z1..z5)``; ``small``: there are few enough groups to broadcast."""
+    """MCD centres ``m`` and covariances ``c`` per ``grp`` of ``rows(grp, z1..z5)``, its rows ``n``, and of each rare statistic the count ``rn`` and sum of squares ``rq`` where it occurs.
+
+    ``small``: there are few enough groups to broadcast.
+    """
     side = F.broadcast if small else (lambda x: x)
-    halves = rows.groupBy("grp").agg(*(F.percentile_approx(z, 0.5, 1000).alias(f"m{i}") for i, z in enumerate(VECTOR)))
-    spread = rows.join(side(halves), "grp").groupBy("grp").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(_P)), *(F.percentile_approx(F.abs(F.col(z) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, z in enumerate(VECTOR)))
-    start = spread.select("grp", F.lit(0).alias("start"), *(f"m{i}" for i in range(_P)), *((F.col(f"m{i}") * F.col(f"m{j}") + ((1.4826 * F.col(f"d{i}")) ** 2 if i == j else 0)).alias(f"q{i}{j}") for i in range(_P) for j in range(i + 1)))
-    plain = rows.groupBy("grp").agg(*_moments()).select("grp", F.lit(1).alias("start"), *start.columns[2:])
-    now = common.written(_whitened(start.union(plain), ["grp", "start"], 1.0), "mcd")
+    more = [F.lit(f**2) for f in _FLOOR]
+    halves = common.written(rows.groupBy("grp").agg(*(F.percentile_approx(z, 0.5, 1000).alias(f"m{i}") for i, z in enumerate(VECTOR)), F.count("*").alias("n"), *(m.alias(f"a{name}") for m, name in _named_moments())), "mcd-halves")
+    centre = [f"m{i}" for i in range(_P)]
+    there = {i: (F.col("z3") <= F.col("m2")) & (F.col(VECTOR[i]) > 0) for i in _RARE}
+    spread = rows.join(side(halves.select("grp", *centre)), "grp").groupBy("grp").agg(
+        *(F.percentile_approx(F.abs(F.col(z) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, z in enumerate(VECTOR)),
+        *(F.count(F.when(there[i], 1)).alias(f"rn{i}") for i in _RARE),
+        *(F.coalesce(F.sum(F.when(there[i], F.col(VECTOR[i]) ** 2)), F.lit(0.0)).alias(f"rq{i}") for i in _RARE),
+    )
+    known = common.written(halves.join(side(spread), "grp"), "mcd-spread")
+    start = known.select("grp", F.lit(0).alias("start"), *centre, *(((1.4826 * F.col(f"d{i}")) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
+    plain = _covariances(known.select("grp", F.lit(1).alias("start"), *(F.col(f"a{m}").alias(m) for _, m in _named_moments())), ["grp", "start"], 1.0)
+    now = common.written(_whitened(start.union(plain), ["grp", "start"], more), "mcd")
     for _ in range(steps):
         far = rows.join(side(now), "grp").withColumn("d2", _distance()).select("grp", "start", *VECTOR, "d2")
         limit = far.groupBy("grp", "start").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("limit"))
         near = far.join(side(limit), ["grp", "start"]).where("d2 <= limit")
-        now = common.written(_whitened(near.groupBy("grp", "start").agg(*_moments()), ["grp", "start"], CONSISTENCY), "mcd")
+        now = common.written(_whitened(_covariances(near.groupBy("grp", "start").agg(*_moments()), ["grp", "start"], CONSISTENCY), ["grp", "start"], more), "mcd")
     best = now.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
-    return now.join(best, ["grp", "start"]).drop("start", "log_det")
+    counts = known.select("grp", "n", *(f"{r}{i}" for r in ("rn", "rq") for i in _RARE))
+    return now.join(best, ["grp", "start"]).select("grp", *centre, *(f"c{i}{j}" for i, j in _PAIRS)).join(counts, "grp")
+
+
+def _pooled(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """Per ``g1, g2`` the estimates of the group drawn towards its language's, and these towards those of all rows."""
+    names = [f"m{i}" for i in range(_P)] + [f"c{i}{j}" for i, j in _PAIRS]
+
+    def level(no: int) -> DataFrame:
+        return known.where(F.col("grp").startswith(str(no))).select(*(F.col(c).alias(f"{c}_{no}") for c in known.columns))
+
+    frame = groups.select("g1", "g2", *(k.alias(f"k{no}") for no, k in enumerate(_keys())))
+    for no in range(3):
+        frame = frame.join(level(no), F.col(f"k{no}") == F.col(f"grp_{no}"))
+    values = {c: F.col(f"{c}_0") for c in names} | {f"s{i}": (F.col(f"rq{i}_0") + SHRINK * _FLOOR[i] ** 2) / (F.col(f"rn{i}_0") + SHRINK) for i in _RARE}
+    for no in (1, 2):
+        weight = F.col(f"n_{no}") / (F.col(f"n_{no}") + SHRINK)
+        frame = frame.select("*", *(v.alias(f"{c}_far{no}") for c, v in values.items()))
+        values = {c: weight * F.col(f"{c}_{no}") + (1 - weight) * F.col(f"{c}_far{no}") for c in names}
+        values |= {f"s{i}": (F.col(f"rq{i}_{no}") + SHRINK * F.col(f"s{i}_far{no}")) / (F.col(f"rn{i}_{no}") + SHRINK) for i in _RARE}
+    pooled = common.written(frame.select("g1", "g2", *(v.alias(c) for c, v in values.items())), "drawn")
+    return _whitened(pooled, ["g1", "g2"], [F.col(f"s{i}") if i in _RARE else F.lit(_FLOOR[i] ** 2) for i in range(_P)])
+
+
+def _keys() -> list[Column]:
+    """Keys of all rows, of a row's language, and of its language and source."""
+    return [F.lit("0"), F.concat(F.lit("1"), "g1"), F.concat(F.lit("2"), "g1", F.lit("\u0002"), "g2")]
 
 
-def judge(docs: DataFrame, *, error: float = ERROR, least_group: int = LEAST_GROUP) -> DataFrame:
+def judge(docs: DataFrame, *, error: float = ERROR) -> DataFrame:
     """Statistics and verdicts for every row of ``docs(doc_id, text, lang, source)``.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -173,26 +228,22 @@ def judge(docs: DataFrame, *, error: float = ERROR, least_group: int = LEAST_GRO
     """
     table = common.written(statistics(docs).select("*", *_vector()), "statistics")
     rows = table.where(~_failed()).select(F.coalesce("lang", F.lit("\u0001")).alias("g1"), F.coalesce("source", F.lit("\u0001")).alias("g2"), *VECTOR)
-    sizes = rows.groupBy("g1", "g2").count()
-    by_lang = sizes.groupBy("g1").agg(F.sum("count").alias("all"))
-    groups = common.written(
-        sizes.join(by_lang, "g1").select("g1", "g2", F.when(F.col("count") >= least_group, F.concat_ws("\u0002", "g1", "g2")).when(F.col("all") >= least_group, F.concat("g1", F.lit("\u0002\u0002"))).otherwise("").alias("grp")),
-        "groups",
-    )
-    small = groups.count() <= BROADCAST_GROUPS
+    groups = common.written(rows.select("g1", "g2").distinct(), "groups")
+    n_groups, n_langs = groups.agg(F.count("*"), F.count_distinct("g1")).first()
+
+    def level(*keys: Column) -> DataFrame:
+        return rows.select(F.explode(F.array(*keys)).alias("grp"), *VECTOR)
+
+    small = n_groups + n_langs < BROADCAST_GROUPS
+    if small:
+        known = estimates(level(*_keys()))
+    else:  # the large groups of all rows and of a language are not shuffled to one place
+        every, lang, own = _keys()
+        known = estimates(level(every)).union(estimates(level(lang), small=n_langs <= BROADCAST_GROUPS)).union(estimates(level(own), small=False))
+    pooled = common.written(_pooled(groups, common.written(known, "estimates")), "pooled")
     side = F.broadcast if small else (lambda x: x)
-    # A language's rows and all rows serve the groups that are too small; others do not need them.
-    own = rows.join(side(groups), ["g1", "g2"])
-    wide = groups.where("grp = '' or endswith(grp, '\u0002\u0002')").select("grp").distinct()
-    langs = wide.select("grp", F.regexp_replace("grp", "\u0002\u0002$", "").alias("g1")).where("grp <> ''")
-    fit = (
-        own.where("grp <> '' and not endswith(grp, '\u0002\u0002')").select("grp", *VECTOR)
-        .union(rows.join(side(langs), "g1").select("grp", *VECTOR))
-        .union(rows.join(side(wide.where("grp = ''")), F.col("grp") == "", "left").where("grp is not null").select("grp", *VECTOR) if groups.where("grp = ''").limit(1).count() else own.limit(0).select("grp", *VECTOR))
-    )
-    known = common.written(estimates(common.written(fit, "mcd-rows"), small=small), "estimates")
     keyed = table.withColumn("g1", F.coalesce("lang", F.lit("\u0001"))).withColumn("g2", F.coalesce("source", F.lit("\u0001")))
-    told = keyed.join(side(groups), ["g1", "g2"], "left").join(side(known), "grp", "left")
+    told = keyed.join(side(pooled), ["g1", "g2"], "left")
     d2 = F.when(~_failed(), _distance())
     return told.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"), d2.alias("distance2"),

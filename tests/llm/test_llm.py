@@ -215,6 +215,17 @@ def test_outliers_are_rejected(spark):
     assert all(r.kept == (r.doc_id < 150) for r in got)
 
 
+def test_symbols_are_rejected_and_repeated_lines_are_not(spark):
+    """A few symbols where clean texts have none are irregular; a repeated line, as a few clean texts have, is not."""
+    rnd = random.Random(11)
+    lines = lambda n: [" ".join(f"word{rnd.randrange(999)}" for _ in range(10)) for _ in range(n)]
+    plain = ["\n".join(lines(rnd.randint(6, 14))) for _ in range(150)]
+    repeated = ["\n".join((x := lines(rnd.randint(6, 14))) + x[:1]) for _ in range(8)]
+    piped = ["|".join(" ".join(lines(10)).split()) + " " + " ".join(lines(12)) for _ in range(10)]
+    got = quality_rules.judge(table(spark, plain + repeated + piped)).collect()
+    assert {r.doc_id for r in got if not r.kept} == set(range(158, 168))
+
+
 def test_quality_classifier(spark):
     rnd = random.Random(9)
     good = [" ".join(f"w{rnd.randrange(200)}" for _ in range(60)) for _ in range(150)]
