@@ -5,7 +5,8 @@ documents that share a run of ``min_run`` lines share a fingerprint.  Windows wh
 fingerprint occurs once leave the work.  The others are joined, by the hash of the
 whole window, to the first place where the window occurs; a window with an earlier
 place is a match, and matching windows next to each other extend the match both
-ways, line by line.  The lines of every later occurrence are deleted.
+ways, line by line.  The lines of every later occurrence are deleted.  Shorter runs
+of ``min_words`` words or more are windows of their own, found in the same way.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_RUN = 3
+#: Words that make a run of fewer lines count.
+MIN_WORDS = 50
 _BLANKS = " \t\x0b\x0c\r"
 
 
@@ -32,27 +35,42 @@ def _numbered(text: Column) -> Column:
     return F.filter(F.transform(_lines(text), lambda line, i: F.when(F.length(_trimmed(line)) > 0, i)), lambda i: i.isNotNull())
 
 
-def repeated_lines(docs: DataFrame, *, min_run: int = MIN_RUN) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_run: int = MIN_RUN, min_words: int | None = MIN_WORDS) -> DataFrame:
     """``doc_id, body, gone``: per document with deletions, the ordinals (among lines not blank) to delete."""
-    hashes = F.transform(F.filter(F.transform(_lines(F.col("text")), _trimmed), lambda x: F.length(x) > 0), lambda x: F.xxhash64(x))
-    hashed = docs.select("doc_id", "body", hashes.alias("h")).where(F.size("h") >= min_run)
-
-    def window(i: Column) -> Column:
-        run = [F.element_at("h", i + k) for k in range(1, min_run + 1)]
-        return F.struct(F.least(*run).alias("mark"), F.xxhash64(*run).alias("whole"), i.cast("int").alias("at"))
-
-    windows = hashed.select("doc_id", "body", F.inline(F.transform(F.sequence(F.lit(0), F.size("h") - min_run), window)))
+    full = F.filter(F.transform(_lines(F.col("text")), _trimmed), lambda x: F.length(x) > 0)
+    hashes = F.transform(full, lambda x: F.xxhash64(x))
+    if min_words is None:
+        hashed = docs.select("doc_id", "body", hashes.alias("h")).where(F.size("h") >= min_run)
+    else:
+        words = F.transform(full, lambda x: F.size(F.split(x, common.SPACE_CLASS, -1)))
+        hashed = docs.select("doc_id", "body", hashes.alias("h"), words.alias("n")).where(F.size("h") > 0)
+
+    def window(i: Column, width: int) -> Column:
+        run = [F.element_at("h", i + k) for k in range(1, width + 1)]
+        least = F.least(*run) if width > 1 else run[0]
+        mark = least if width == min_run else F.xxhash64(least, F.lit(width))
+        return F.struct(mark.alias("mark"), F.xxhash64(*run).alias("whole"), i.cast("int").alias("at"), F.lit(width).alias("width"))
+
+    def of_width(width: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size("h") - width)
+        if width < min_run:
+            starts = F.filter(starts, lambda i: sum((F.element_at("n", i + k) for k in range(1, width + 1)), F.lit(0)) >= min_words)
+        runs = F.transform(starts, lambda i: window(i, width))
+        return runs if min_words is None else F.coalesce(F.when(F.size("h") >= width, runs), F.array().cast("array<struct<mark:bigint,whole:bigint,at:int,width:int>>"))
+
+    every = [of_width(k) for k in range(min_run if min_words is None else 1, min_run + 1)]
+    windows = hashed.select("doc_id", "body", F.inline(F.concat(*every)))
     # A document's copies of one row are one document here.
     places = common.written(windows, "line-windows")
     marks = places.groupBy("mark").agg(F.min(F.struct("doc_id", "body", "at")).alias("lo"), F.max(F.struct("doc_id", "body", "at")).alias("hi")).where("lo < hi").select("mark")
     matched = places.join(marks, "mark")
     firsts = matched.groupBy("mark", "whole").agg(F.min(F.struct("doc_id", "body", "at")).alias("first"), F.max(F.struct("doc_id", "body", "at")).alias("last")).where("first < last").select("mark", "whole", "first")
     later = matched.join(firsts, ["mark", "whole"]).where(F.struct("doc_id", "body", "at") > F.col("first"))
-    return later.groupBy("doc_id", "body").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + min_run - 1)))).alias("gone"))
+    return later.groupBy("doc_id", "body").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)))).alias("gone"))
 
 
-def dedup(docs: DataFrame, *, min_run: int = MIN_RUN) -> DataFrame:
-    """Delete later occurrences of runs of ``min_run`` or more equal lines.
+def dedup(docs: DataFrame, *, min_run: int = MIN_RUN, min_words: int | None = MIN_WORDS) -> DataFrame:
+    """Delete later occurrences of runs of ``min_run`` or more equal lines, or of ``min_words`` or more words (None: of lines alone).
 
     Lines end at ``\\n``; they are compared without white space at their ends;
     blank lines are passed over and stay.  A run is later if its document has a greater doc_id
@@ -65,7 +83,7 @@ def dedup(docs: DataFrame, *, min_run: int = MIN_RUN) -> DataFrame:
     """
     body, gone, same_id = (common.fresh(docs, c) for c in ("body__", "gone__", "id__"))
     keyed = docs.drop("n_lines", "n_removed").withColumn(body, F.xxhash64(F.col("text")))
-    found = repeated_lines(docs.select(F.col("doc_id"), F.xxhash64("text").alias("body"), "text"), min_run=min_run)
+    found = repeated_lines(docs.select(F.col("doc_id"), F.xxhash64("text").alias("body"), "text"), min_run=min_run, min_words=min_words)
     found = found.select(F.col("doc_id").alias(same_id), F.col("body").alias(body + "2"), F.col("gone").alias(gone))
     joined = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col(same_id)) & (F.col(body) == F.col(body + "2")), "left")
     lines = _lines(F.col("text"))

@@ -32,7 +32,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_run=3)
+    kept = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_run=3, min_words=None)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -144,6 +144,16 @@ def test_line_dedup(spark):
     assert got[1].n_removed == 3 and got[0].body == "x"
 
 
+def test_line_dedup_by_words(spark):
+    """One line or two of fifty words repeat as three lines do; shorter ones stay."""
+    long = " ".join(f"w{i}" for i in range(50))
+    half = " ".join(f"v{i}" for i in range(25))
+    texts = [long, f"x\n {long} \ny", f"{half}\n{half} z\np", f"q\n{half}\n\n{half} z", f"{half}\nr", long[4:], long]
+    got = {r.doc_id: r for r in line_dedup.dedup(table(spark, texts)).collect()}
+    assert [got[i].text for i in range(7)] == [long, "x\ny", texts[2], "q\n", texts[4], texts[5], ""]
+    assert all(r.n_removed == 0 for r in line_dedup.dedup(table(spark, texts), min_words=None).collect())
+
+
 def test_decontaminate(spark):
     rnd = random.Random(2)
     words = [f"t{i}" for i in range(500)]
