@@ -4,7 +4,8 @@ Long texts are cut into chunks that overlap.  Each chunk is pre-tokenised by
 itself, in parallel; two neighbours are stitched at the first boundary inside
 their overlap that both found.  The pattern matches from left to right and looks
 at most one character ahead, so from a common boundary on both see the same
-pre-tokens.  Every chunk then encodes the pre-tokens between its own stitches.
+pre-tokens.  Every chunk then encodes the pre-tokens between its own stitches,
+matched with the text behind the stitch in view, as in the whole text.
 A text whose neighbours share no boundary (one run longer than the overlap) is
 encoded in one piece.  Decoding concatenates the bytes of the ids.
 """
@@ -59,6 +60,16 @@ class Codec:
         known, new = self._ids.get, self.piece
         return b"".join([known(p) or new(p) for p in self.split(text)])
 
+    def encode_between(self, text: str, begin: int, end: int | None) -> bytes:
+        """Ids of the pre-tokens from the boundary ``begin`` to the boundary ``end``; the pattern sees what follows ``end``."""
+        known, new = self._ids.get, self.piece
+        out = []
+        for m in self.spans(text, begin):
+            if end is not None and m.start() >= end:
+                break
+            out.append(known(p := m.group()) or new(p))
+        return b"".join(out)
+
     def decode(self, ids: bytes) -> bytes:
         table = self.bytes_of
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
@@ -155,7 +166,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, keep_ids: bool = T
         for batch in batches:
             ids = []
             for piece, begin, stitch in zip(*(batch[c].to_pylist() for c in ("piece", "begin", "stitch")), strict=True):
-                ids.append(tool.encode(piece[begin or 0 : None if stitch is None else chunk + stitch]))
+                ids.append(tool.encode_between(piece, begin or 0, None if stitch is None else chunk + stitch))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("key", "doc_id", "copies", "no")), pa.array(ids, pa.binary())], names=["key", "doc_id", "copies", "no", "ids"])
 
     def same_text(a: DataFrame, b: DataFrame) -> list:

@@ -181,6 +181,16 @@ def test_byte_bpe(spark, texts):
         assert bytes(r.decoded) == text.encode() and r.n_tokens * 4 == len(r.ids)
 
 
+def test_byte_bpe_stitches_after_blank_lines(spark):
+    """White space in front of a stitch is matched as in the whole text, wherever in the overlap it lies."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    tool = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["x" * (700 + i - len(gap)) + gap + "Next" + " more" * 200 for i in range(1, 200) for gap in ("\n\n", " \t\t", "\n \n")]
+    for r in byte_bpe.encode(table(spark, texts), path, public_tokenizers.PATTERN, chunk=700, overlap=200).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == tool.encode_ordinary(texts[r.doc_id])
+
+
 def test_language_id(spark):
     rnd = random.Random(6)
     parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["ber", "sch", "ung", "eit"]}
