@@ -22,16 +22,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later occurrences of runs of lines; n_chars follows the text."""
+    """Delete later occurrences of runs of three lines or fifty words; n_chars follows the text."""
     kept = line_dedup.dedup(docs)
     return kept.select(*(F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near duplicates."""
-    found = minhash_dedup.near_duplicates(docs, percent=NEAR)
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone__")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone__")), "left_anti")
+    """Keep the document with the smallest doc_id of each group of near duplicates; a row goes by its doc_id and text."""
+    found = minhash_dedup.near_duplicates(docs, percent=NEAR, with_body=True)
+    return common.without(docs, found.where("not kept"))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,13 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id and hash of the text are not in ``gone(doc_id, body)`` (null ids compare equal)."""
+    names = [fresh(docs, c) for c in ("id__", "body__")]
+    keys = gone.select(F.col("doc_id").alias(names[0]), F.col("body").alias(names[1])).distinct()
+    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col(names[0])) & (F.xxhash64(docs["text"].cast("string")) == F.col(names[1])), "left_anti")
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``links(a, b)``, longs: ``node, root``, root the smallest node.
 

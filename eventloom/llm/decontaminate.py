@@ -46,14 +46,15 @@ def items_of(benchmark: DataFrame, *, shingle: int = SHINGLE, containment: int =
     return cut.withColumn("sketch", F.slice(F.array_sort(hashed), F.lit(1), size))
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, containment: int = CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contained(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE, containment: int = CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS, with_body: bool = False) -> DataFrame:
     """Pairs of a document and a test item it contains.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the lower-cased text; an item is contained if
     ``containment`` hundredths or more of its distinct shingles occur in the document.
     Returns ``doc_id, item_id, n_item, n_shared`` (long), once for each different pair of
     texts under the two ids.  Null or wordless documents and items occur in no pair;
-    repeated rows give one pair; a null id is reported as null.
+    repeated rows give one pair; a null id is reported as null.  ``with_body`` adds
+    ``body``, the xxhash64 of the document's text.
     """
     items = common.written(items_of(benchmark, shingle=shingle, containment=containment), "items")
     sketches = items.select("width", "item_id", F.xxhash64("shingles").alias("item_body"), F.explode("sketch").alias("h"))
@@ -73,17 +74,17 @@ def contained(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGLE,
     named = candidates.join(full, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_body") == F.col("b")))
     per_doc = named.groupBy("doc_id", "body").agg(F.collect_list(F.struct("item_id", "width", "shingles")).alias("items"))
     asked = per_doc.select(F.col("doc_id").alias("id2"), F.col("body").alias("body2"), "items")
-    texts = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("body") == F.col("body2"))).select("doc_id", "items", _words(F.col("text")).alias("w"))
+    named_by = ["doc_id", "body"] if with_body else ["doc_id"]
+    texts = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("body") == F.col("body2"))).select(*named_by, "items", _words(F.col("text")).alias("w"))
     out = None
     for width in sorted(known.widths or [shingle]):
-        own = texts.select("doc_id", F.filter("items", lambda x: x["width"] == width).alias("items"), "w").where(F.size("items") > 0)
-        cut = own.select("doc_id", "items", F.array_distinct(_runs("w", width, _joined)).alias("s"))
-        pairs = cut.select("doc_id", F.explode(F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"), F.size(x["shingles"]).cast("long").alias("n_item"), F.size(F.array_intersect(x["shingles"], F.col("s"))).cast("long").alias("n_shared")))).alias("p")).select("doc_id", "p.*")
+        own = texts.select(*named_by, F.filter("items", lambda x: x["width"] == width).alias("items"), "w").where(F.size("items") > 0)
+        cut = own.select(*named_by, "items", F.array_distinct(_runs("w", width, _joined)).alias("s"))
+        pairs = cut.select(*named_by, F.explode(F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"), F.size(x["shingles"]).cast("long").alias("n_item"), F.size(F.array_intersect(x["shingles"], F.col("s"))).cast("long").alias("n_shared")))).alias("p")).select(*named_by, "p.*")
         out = pairs if out is None else out.union(pairs)
     return out.where(F.col("n_shared") * 100 >= F.col("n_item") * containment).distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id contains no test item (null ids compare equal)."""
-    bad = contained(docs, benchmark, **options).select(F.col("doc_id").alias("bad__")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad__")), "left_anti")
+    """The rows of ``docs``, all columns, whose text contains no test item."""
+    return common.without(docs, contained(docs, benchmark, **options, with_body=True))

@@ -78,7 +78,7 @@ def signatures(value: np.ndarray, at: np.ndarray, values: int = VALUES) -> np.nd
 
 
 def set_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, node, sig``: node is a hash of the whole set (null if empty), sig its signature."""
+    """``doc_id, body, n_shingles, node, sig``: body is a hash of the text, node is a hash of the whole set (null if empty), sig its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,11 +92,11 @@ def set_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     for i, row in zip(full.tolist(), signatures(value, at), strict=True):
                         sig[i] = row.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), pa.array(sig, pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "sig"],
+                    [part["doc_id"], part["body"], pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), pa.array(sig, pa.binary())],
+                    names=["doc_id", "body", "n_shingles", "node", "sig"],
                 )
 
-    return common.identified(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, sig binary")
+    return common.identified(docs).withColumn("body", F.xxhash64("text")).mapInArrow(run, "doc_id long, body long, n_shingles long, node long, sig binary")
 
 
 @lru_cache(8)
@@ -212,7 +212,7 @@ def _overlapping(percent: int) -> Column:
     return 100 * most >= percent * (F.col("n_a") + F.col("n") - most)
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGLE, miss: float = MISS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGLE, miss: float = MISS, with_body: bool = False) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``.
 
     Letters A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a document's set
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
     doc_id reachable, and whether it is the row's own.  Null, empty and wordless
     texts have n_shingles 0 and no links.  Repeated rows give repeated rows, kept
     alike.  A null doc_id links as any other but never becomes a component_id
-    unless nothing else is reachable.
+    unless nothing else is reachable.  ``with_body`` adds ``body``, the xxhash64 of the text.
     """
     table = common.written(set_table(docs, shingle), "sets")
     classes = table.where("node is not null").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
@@ -306,6 +306,6 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
     of_node = named.join(ids, "root").select("node", "component")
     return (
         table.join(of_node, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+        .select("doc_id", *(["body"] if with_body else []), "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

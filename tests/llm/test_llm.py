@@ -154,6 +154,21 @@ def test_line_dedup_by_words(spark):
     assert all(r.n_removed == 0 for r in line_dedup.dedup(table(spark, texts), min_words=None).collect())
 
 
+def test_removal_by_row(spark, tmp_path):
+    """A hit among rows with one id, null or repeated, leaves the others of that id."""
+    rnd = random.Random(12)
+    text = lambda: " ".join(f"u{rnd.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, item = (text() for _ in range(5))
+    docs = table(spark, [a, a, b, c, d, a, None, d + " " + item, item], [1, None, None, None, 2, 2, None, 2, None])
+    import corpus_pipeline
+
+    left = corpus_pipeline.dedup_near(spark, docs, "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(1, a), (0, b), (0, c), (2, d), (0, ""), (2, d + " " + item), (0, item)])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(1, a), (0, a), (0, b), (0, c), (2, d), (2, a), (0, "")])
+
+
 def test_decontaminate(spark):
     rnd = random.Random(2)
     words = [f"t{i}" for i in range(500)]
