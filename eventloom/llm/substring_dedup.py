@@ -2,16 +2,17 @@
 
 1. Every run of windows is named by its anchor, the least hash of the short word
    runs inside its windows.  Equal windows have equal anchors, so a window can only
-   repeat where its anchor does; all else leaves the work here.
-2. The runs with a repeated anchor ("segments", of bounded length) are reduced to
-   different texts, with the smallest document of each, and dealt by anchor.  An
-   anchor's segments are one reference shard.  Broadcasting every shard to every
-   task would cost shards times documents, so a shard's automaton is built where its
-   rows arrive, and just the segments that can match it are streamed over it.
-3. Matching statistics give, for each window, the smallest document that has it;
-   maximal spans of windows that an earlier document has are removed.
-4. Shards of more than ``shard_limit`` texts are not gathered: their windows are
-   grouped one by one, by hash and text, which finds the same.
+   repeat where its anchor does; all else leaves the work here.  Such a run of windows
+   is a segment, of bounded length; a hash of its words tells different ones apart.
+2. The different segments of one anchor are its reference shard, each with the
+   smallest document that has it.  Only shards of two or more texts need words, and
+   these are fetched from the smallest document alone.
+3. Per shard a suffix automaton is built in the task where the shard lies, and its
+   segments are streamed over it.  Matching statistics give, for each window, the
+   smallest document that has it; maximal spans of windows that an earlier document
+   has are removed.  A shard of one text has one owner throughout.
+4. Shards of more than ``shard_limit`` texts are not gathered in one task: their windows
+   are grouped one by one, by hash and text, which finds the same.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SHARD_LIMIT = 1024
 FREQUENT, FREQUENT_MOST = 256, 20_000
 #: Windows in a segment at most.
 SEGMENT = 64
+#: A segment's place is one long: its first word times this, plus its windows.
+_PACK = 128
 
 
 class SuffixAutomaton:
@@ -104,13 +107,13 @@ class SuffixAutomaton:
         return out
 
 
-def anchors(words: Words, window: int, anchor: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments: text number, first word in the text, windows, and anchor."""
+def anchors(words: Words, window: int, anchor: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments: text number, first word in the text, windows, anchor, and first word in ``words``."""
     none = np.zeros(0, np.int64)
     least = words.windows(anchor)
     have, width = 1, window - anchor + 1
     if len(least) < width:
-        return none, none, none, none
+        return none, none, none, none, none
     least = mix(least) >> np.uint64(1)
     if len(frequent):
         # Frequent runs of words name a window only if it has no other.
@@ -123,7 +126,7 @@ def anchors(words: Words, window: int, anchor: int, frequent: np.ndarray) -> tup
         least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
     at = np.flatnonzero(words.valid(window))
     if not len(at):
-        return none, none, none, none
+        return none, none, none, none, none
     name = least[at] & np.uint64((1 << 63) - 1)
     text = np.searchsorted(words.first, at, side="right") - 1
     new = np.ones(len(at), bool)
@@ -134,7 +137,7 @@ def anchors(words: Words, window: int, anchor: int, frequent: np.ndarray) -> tup
         parts = -(-size // SEGMENT)
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         begin, size = np.repeat(begin, parts) + nth * SEGMENT, np.minimum(SEGMENT, np.repeat(size, parts) - nth * SEGMENT)
-    return text[begin], at[begin] - words.first[text[begin]], size, name[begin].view(np.int64)
+    return text[begin], at[begin] - words.first[text[begin]], size, name[begin].view(np.int64), at[begin]
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -142,25 +145,28 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, shard_limit: int = SHARD_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Spans to remove, and the documents that may have some.
+    """What to remove, and the documents that may lose something.
 
-    ``spans(doc_id, body, begin, end)``: word numbers, end exclusive, of windows
+    ``gone(doc_id, body, removals)``: spans (begin, end) of word numbers, end exclusive, of windows
     whose words also start in a document with a smaller doc_id.  ``texts(doc_id,
-    body, text, hits)``: documents with a repeated anchor; body is a hash of the
+    body, text)``: documents with an anchor that an earlier one has; body is a hash of the
     text that tells apart different texts under one doc_id.
     """
     rows = _keys(docs)
+    known = rows.where("doc_id is not null")
     frequent = np.zeros(0, np.uint64)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in small_batches(batch, "text"):
-                text, begin, size, name = anchors(Words(texts), window, anchor, frequent)
+                words = Words(texts)
+                text, begin, size, name, at = anchors(words, window, anchor, frequent)
                 if len(text):
                     take = pa.array(text)
+                    whole = words.runs(at, at + size + window - 1)
                     yield pa.RecordBatch.from_arrays(
-                        [part["doc_id"].take(take), part["body"].take(take), pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(name)],
-                        names=["doc_id", "body", "begin", "size", "anchor"],
+                        [part["doc_id"].take(take), part["body"].take(take), pa.array(begin * _PACK + size), pa.array(name), pa.array(whole.view(np.int64))],
+                        names=["doc_id", "body", "at", "anchor", "whole"],
                     )
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,95 +176,96 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
 
     # An anchor inside a very common passage would gather all that stands beside the passage.
     # Fewer than FREQUENT_MOST anchors can hold more than that share of all that are counted.
-    counts = common.written(rows.where("doc_id is not null").mapInArrow(names, "anchor long").groupBy("anchor").count().where(F.col("count") >= FREQUENT), "frequent")
+    counts = common.written(known.mapInArrow(names, "anchor long").groupBy("anchor").count().where(F.col("count") >= FREQUENT), "frequent")
     total = counts.agg(F.sum("count")).first()[0] or 0
     often = counts.where(F.col("count") > total / FREQUENT_MOST).select("anchor").collect()
     frequent = np.sort(np.array([r.anchor for r in often], np.uint64))
-    found = common.written(rows.where("doc_id is not null").mapInArrow(find, "doc_id long, body long, begin int, size int, anchor long"), "anchors")
-    repeated = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    hits = found.join(repeated, "anchor").groupBy("doc_id", "body").agg(F.array_sort(F.collect_list(F.struct("begin", "size", "anchor"))).alias("hits"))
-    texts = common.written(rows.join(hits, ["doc_id", "body"]), "hit-texts")
+    found = common.written(known.mapInArrow(find, "doc_id long, body long, at long, anchor long, whole long"), "anchors")
+    # Written by itself, so that the join deals an anchor with very many places to several tasks.
+    repeated = common.written(found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor", "lo"), "repeated")
+    places = common.written(found.join(repeated, "anchor"), "places")
+    common.dropped(counts, found, repeated)
+    different = common.written(places.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "body", "at")).alias("owner"), F.max("doc_id").alias("hi")), "segments")
+    shards = common.written(different.groupBy("anchor").agg(F.count("*").alias("texts")).where("texts > 1"), "shards")
+    sized = common.written(different.join(shards, "anchor", "left"), "sized")
+    common.dropped(different, shards)
+
+    asked = sized.where("texts is not null").groupBy("owner.doc_id", "owner.body").agg(F.collect_list(F.struct("owner.at", "anchor", "whole", "texts", "hi")).alias("hits"))
+    losers = places.where("doc_id > lo").select("doc_id", "body").distinct()
+    wanted = losers.join(asked, ["doc_id", "body"], "full_outer")
+    texts = common.written(known.join(wanted, ["doc_id", "body"]), "hit-texts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in small_batches(batch, "text"):
-                out: list[list] = [[], [], [], [], []]
-                for doc_id, body, text, places in zip(part["doc_id"].to_pylist(), part["body"].to_pylist(), raw, part["hits"].to_pylist(), strict=True):
+                out: list[list] = [[], [], [], [], [], []]
+                for doc_id, text, hits in zip(part["doc_id"].to_pylist(), raw, part["hits"].to_pylist(), strict=True):
                     tokens = text.split()
-                    for p in places:
-                        for col, v in zip(out, (doc_id, body, p["begin"], p["anchor"], b" ".join(tokens[p["begin"] : p["begin"] + p["size"] + window - 1])), strict=True):
+                    for p in hits:
+                        begin, size = divmod(p["at"], _PACK)
+                        for col, v in zip(out, (p["anchor"], p["whole"], p["texts"], doc_id, p["hi"], b" ".join(tokens[begin : begin + size + window - 1])), strict=True):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())],
-                    names=["doc_id", "body", "begin", "anchor", "words"],
-                )
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.binary())], names=["anchor", "whole", "texts", "lo", "hi", "words"])
 
-    segments = texts.mapInArrow(cut, "doc_id long, body long, begin int, anchor long, words binary")
-    different = common.written(segments.groupBy("anchor", "words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "segments")
-    shards = different.groupBy("anchor").agg(F.count("*").alias("texts"), F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most")
-    sized = different.join(shards.select("anchor", "texts"), "anchor")
-    verdict = "name binary, begin int, end int, first long"
+    segments = common.written(texts.where("hits is not null").mapInArrow(cut, "anchor long, whole long, texts long, lo long, hi long, words binary"), "segment-words")
+    verdict = "anchor long, whole long, begin int, end int, first long"
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by anchor; a shard's rows are together, over batches if need be."""
 
-        def shard(rows: list[tuple[bytes, int, int]], out: list[list]) -> None:
-            if len(rows) == 1:  # its automaton has one owner
-                words, lo, hi = rows[0]
-                n = words.count(b" ") + 2 - window
-                runs = [(words, 0, n, lo)] if lo < hi else []
-            else:
-                number: dict[bytes, int] = {}
-                coded = [([number.setdefault(w, len(number)) for w in words.split(b" ")], lo) for words, lo, _ in rows]
-                known = SuffixAutomaton(coded)
-                runs = []
-                for (words, _, hi), (tokens, _) in zip(rows, coded, strict=True):
-                    begin, was = 0, None
-                    for i, owner in enumerate([*known.owners(tokens, window), None]):
-                        if owner != was:
-                            if was is not None and was < hi:
-                                runs.append((words, begin, i, int(was)))
-                            begin, was = i, owner
-            for words, begin, end, first in runs:
-                for col, v in zip(out, (hashlib.md5(words).digest(), begin, end, first), strict=True):
-                    col.append(v)
+        def shard(at: int, rows: dict[int, tuple[bytes, int, int]], out: list[list]) -> None:
+            number: dict[bytes, int] = {}
+            coded = {k: [number.setdefault(w, len(number)) for w in words.split(b" ")] for k, (words, _, _) in rows.items()}
+            reference = SuffixAutomaton([(coded[k], lo) for k, (_, lo, _) in rows.items()])
+            for k, (_, _, hi) in rows.items():
+                begin, was = 0, None
+                for i, owner in enumerate([*reference.owners(coded[k], window), None]):
+                    if owner != was:
+                        if was is not None and was < hi:
+                            for col, v in zip(out, (at, k, begin, i, int(was)), strict=True):
+                                col.append(v)
+                        begin, was = i, owner
 
         def flush(out: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], names=["name", "begin", "end", "first"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["anchor", "whole", "begin", "end", "first"])
 
-        held: list[tuple[bytes, int, int]] = []
-        at, out = None, [[], [], [], []]
+        held: dict[int, tuple[bytes, int, int]] = {}
+        at, out = None, [[], [], [], [], []]
         for batch in batches:
-            for a, words, lo, hi in zip(*(batch[c].to_pylist() for c in ("anchor", "words", "lo", "hi")), strict=True):
+            for a, whole, words, lo, hi in zip(*(batch[c].to_pylist() for c in ("anchor", "whole", "words", "lo", "hi")), strict=True):
                 if a != at and held:
-                    shard(held, out)
-                    held = []
+                    shard(at, held, out)
+                    held = {}
                     if len(out[0]) > 20_000:
                         yield flush(out)
-                        out = [[], [], [], []]
+                        out = [[], [], [], [], []]
                 at = a
-                held.append((words, lo, hi))
+                held[whole] = (words, lo, hi)
         if held:
-            shard(held, out)
+            shard(at, held, out)
         yield flush(out)
 
-    small = sized.where(F.col("texts") <= shard_limit).select("anchor", "words", "lo", "hi").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, verdict)
+    small = segments.where(F.col("texts") <= shard_limit).select("anchor", "whole", "words", "lo", "hi").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, verdict)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, lo, hi in zip(*(batch[c].to_pylist() for c in ("words", "lo", "hi")), strict=True):
-                tokens, name = words.split(b" "), hashlib.md5(words).digest()
+            for a, whole, words, lo, hi in zip(*(batch[c].to_pylist() for c in ("anchor", "whole", "words", "lo", "hi")), strict=True):
+                tokens = words.split(b" ")
                 keys = [hashlib.sha256(b" ".join(tokens[i : i + window])).digest()[:20] for i in range(len(tokens) - window + 1)]
                 n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([name] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([lo] * n, pa.int64()), pa.array([hi] * n, pa.int64())], names=["key", "name", "begin", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([v] * n, pa.int64()) for v in (a, whole)), pa.array(range(n), pa.int32()), *(pa.array([v] * n, pa.int64()) for v in (lo, hi))], names=["key", "anchor", "whole", "begin", "lo", "hi"])
 
-    single = sized.where(F.col("texts") > shard_limit).select("words", "lo", "hi").mapInArrow(windows, "key binary, name binary, begin int, lo long, hi long")
+    single = segments.where(F.col("texts") > shard_limit).select("anchor", "whole", "words", "lo", "hi").mapInArrow(windows, "key binary, anchor long, whole long, begin int, lo long, hi long")
     firsts = single.groupBy("key").agg(F.min("lo").alias("first"))
-    large = single.join(firsts, "key").where("first < hi").select("name", "begin", (F.col("begin") + 1).alias("end"), "first")
-    verdicts = small.union(large)
-    named = segments.select(F.unhex(F.md5("words")).alias("name"), "doc_id", "body", F.col("begin").alias("at"))
-    spans = named.join(verdicts, "name").where("first < doc_id").select("doc_id", "body", (F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end") + window - 1).alias("end"))
-    return spans, texts
+    large = single.join(firsts, "key").where("first < hi").select("anchor", "whole", "begin", (F.col("begin") + 1).alias("end"), "first")
+    own = F.col("owner.doc_id")
+    alone = sized.where(F.col("texts").isNull() & (own < F.col("hi"))).select("anchor", "whole", F.lit(0).alias("begin"), F.pmod("owner.at", F.lit(_PACK)).cast("int").alias("end"), own.alias("first"))
+    verdicts = common.written(alone.union(small).union(large), "verdicts")
+    at = F.shiftright("at", _PACK.bit_length() - 1)
+    spans = places.join(verdicts, ["anchor", "whole"]).where("first < doc_id").select("doc_id", "body", (at + F.col("begin")).alias("begin"), (at + F.col("end") + window - 1).alias("end"))
+    gone = common.written(spans.groupBy("doc_id", "body").agg(F.collect_set(F.struct("begin", "end")).alias("removals")), "removals")
+    common.dropped(places, sized, segments, verdicts)
+    return gone, texts.drop("hits")
 
 
 def dedup(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, shard_limit: int = SHARD_LIMIT, keep_text: bool = True) -> DataFrame:
@@ -270,7 +277,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, shard_
     ``doc_id, n_words, n_removed, kept_sha256`` and, with ``keep_text``, ``kept_text``
     (kept words joined by one space).  Null, empty and short texts lose nothing.
     """
-    spans, texts = repeated_spans(docs, window=window, anchor=anchor, shard_limit=shard_limit)
+    gone, texts = repeated_spans(docs, window=window, anchor=anchor, shard_limit=shard_limit)
     fields = "doc_id long, body long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +303,6 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, shard_
                     columns.append(pa.array(out[3], pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in fields.split(", ")])
 
-    gone = common.written(spans.groupBy("doc_id", "body").agg(F.collect_set(F.struct("begin", "end")).alias("removals")), "removals")
     changed = texts.join(gone, ["doc_id", "body"]).select("doc_id", "body", "text", "removals").mapInArrow(kept, fields)
     whole = _keys(docs).mapInArrow(kept, fields)
     by = [c.split()[0] for c in fields.split(", ")][2:]

@@ -73,6 +73,12 @@ class Words:
             return np.zeros(0, np.uint64)
         return window_hashes(self.hashes, size)
 
+    def runs(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words from ``begin`` to ``end``, exclusive, for each pair of word numbers."""
+        up, down = _power_tables(len(self.hashes) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hashes * up[: len(self.hashes)], dtype=np.uint64)))
+        return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
     def valid(self, size: int) -> np.ndarray:
         """For each entry of ``windows(size)``, whether it lies within one text."""
         n = max(0, len(self.hashes) - size + 1)
