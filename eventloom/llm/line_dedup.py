@@ -81,13 +81,13 @@ def repeated_lines(docs: DataFrame, *, min_run: int = MIN_RUN, min_words: int |
     # Each table is written by itself, so that joins deal a very common line to several tasks.
     marks = common.written(places.groupBy("mark").agg(F.count("*").alias("times")).where("times > 1").select("mark"), "marks")
     # From a fingerprint the match extends both ways, over the windows that it stands for; the next fingerprint goes on from there.
-    near = places.join(marks, "mark").select("doc_id", "body", "mark", "at", "width", F.posexplode("wholes").alias("step", "whole"))
+    near = places.join(marks.hint("merge"), "mark").select("doc_id", "body", "mark", "at", "width", F.posexplode("wholes").alias("step", "whole"))
     windows = common.written(near.select("doc_id", "body", "mark", "whole", (F.col("at") + F.col("step")).alias("at"), "width"), "line-windows")
     common.dropped(places, marks)
     place = F.struct("doc_id", "body", "at")
     # A document's copies of one row are one document here.
     firsts = common.written(windows.groupBy("mark", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last"), "first-windows")
-    later = windows.join(firsts, ["mark", "whole"]).where(place > F.col("first"))
+    later = windows.join(firsts.hint("merge"), ["mark", "whole"]).where(place > F.col("first"))
     lines = F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)))
     found = common.written(later.groupBy("doc_id", "body").agg(F.array_distinct(lines).alias("gone")), "later-lines")
     common.dropped(windows, firsts)
@@ -113,7 +113,7 @@ def dedup(docs: DataFrame, *, min_run: int = MIN_RUN, min_words: int | None = MI
     keyed = docs.withColumn(body, F.xxhash64(F.col("text")))
     found = repeated_lines(docs.select(F.col("doc_id"), F.xxhash64("text").alias("body"), "text"), min_run=min_run, min_words=min_words)
     found = found.select(F.col("doc_id").alias(same_id), F.col("body").alias(body + "2"), F.col("gone").alias(gone))
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col(same_id)) & (F.col(body) == F.col(body + "2")), "left")
+    joined = keyed.join(found.hint("merge"), keyed["doc_id"].eqNullSafe(F.col(same_id)) & (F.col(body) == F.col(body + "2")), "left")
     lines = _lines(F.col("text"))
 
     def rest(parts: Column) -> Column:
