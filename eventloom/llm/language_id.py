@@ -7,6 +7,7 @@ that needs the fewest phrases, in bits per character, wins (cross-parsing entrop
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,40 +18,48 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Bounds of the labelled sample: texts per language, and characters per language in its automaton.
+#: Bounds of the labelled sample: texts per language, characters per language in its automaton, and characters in all automata.
 SAMPLE_TEXTS = 64
 SAMPLE_CHARS = 24_000
-#: Characters parsed in step; a phrase ends where such a stretch ends, for every language alike.
+MODEL_CHARS = 600_000
+#: Characters parsed in step.
 STRETCH = 256
 _ALPHABET = 64
+_FOREIGN = _ALPHABET - 1
 
-
-def _fold() -> np.ndarray:
-    """Code point (below 0x10000) to symbol: 0 ends a word, 1-26 a-z, other letters hashed to 27-63."""
-    table = np.zeros(0x10000, np.uint8)
-    for cp in range(0x10000):
-        ch = chr(cp)
-        if ch.isalpha():
-            low = ch.lower()[0]
-            table[cp] = ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) * 40503 >> 4) % 37
-    return table
+_LETTERS: list[np.ndarray] = []
 
 
-_FOLD: list[np.ndarray] = []
+def _letters() -> np.ndarray:
+    """For every code point, ``_FOREIGN`` if it is a letter and 0 if not."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((_FOREIGN if chr(c).isalpha() else 0 for c in range(0x110000)), np.uint8, 0x110000))
+    return _LETTERS[0]
 
 
-def symbols(text: str) -> np.ndarray:
-    """Symbols of a text; runs of non-letters count once."""
-    if not _FOLD:
-        _FOLD.append(_fold())
+def code_points(text: str) -> np.ndarray:
+    """Code points of a text's letters; each run of others is left as its first one."""
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = _FOLD[0][np.minimum(cps, 0xFFFF)]
-    high = cps > 0xFFFF
-    if high.any():
-        out[high] = [27 + (c * 40503 >> 4) % 37 if chr(c).isalpha() else 0 for c in cps[high].tolist()]
-    keep = out > 0
-    keep[1:] |= out[:-1] > 0
-    return out[keep]
+    letter = _letters()[cps] > 0
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    return cps[keep]
+
+
+def alphabet(texts: list[str]) -> str:
+    """The most frequent letters of a language's sample, as many as have symbols of their own."""
+    seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
+    return "".join(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: _FOREIGN - 1])
+
+
+def fold(letters: str) -> np.ndarray:
+    """Code point to symbol: 0 ends a word, then the letters of the alphabet in either case; all others are ``_FOREIGN``."""
+    table = _letters().copy()
+    for i, c in enumerate(letters):
+        for form in (c, c.upper()):
+            if len(form) == 1:
+                table[ord(form)] = i + 1
+    return table
 
 
 def automaton(sample: np.ndarray) -> np.ndarray:
@@ -90,46 +99,88 @@ def automaton(sample: np.ndarray) -> np.ndarray:
     return table
 
 
-def phrases(table: np.ndarray, steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Phrases that each stretch needs; ``steps[i]`` has the i-th symbol of all stretches, longest stretches first."""
+def cuts(table: np.ndarray, steps: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """How many phrases begin in each stretch, apart from the one that begins with a text.
+
+    ``steps[i]`` has the i-th symbol of all stretches, longest stretches first;
+    ``before`` is the number of the stretch that the text had before, or -1.  All
+    stretches are first parsed in step as if a phrase began with each.  Then those that
+    follow another are parsed again from the state in which that one ended, until they
+    reach a state that they had before; from there on both parses are the same.  This goes on while an end
+    changes, so phrases run on over the ends of stretches as in a parse of the whole text.
+    """
     flat = table.reshape(-1)
-    state = np.zeros(steps.shape[1], np.int32)
-    count = np.ones(steps.shape[1], np.int32)
-    active = np.searchsorted(-sizes, -np.arange(steps.shape[0]), side="left")
+    height, width = steps.shape
+    states = np.zeros((height, width), np.int32)
+    begun = np.zeros((height, width), bool)
+    state = np.zeros(width, np.int32)
+    active = np.searchsorted(-sizes, -np.arange(height), side="left")
     for i, n in enumerate(active.tolist()):
         nxt = flat[(state[:n] << 6) | steps[i, :n]]
-        count[:n] += nxt < 0
+        begun[i, :n] = nxt < 0
         state[:n] = nxt ^ (nxt >> 31)
-    return count
+        states[i, :n] = state[:n]
+    after = np.full(width, -1)
+    after[before[before >= 0]] = np.flatnonzero(before >= 0)
+    at = np.flatnonzero(before >= 0)
+    at = at[states[sizes[before[at]] - 1, before[at]] != 0]
+    while len(at):
+        now = states[sizes[before[at]] - 1, before[at]]
+        changed = []
+        for i in range(height):
+            nxt = flat[(now << 6) | steps[i, at]]
+            begun[i, at] = nxt < 0
+            now = nxt ^ (nxt >> 31)
+            apart = states[i, at] != now
+            states[i, at] = now
+            ended = apart & (sizes[at] == i + 1)
+            changed.append(at[ended])
+            apart &= ~ended
+            at, now = at[apart], now[apart]
+            if not len(at):
+                break
+        at = after[np.concatenate(changed)] if changed else at
+        at = at[at >= 0]
+    return begun.sum(0)
 
 
 class Model:
-    """Automata of the learned languages, in the order of their names."""
+    """Automata of the learned languages, in the order of their names, and the letters that each knows."""
 
-    def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS):
+    def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS, model_chars: int = MODEL_CHARS):
         self.langs = sorted(samples)
-        self.tables, self.bits = [], []
+        self.letters, self.tables, self.bits = [], [], []
+        chars = min(chars, max(1, model_chars // max(1, len(samples))))
         for lang in self.langs:
-            got = symbols("\n".join(samples[lang]))[:chars]
+            letters = alphabet(samples[lang])
+            got = fold(letters)[code_points("\n".join(samples[lang]))][:chars]
+            self.letters.append(letters)
             self.tables.append(automaton(got))
             self.bits.append(np.log2(max(2, len(got))))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        coded = [symbols(t) for t in texts]
-        sizes = np.fromiter((len(c) if c.any() else 0 for c in coded), np.int64, len(coded))
+        coded = [code_points(t) for t in texts]
+        sizes = np.fromiter((len(c) if _letters()[c].any() else 0 for c in coded), np.int64, len(coded))
         if not self.langs or not sizes.any():
             return ["und"] * len(texts), [0.0] * len(texts)
-        parts = np.maximum(1, -(-sizes // STRETCH)) * (sizes > 0)
+        parts = -(-sizes // STRETCH)
         owner = np.repeat(np.arange(len(coded)), parts)
         first = np.cumsum(parts) - parts
         nth = np.arange(len(owner)) - first[owner]
         length = np.minimum(STRETCH, sizes[owner] - nth * STRETCH)
         order = np.argsort(-length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(nth > 0, place[np.arange(len(owner)) - 1], -1)[order]
         owner, nth, length = owner[order], nth[order], length[order]
-        every = np.concatenate([*(c for c, n in zip(coded, sizes, strict=True) if n), np.zeros(STRETCH, np.uint8)])
+        every = np.concatenate([*(c for c, n in zip(coded, sizes, strict=True) if n), np.zeros(STRETCH, np.uint32)])
         begin = (np.cumsum(sizes) - sizes)[owner] + nth * STRETCH
-        steps = np.ascontiguousarray(every[begin[None, :] + np.arange(int(length.max()))[:, None]]).astype(np.int32)
-        cost = np.stack([b * np.bincount(owner, phrases(t, steps, length), len(coded)) for t, b in zip(self.tables, self.bits, strict=True)])
+        where = begin[None, :] + np.arange(int(length.max()))[:, None]
+        cost = []
+        for table, letters, bits in zip(self.tables, self.letters, self.bits, strict=True):
+            steps = fold(letters)[every][where].astype(np.int32)
+            cost.append(bits * ((sizes > 0) + np.bincount(owner, cuts(table, steps, length, before), len(coded))))
+        cost = np.stack(cost)
         best = cost.argmin(0)
         low = cost.min(0)
         rest = np.where(np.arange(len(cost))[:, None] == best[None, :], np.inf, cost).min(0) if len(cost) > 1 else np.full(len(coded), np.inf)
@@ -146,7 +197,8 @@ def fit(docs: DataFrame, may_learn: Column, *, sample_texts: int = SAMPLE_TEXTS,
 
     ``sample_texts`` hash slots per language hold one text each, chosen from the
     columns doc_id and lang alone; ``sample_chars`` bounds each automaton.  Only
-    the sample's texts reach the driver.  Rows without text, lang or doc_id are
+    the sample's texts reach the driver, and ``MODEL_CHARS`` bounds all automata together: with
+    more than MODEL_CHARS / sample_chars languages each gets less.  Rows without text, lang or doc_id are
     not learned from; a language whose sample has no letters is dropped.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where(may_learn & F.col("lang").isNotNull())
@@ -160,25 +212,25 @@ def fit(docs: DataFrame, may_learn: Column, *, sample_texts: int = SAMPLE_TEXTS,
     # An equal share of the automaton for each text, so that one long text does not fill it.
     share = {lang: max(200, 2 * sample_chars // len(got)) for lang, got in samples.items()}
     texts = {lang: [t[: share[lang]] for _, t in sorted(got)] for lang, got in samples.items()}
-    return Model({k: v for k, v in texts.items() if any(symbols(t).any() for t in v)}, sample_chars)
+    return Model({k: v for k, v in texts.items() if any(_letters()[code_points(t)].any() for t in v)}, sample_chars)
 
 
 def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs``, and ``lang_pred`` and ``score`` (these replace columns so named); see ``predict``.
+    """All columns of ``docs``, and ``lang_pred`` and ``score``, with underscores behind where ``docs`` has such names; see ``predict``.
 
     Rows pass through the parser in batches with their other columns, so nothing is joined.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
-    text = next(c for c in kept.columns if c.lower() == "text")
+    text = next(c for c in docs.columns if c.lower() == "text")
+    new = [common.fresh(docs, "lang_pred"), common.fresh(docs, "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = _predicted(shared.value, batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, langs, scores], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, langs, scores], names=[*batch.schema.names, *new])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def _predicted(known: Model, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
