@@ -43,7 +43,8 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.split = regex.compile(pattern).findall
         self.spans = regex.compile(pattern).finditer
-        self._piece = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        # Its own pattern takes a pre-token as it is, so that it merges bytes and splits nothing.
+        self._piece = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
