@@ -2,7 +2,7 @@
 
 Fixed patterns give the base spans.  Two character Markov models, of random strings
 and of ordinary identifiers, add further spans: tokens whose log-likelihood ratio
-per character is above a threshold.  Both are trained on a labelled sample: the
+is above one threshold per character and another in all.  Both are trained on a labelled sample: the
 strings that the patterns found, and the ordinary tokens beside them.
 """
 
@@ -23,31 +23,43 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 TOKEN = r"[A-Za-z0-9+/_.=-]+"
-#: Tokens shorter than this are not scored.
-LEAST_TOKEN = 20
+#: Tokens shorter than this are not scored, as for the patterns.
+LEAST_TOKEN = 12
 #: Documents in the training sample.
 SAMPLE_DOCS = 4_000
 #: Pairs that the characters' own frequencies count for.
 BACKOFF = 20.0
-#: Natural logarithm per character above which a token is taken for random.
-THRESHOLD = 0.8
+#: What each character counts for before any is seen, in the ordinary and the random model: few ordinary tokens do not make a rare letter a sign of chance.
+UNSEEN = (10.0, 1.0)
+#: Natural logarithms above which a token is taken for random: per character, and in all, so that a short one needs stronger evidence.
+THRESHOLD, TOTAL = 0.8, 15.0
+#: Matches placed at a time.
+_BLOCK = 256
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """Structs (start, kind, end, match) of a pattern's matches, in code points; [] where there is none."""
+    """Structs (start, kind, end, match) of a pattern's matches, in code points; [] where there is none.
+
+    Matches are placed in blocks, so that no long array is copied for each of them.
+    """
     kept = "array<struct<start:int,kind:int,end:int,match:string>>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kept).alias("out"))
 
     def walk(parts: Column) -> Column:
         # Each match starts behind all that went before it.
         def step(acc: Column, i: Column) -> Column:
-            begin = acc["at"] + F.length(F.element_at(parts["between"], i))
-            match = F.element_at(parts["found"], i)
+            begin = acc["at"] + F.length(F.get(parts["between"], i))
+            match = F.get(parts["found"], i)
             end = begin + F.length(match)
             one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), match.alias("match"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(parts["found"])), empty, step, lambda acc: acc["out"])
+        def block(acc: Column, first: Column) -> Column:
+            inside = F.sequence(first, F.least(first + _BLOCK, F.size(parts["found"])) - 1)
+            made = F.aggregate(inside, F.struct(acc["at"].alias("at"), F.array().cast(kept).alias("out")), step)
+            return common.bound(made, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kept}>").alias("out"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.size(parts["found"]) - 1, F.lit(_BLOCK)), empty, block, lambda acc: acc["out"]))
 
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
     return F.when(F.regexp_like(text, F.lit(pattern)), common.bound(parts, walk)).otherwise(F.array().cast(kept))
@@ -59,10 +71,6 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
 
 
-def _code(c: Column) -> Column:
-    return F.instr(F.lit(ALPHABET), c) - 1
-
-
 def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """Log-likelihood ratio of each pair of neighbouring characters, random over ordinary, row by row.
 
@@ -84,7 +92,7 @@ def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     logs = []
     for kind in (1, 0):
         # A pair never seen falls back on how often its second character occurs at all.
-        single = [sum(counts.get((kind, a + b), 0) for a in ALPHABET) + (1.0 if kind else 0.1) for b in ALPHABET]
+        single = [sum(counts.get((kind, a + b), 0) for a in ALPHABET) + UNSEEN[kind] for b in ALPHABET]
         alone = [x / sum(single) for x in single]
         table = []
         for a in ALPHABET:
@@ -95,28 +103,35 @@ def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     return [round(a - b, 6) for a, b in zip(*logs, strict=True)]
 
 
-def per_character(token: Column, model: Column) -> Column:
-    """Mean log-likelihood ratio of a token's transitions."""
+def log_ratio(token: Column, model: Column) -> Column:
+    """Log-likelihood ratio of a token's transitions, in all."""
     n = len(ALPHABET)
-    pair = lambda i: F.element_at(model, _code(F.substring(token, i, F.lit(1))) * n + _code(F.substring(token, i + 1, F.lit(1))) + 1)
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + pair(i)) / (F.length(token) - 1)
+    known = F.array(*[F.lit(ALPHABET.find(chr(c))) for c in range(128)])
+    codes = F.transform(F.filter(F.split(token, ""), lambda c: F.length(c) > 0), lambda c: F.get(known, F.ascii(c)))
+    steps = F.sequence(F.lit(1), F.length(token) - 1)
+    return common.bound(codes, lambda c: F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.get(model, F.get(c, i - 1) * n + F.get(c, i))))
 
 
-def scan(docs: DataFrame, *, least: int = LEAST_TOKEN, threshold: float = THRESHOLD, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def scan(docs: DataFrame, *, least: int = LEAST_TOKEN, threshold: float = THRESHOLD, total: float = TOTAL, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Spans of secrets in every whole text of ``docs(doc_id, text)``, a row per input row.
 
     Returns ``doc_id, base, spans``: arrays of structs (start, kind, end, match) sorted
     by start and kind; kind indexes ``KINDS``; positions are code points, ends
     exclusive.  ``base`` has the pattern matches alone; ``spans`` adds tokens of
     ``least`` or more characters that the models take for random and that no base
-    span overlaps.  Null and empty texts have none; repeated rows stay.
+    span overlaps; those without a letter are left out, since keys of digits alone cannot be
+    told from numbers, dates and addresses.  Null and empty texts have none; repeated rows and null ids stay; an
+    empty table gives an empty result.  The work grows with the length of a text and of a
+    token, not with its square.
     """
     model = F.array(*[F.lit(x) for x in train(docs, sample_docs=sample_docs)])
     rows = common.identified(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     based = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
     tokens = based.select("doc_id", "base", _spans(F.col("text"), TOKEN[:-1] + f"{{{least},}}", 3).alias("tokens"))
     free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    added = F.filter("tokens", lambda t: free(t) & (per_character(t["match"], model) > threshold))
+    needed = lambda t: F.greatest(F.lit(total), threshold * (F.length(t["match"]) - 1))
+    lettered = lambda t: F.regexp_like(t["match"], F.lit("[A-Za-z]"))
+    added = F.filter("tokens", lambda t: lettered(t) & free(t) & (log_ratio(t["match"], model) > needed(t)))
     return tokens.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
