@@ -1,4 +1,9 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, tokenising."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, tokenising.
+
+Every stage takes nulls in any column, repeated rows and ids, empty tables and further
+columns of any name: a row is judged by its doc_id and text, columns it does not change
+are carried along, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The prediction itself goes to the column lang only where that was null.
     """
     model = language_id.fit(docs, F.lit(True))
-    return language_id.annotate(docs, model).where("lang_pred <> 'und'").select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    told = F.col(common.fresh(docs, "lang_pred"))
+    return language_id.annotate(docs, model).where(told != "und").select(*(F.coalesce("lang", told).alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
