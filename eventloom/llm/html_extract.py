@@ -22,16 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages in the training sample.
+#: Pages in the training sample, and different blocks of each label learned from.
 SAMPLE_PAGES = 400
+SAMPLE_BLOCKS = 50_000
 #: Capacities of the smoothness edges: neighbours in the page, and next blocks under one parent.
 NEAR, SIBLING = 0.6, 0.4
 #: Log odds are cut here, so that no block outweighs every neighbour.
 MOST = 8.0
 
 # Tags of HTML.
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|object|svg|math|textarea|select|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|</?[a-z](?:[^>"']|"[^"]*"|'[^']*')*>|<[!?][^>]*>|[^<]+|<""", re.S | re.I)
-_NAME = re.compile(r"</?([a-z][a-z0-9:-]*)", re.I)
+_TAG = re.compile(r"</?([a-z][^\s/>]*)", re.I)
+#: What a tag has up to its end or to a quotation mark that opens a value.
+_PLAIN = re.compile(r"""[^>"']*""")
+_RAW = frozenset("script style template noscript iframe object svg math textarea select title".split())
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,11 +55,105 @@ _SPACE = re.compile(r"\s+")
 FEATURES = ("one", "bad_tag", "good_tag", "bad_word", "good_word", "links", "length", "words", "ends", "heading", "item", "depth", "early", "late", "long")
 
 
+def tokens(page: str) -> Iterator[tuple[str, str]]:
+    """``(tag, token)`` of each start and end tag, and ``("", text)`` of what stands between.
+
+    Comments, declarations and elements without readable text are passed over.  A ``>``
+    inside quotation marks does not end a tag.  Where a mark is never closed, tags end at
+    the next ``>`` from there on, so a page is read in time proportional to its length.
+    """
+    at, size, last_end = 0, len(page), page.rfind(">")
+    quoted = True
+
+    def end_of(i: int) -> int:
+        """Where the tag that goes on at ``i`` ends, exclusive; -1 if nowhere."""
+        nonlocal quoted
+        j = i
+        while quoted:
+            j = _PLAIN.match(page, j).end()
+            if j >= size:
+                quoted = False
+            elif page[j] == ">":
+                return j + 1
+            else:
+                j = page.find(page[j], j + 1) + 1
+                quoted = j > 0
+        return page.find(">", i) + 1 or -1
+
+    while at < size:
+        begin = page.find("<", at)
+        if begin != at:
+            yield "", page[at : begin if begin >= 0 else size]
+            if begin < 0:
+                return
+        if page.startswith("<!--", begin):
+            at = page.find("-->", begin + 4) + 3
+            if at < 3:
+                return
+            continue
+        found = _TAG.match(page, begin)
+        if begin > last_end or (not found and page[begin + 1 : begin + 2] not in ("!", "?")):
+            yield "", "<"
+            at = begin + 1
+            continue
+        if not found:
+            at = page.find(">", begin) + 1
+            continue
+        end = end_of(found.end())
+        tag, token = found[1].lower(), page[begin:end]
+        if tag in _RAW and token[1] != "/" and not (tag in ("svg", "math") and token.endswith("/>")):
+            closed = _RAW_END[tag].search(page, end)
+            at = closed.end() if closed else size
+            continue
+        yield tag, token
+        at = end
+
+
+class _Open:
+    """The open elements: (tag, number, bad tags, good tags, bad words, good words), counted with all above."""
+
+    def __init__(self):
+        self.stack: list[tuple] = [("", 0, 0, 0, 0, 0)]
+        #: Where each tag and where block elements stand in the stack.
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, element: tuple) -> None:
+        at = len(self.stack)
+        self.stack.append(element)
+        self.places.setdefault(element[0], []).append(at)
+        if element[0] in _BLOCK:
+            self.blocks.append(at)
+
+    def cut(self, at: int) -> int:
+        """Close everything from ``at`` on; returns how many of it hide their text."""
+        hidden = 0
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+            hidden += tag in _DROPPED
+        return hidden
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def holder(self) -> int:
+        """The innermost block element, 0 if there is none."""
+        return self.blocks[-1] if self.blocks else 0
+
+
+# Elements that end where one of these begins.
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+
+
 def blocks(page: str) -> list[tuple]:
     """Blocks as (text, parent, depth, in bad tag, in good tag, bad words, good words, link characters, tag)."""
     out: list[tuple] = []
-    # Open elements: (tag, number, bad tags, good tags, bad words, good words) including all above.
-    stack: list[tuple] = [("", 0, 0, 0, 0, 0)]
+    opened = _Open()
+    stack = opened.stack
     texts: list[str] = []
     linked, in_link, number, dropped = 0, 0, 0, 0
 
@@ -64,38 +162,28 @@ def blocks(page: str) -> list[tuple]:
         if texts:
             text = _SPACE.sub(" ", html.unescape("".join(texts))).strip()
             if text:
-                at = len(stack) - 1
-                while at and stack[at][0] not in _BLOCK:
-                    at -= 1
-                top, holder = stack[-1], stack[at]
-                out.append((text, stack[at - 1][1] if at else 0, at, top[2], top[3], top[4], top[5], linked, holder[0]))
+                at = opened.holder()
+                top = stack[-1]
+                out.append((text, stack[at - 1][1] if at else 0, at, top[2], top[3], top[4], top[5], linked, stack[at][0]))
             texts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        token = m[0]
-        if token[0] != "<" or token == "<":
+    for tag, token in tokens(page):
+        if not tag:
             if not dropped:
                 texts.append(token)
                 if in_link:
                     linked += len(token.strip())
             continue
-        if m[1] or token[1] in "!?":
-            continue
-        tag = _NAME.match(token)[1].lower()
         if token[1] == "/":
             if tag == "a":
                 in_link = 0
             if tag in _BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if i < len(stack) - 1 and tag not in _BLOCK and any(s[0] in _BLOCK for s in stack[i:]):
-                        break  # an inline tag does not close the blocks inside it
-                    for s in stack[i:]:
-                        dropped -= s[0] in _DROPPED
-                    del stack[i:]
-                    break
+            at = opened.last(tag)
+            # An inline tag does not close the blocks inside it.
+            if at and (tag in _BLOCK or opened.holder() < at):
+                dropped -= opened.cut(at)
             continue
         if tag == "br":
             texts.append(" ")
@@ -105,16 +193,13 @@ def blocks(page: str) -> list[tuple]:
             in_link = 0
             if tag == "body":
                 dropped = 0
-                while len(stack) > 1 and stack[-1][0] != "html":
-                    stack.pop()
+                opened.cut(max(1, opened.last("html") + 1))
             # End tags that may be left out.
-            if tag in _CLOSES_P and any(s[0] == "p" for s in stack):
-                i = max(i for i, s in enumerate(stack) if s[0] == "p")
-                if not any(s[0] in _BLOCK for s in stack[i + 1 :]):
-                    del stack[i:]
-            pair = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag)
-            while pair and stack[-1][0] in pair:
-                stack.pop()
+            if tag in _CLOSES_P and (at := opened.last("p")) and opened.holder() == at:
+                opened.cut(at)
+            ends = _ENDS.get(tag)
+            while ends and stack[-1][0] in ends:
+                opened.cut(len(stack) - 1)
         if tag in _VOID or token.endswith("/>"):
             continue
         number += 1
@@ -130,7 +215,7 @@ def blocks(page: str) -> list[tuple]:
                     said = set(_WORD.findall(value))
                     bad_word += bool(said & _BAD_WORD) and tag not in ("html", "body")
                     good_word += bool(said & _GOOD_WORD) and tag not in ("html", "body")
-        stack.append((tag, number, bad, good, bad_word, good_word))
+        opened.push((tag, number, bad, good, bad_word, good_word))
         if tag in _DROPPED:
             dropped += 1
         if tag == "a":
@@ -153,12 +238,12 @@ def weak_labels(found: list[tuple]) -> np.ndarray:
     return np.array([0 if bad or bad_word else 1 if good or good_word else -1 for _, _, _, bad, good, bad_word, good_word, *_ in found])
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; classes weigh the same."""
+def regression(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton steps; row i counts ``times[i]`` times, and classes weigh the same."""
     w = np.zeros(x.shape[1])
     if len(y) == 0:
         return w
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = times * np.where(y == 1, 0.5 / max(1, times[y == 1].sum()), 0.5 / max(1, times[y == 0].sum()))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - y)) + ridge * w / 10
@@ -170,7 +255,7 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 6
     return w
 
 
-def weights_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def weights_of(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Trained weights, halfway to the prior.
 
     Each block is learned from a second time without its section's tags and names,
@@ -179,7 +264,7 @@ def weights_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     bare = x.copy()
     bare[:, 1:5] = 0
     bare[:, FEATURES.index("early") : FEATURES.index("late") + 1] = 0
-    learned = regression(np.concatenate((x, bare)), np.concatenate((y, y)))
+    learned = regression(np.concatenate((x, bare)), np.concatenate((y, y)), np.concatenate((times, times)))
     return 0.5 * np.array([PRIOR[k] for k in FEATURES]) + 0.5 * learned
 
 
@@ -267,7 +352,11 @@ def main_blocks(found: list[tuple], weights: np.ndarray, near: float = NEAR, sib
 
 
 def fit(pages: DataFrame, *, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
-    """Classifier weights from ``sample_pages`` pages (a documented bound), those with the least hash of page_id."""
+    """Classifier weights from a bounded sample: ``sample_pages`` pages, those with the least hash of page_id.
+
+    Equal blocks are learned from once, weighted by how often they occur; of different ones
+    ``SAMPLE_BLOCKS`` with each label, in the order of their hash.
+    """
     ids = [r.page_id for r in pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).collect()]
     prior = np.array([PRIOR[k] for k in FEATURES])
     if not ids:
@@ -281,11 +370,12 @@ def fit(pages: DataFrame, *, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
                     y = weak_labels(found)
                     yield pa.RecordBatch.from_arrays([pa.array(y[y >= 0], pa.int64()), pa.array(list(features(found)[y >= 0]), pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = pages.where(F.col("page_id").isin(ids)).select("html").mapInArrow(label, "y long, x array<double>").groupBy("y", "x").count().orderBy("y", "x").limit(200_000).toPandas()
-    if not len(rows) or rows["y"].nunique() < 2:
+    seen = pages.where(F.col("page_id").isin(ids)).select("html").mapInArrow(label, "y long, x array<double>").groupBy("y", "x").count()
+    some = [r for y in (0, 1) for r in seen.where(F.col("y") == y).orderBy(F.xxhash64("x"), "x").limit(SAMPLE_BLOCKS).collect()]
+    y = np.array([r.y for r in some])
+    if len(set(y.tolist())) < 2:
         return prior
-    x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()
-    return weights_of(x, y)
+    return weights_of(np.array([r.x for r in some]), y, np.array([float(r["count"]) for r in some]))
 
 
 def extract(pages: DataFrame, *, sample_pages: int = SAMPLE_PAGES, near: float = NEAR, sibling: float = SIBLING) -> DataFrame:
@@ -294,7 +384,8 @@ def extract(pages: DataFrame, *, sample_pages: int = SAMPLE_PAGES, near: float =
     The whole html is read; character references are decoded, white space inside a
     block becomes one space, blocks are trimmed and joined in page order by two line feeds.
     Null, empty and textless pages give an empty text; repeated rows and null ids stay; an empty table
-    gives an empty result.
+    gives an empty result.  Pages of any length and depth are read in time proportional to
+    their length.
     """
     weights = fit(pages, sample_pages=sample_pages)
 
