@@ -2,8 +2,8 @@
 
 Two logistic regressions see different things: one the text (byte shares, word
 statistics, hashed words), the other the page's metadata (language, source, length).
-Over rounds each labels the unlabelled rows it is surest of for the other to learn
-from.  Both are calibrated on rows held out of the training, and a last regression
+Over rounds each labels, of all documents outside the labelled sample, those it is
+surest of for the other to learn from.  Both are calibrated on rows held out of the training, and a last regression
 on the calibrated log odds combines them.  Then all documents are scored.
 """
 
@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .wordhash import Words, small_batches
 
-#: Bounds of the sample: labelled rows and unlabelled rows.
-LABELLED, UNLABELLED = 3_000, 3_000
-ROUNDS = 3
-#: Pseudo-labels per round and view at most, and how sure they must be.
+#: Bound of the sample of labelled rows.
+LABELLED = 3_000
+ROUNDS = 2
+#: Pseudo-labels per round, view and label, and how sure a view must be of them.
 EACH_ROUND, SURE = 200, 0.97
 HASHED, META = 256, 64
 
@@ -87,45 +88,60 @@ def _p(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Both views, their calibrations and the combination."""
-
-    def __init__(self, content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS):
-        held = np.arange(len(y)) % 4 == 3
-        views = [(content, pool_content), (meta, pool_meta)]
-        # Rows each view learns from besides the labelled: pool row to label.
-        taught: list[dict[int, int]] = [{}, {}]
-        self.weights = [np.zeros(v.shape[1] + 1) for v, _ in views]
-        self.pseudo = [0, 0]
+    """Both views, their calibrations and the combination, as far as they are trained.
+
+    A quarter of the labelled rows calibrates the views and the combination; the rest
+    trains.  ``taught`` has, per view, the pseudo-labels it got from the other one.
+    """
+
+    def __init__(self, content: np.ndarray, meta: np.ndarray, y: np.ndarray):
+        self.views, self.y = (content, meta), y
+        self.held = np.arange(len(y)) % 4 == 3
+        self.taught: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]
         self.constant = None
-        if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
+        if len(np.unique(y[~self.held])) < 2 or len(np.unique(y[self.held])) < 2:
             self.constant = float(y.mean()) if len(y) else 0.5
-            return
-        for r in range(rounds + 1):
-            for v, (own, pool) in enumerate(views):
-                rows = sorted(taught[v])
-                x = np.concatenate((own[~held], pool[rows])) if rows else own[~held]
-                z = np.concatenate((y[~held], [taught[v][i] for i in rows])) if rows else y[~held]
-                weight = np.concatenate((np.ones((~held).sum()), np.full(len(rows), 0.5)))
-                self.weights[v] = logistic(x, z, weight)
-            self.scale = [logistic(odds(w, own[held])[:, None], y[held], ridge=1e-2) for w, (own, _) in zip(self.weights, views, strict=True)]
-            if r == rounds or not len(pool_content):
-                break
-            for v, (_, pool) in enumerate(views):
-                p = _p(odds(self.scale[v], odds(self.weights[v], pool)[:, None]))
-                for label, sure in ((1, p), (0, 1 - p)):
-                    for i in np.argsort(-sure, kind="stable")[:EACH_ROUND].tolist():
-                        if sure[i] >= SURE:
-                            taught[1 - v].setdefault(i, label)
-        self.pseudo = [len(t) for t in taught]
-        both = np.column_stack([odds(s, odds(w, own[held])[:, None]) for s, w, (own, _) in zip(self.scale, self.weights, views, strict=True)])
-        self.mix = logistic(both, y[held], ridge=1e-1)
+        else:
+            self.train()
+
+    def train(self) -> None:
+        held, y = self.held, self.y
+        self.weights = []
+        for own, more in zip(self.views, self.taught, strict=True):
+            rows = [more[i] for i in sorted(more)]
+            x = np.concatenate((own[~held], np.stack([v for _, v in rows]))) if rows else own[~held]
+            z = np.concatenate((y[~held], [label for label, _ in rows]))
+            self.weights.append(logistic(x, z, np.concatenate((np.ones((~held).sum()), np.full(len(rows), 0.5)))))
+        self.scale = [logistic(odds(w, own[held])[:, None], y[held], ridge=1e-2) for w, own in zip(self.weights, self.views, strict=True)]
+        self.mix = logistic(np.column_stack(self._calibrated([own[held] for own in self.views])), y[held], ridge=1e-1)
+
+    def _calibrated(self, views) -> list[np.ndarray]:
+        return [odds(s, odds(w, x)[:, None]) for s, w, x in zip(self.scale, self.weights, views, strict=True)]
+
+    def teach(self, rows: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> bool:
+        """Give the other view the labels of rows (doc_id, view, label, content, metadata); whether any are new."""
+        before = [len(t) for t in self.taught]
+        for doc_id, view, label, content, meta in rows:
+            self.taught[1 - view].setdefault(doc_id, (label, (content, meta)[1 - view]))
+        if [len(t) for t in self.taught] == before:
+            return False
+        self.train()
+        return True
+
+    def scorer(self) -> Model:
+        """What scoring needs, without the rows learned from."""
+        out = object.__new__(Model)
+        out.constant = self.constant
+        if self.constant is None:
+            out.weights, out.scale, out.mix = self.weights, self.scale, self.mix
+        return out
 
     def score(self, content: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of quality: by content, by metadata, combined."""
         n = len(content)
         if self.constant is not None:
             return (np.full(n, self.constant),) * 3
-        z = [odds(s, odds(w, x)[:, None]) for s, w, x in zip(self.scale, self.weights, (content, meta), strict=True)]
+        z = self._calibrated((content, meta))
         return _p(z[0]), _p(z[1]), _p(odds(self.mix, np.column_stack(z)))
 
 
@@ -136,32 +152,79 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"), F.col("text").cast("string").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS) -> Model:
-    """Co-training on a bounded sample: the rows with the least hashes of doc_id.
+def _surest(docs: DataFrame, model: Model, learned: set[int], each: int, sure: float) -> list:
+    """Of all rows but the learned ones, per view and label the ``each`` that the view is surest of.
 
-    ``labels(doc_id, quality)``: rows with a quality of 0 or 1 count; where a doc_id
-    has several, the least.  Only the sample's feature vectors reach the driver.
+    Copies of one text count once.  A task passes on no more than ``each`` rows per view and label.
     """
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    given = {r.doc_id: r.quality for r in known.join(ids, "doc_id", "left_semi").orderBy(*order).limit(labelled).collect()}
-    free = [r.doc_id for r in ids.join(known, "doc_id", "left_anti").orderBy(*order).limit(unlabelled).collect()]
+    shared = docs.sparkSession.sparkContext.broadcast((model.scorer(), learned))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = shared.value
+        best: dict[tuple[int, int], dict[int, tuple[float, int]]] = {(v, label): {} for v in (0, 1) for label in (0, 1)}
+        for batch in batches:
+            for part, texts in small_batches(batch, "text"):
+                p = known.score(content_features(texts), meta_features(*(part[k].to_pylist() for k in ("lang", "source", "n_chars"))))
+                ids, bodies = part["doc_id"].to_pylist(), part["body"].to_pylist()
+                for (v, label), kept in best.items():
+                    how = p[v] if label else 1 - p[v]
+                    for i in np.flatnonzero(how >= sure).tolist():
+                        if ids[i] in seen or not texts[i].strip():
+                            continue
+                        have = kept.get(bodies[i])
+                        if have is None or (-how[i], ids[i]) < (-have[0], have[1]):
+                            kept[bodies[i]] = (float(how[i]), ids[i])
+                    if len(kept) > 8 * each:
+                        best[v, label] = dict(sorted(kept.items(), key=lambda x: (-x[1][0], x[0]))[:each])
+        rows = [(v, label, body, *x) for (v, label), kept in best.items() for body, x in sorted(kept.items(), key=lambda x: (-x[1][0], x[0]))[:each]]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * 5, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["view", "label", "body", "sure", "doc_id"])
+
+    rows = _rows(docs).where("doc_id is not null").withColumn("body", F.xxhash64("text"))
+    found = common.written(rows.mapInArrow(run, "view int, label int, body long, sure double, doc_id long").groupBy("view", "label", "body").agg(F.max("sure").alias("sure"), F.min("doc_id").alias("doc_id")), "surest")
+    # The report of the surest rows: a top-k of each view and label.
+    out = [r for v in (0, 1) for label in (0, 1) for r in found.where((F.col("view") == v) & (F.col("label") == label)).orderBy(F.desc("sure"), "body").limit(each).collect()]
+    common.dropped(found)
+    return out
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _vectors(docs: DataFrame, ids: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Content and metadata vectors of the documents ``ids``, a bounded number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in small_batches(batch, "text"):
                 c = content_features(texts)
                 m = meta_features(*(part[k].to_pylist() for k in ("lang", "source", "n_chars")))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([x.tobytes() for x in c], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], names=["doc_id", "c", "m"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["body"], pa.array([x.tobytes() for x in c], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], names=["doc_id", "body", "c", "m"])
+
+    if not ids:
+        return {}
+    rows = _rows(docs).where(F.col("doc_id").isin(ids)).withColumn("body", F.xxhash64("text"))
+    got = rows.mapInArrow(run, "doc_id long, body long, c binary, m binary").groupBy("doc_id").agg(F.min(F.struct("body", "c", "m")).alias("x")).select("doc_id", "x.c", "x.m").collect()
+    return {r.doc_id: (np.frombuffer(r.c, np.float32), np.frombuffer(r.m, np.float32)) for r in got}
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, rounds: int = ROUNDS, each: int = EACH_ROUND, sure: float = SURE) -> Model:
+    """Co-training on a bounded sample of labelled rows, those with the least hashes of doc_id, and on all others as unlabelled.
 
-    wanted = [*given, *free]
-    got = _rows(docs).where(F.col("doc_id").isin(wanted)).dropDuplicates(["doc_id"]).mapInArrow(vectors, "doc_id long, c binary, m binary").collect() if wanted else []
-    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
-    stack = lambda rows, k, width: np.stack([np.frombuffer(r[k], np.float32) for r in rows]) if rows else np.zeros((0, width), np.float32)
-    own, pool = [r for r in got if r.doc_id in given], [r for r in got if r.doc_id not in given]
-    wide, narrow = 136 + HASHED, 2 * META + 16
-    return Model(stack(own, "c", wide), stack(own, "m", narrow), np.array([given[r.doc_id] for r in own], float), stack(pool, "c", wide), stack(pool, "m", narrow), rounds)
+    ``labels(doc_id, quality)``: rows with a quality of 0 or 1 count; where a doc_id
+    has several, the least.  In each round both views score every row outside the sample,
+    and each passes the ``each`` rows per label that it is surest of (at ``sure`` or more) to
+    the other.  Only the vectors of the sample and of these rows reach the driver.
+    """
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    given = {r.doc_id: r.quality for r in known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()}
+    vectors = _vectors(docs, list(given))
+    order = sorted(vectors, key=lambda i: (zlib.crc32(str(i).encode()), i))
+    stack = lambda k, width: np.stack([vectors[i][k] for i in order]) if order else np.zeros((0, width), np.float32)
+    model = Model(stack(0, 136 + HASHED), stack(1, 2 * META + 16), np.array([given[i] for i in order], float))
+    for _ in range(rounds if model.constant is None else 0):
+        surest = _surest(docs, model, set(given).union(*model.taught), each, sure)
+        more = _vectors(docs, sorted({r.doc_id for r in surest}))
+        if not model.teach([(r.doc_id, r.view, r.label, *more[r.doc_id]) for r in surest]):
+            break
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, least: float = 0.5) -> DataFrame:
@@ -169,9 +232,11 @@ def score(docs: DataFrame, model: Model, *, least: float = 0.5) -> DataFrame:
 
     Returns ``doc_id, p_content, p_meta, quality, kept`` (quality at ``least`` or
     more).  Null and empty texts have no content to speak for them: quality 0, not
-    kept.  Null lang and source are values of their own; repeated rows stay.
+    kept.  Null lang and source are values of their own; repeated rows and null ids stay; an
+    empty table gives an empty result, and without labels of both kinds every row gets one score.
+    Whole texts of any length are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.scorer())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
