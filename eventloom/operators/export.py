@@ -35,5 +35,6 @@ def trace_docs(events: DataFrame) -> DataFrame:
 
 
 def write_traces(docs: DataFrame, path: str) -> str:
-    docs.write.format("xml").option("rootTag", "log").option("rowTag", "trace").save(path)
+    """Write trace documents as XML, in the order of their case ids as text."""
+    docs.orderBy(F.get("string", F.lit(0))["_value"]).write.format("xml").option("rootTag", "log").option("rowTag", "trace").save(path)
     return path

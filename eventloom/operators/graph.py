@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CASE = ("log_name", "caseid")
-#: Rules up to which they are broadcast.
-BROADCAST_RULES = 10_000
 _EDGES = "array<struct<src:string,dst:string>>"
 
 
@@ -41,9 +39,12 @@ def next_task(log: DataFrame) -> DataFrame:
 
 
 def trace_order(log: DataFrame, one_timestamp: bool = False) -> DataFrame:
-    """Rows by case id as text, then ``pos``: the place by start, or by end with one timestamp."""
+    """Adds ``pos``, the place of a row in its case by start, or by end with one timestamp.
+
+    Cases come in no order; a sink that needs one sorts by the case id as text and ``pos``.
+    """
     key = "end_timestamp" if one_timestamp else "start_timestamp"
-    return log.withColumn("pos", F.row_number().over(Window.partitionBy(*CASE).orderBy(key, "input_ordinal"))).orderBy("log_name", F.col("caseid").cast("string"), "pos")
+    return log.withColumn("pos", F.row_number().over(Window.partitionBy(*CASE).orderBy(key, "input_ordinal")))
 
 
 def layers(log: DataFrame) -> DataFrame:
@@ -67,6 +68,11 @@ def has_ties(log: DataFrame) -> DataFrame:
     return log.groupBy(*CASE).agg((F.count("*") > F.count_distinct("start_timestamp")).alias("tied"))
 
 
+def case_counts(log: DataFrame) -> DataFrame:
+    """``log_name, total``: the cases of each log, those without any task included."""
+    return log.where("caseid is not null").groupBy("log_name").agg(F.count_distinct("caseid").alias("total"))
+
+
 def case_graph(log: DataFrame) -> DataFrame:
     """``nodes`` and ``edges`` of every case, distinct and sorted."""
     made = layers(log).select(*CASE, "t", edges_of(F.col("t"), F.col("after")).alias("e"))
@@ -117,12 +123,52 @@ def list_graph(traces: DataFrame) -> DataFrame:
 
 
 def conform(graphs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every rule of a log on every case of it: ``log_name, caseid, rule_id, ok``."""
-    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    side = rules.select("log_name", "rule_id", "rule_type", "path")
-    both = graphs.join(F.broadcast(side) if few else side, "log_name")
-    return both.select(*CASE, "rule_id", conforms(F.col("rule_type"), F.col("nodes"), F.col("edges"), F.col("path")).alias("ok"))
-
-
-def conform_stats(checked: DataFrame) -> DataFrame:
-    return checked.groupBy("log_name", "rule_id").agg(F.count_if("ok").alias("positive"), F.count("*").alias("total"))
+    """Every rule of a log on every case of it: ``log_name, caseid, rule_id, ok``.
+
+    The rows are as many as cases times rules; ``conform_stats`` counts without making them.
+    A log's rules are one row, so that a log with very many cases is dealt to many tasks.
+    """
+    listed = rules.groupBy("log_name").agg(F.collect_list(F.struct("rule_id", "rule_type", "path")).alias("rules"))
+    both = graphs.join(listed, "log_name").select(*CASE, "nodes", "edges", F.explode("rules").alias("r"))
+    return both.select(*CASE, F.col("r.rule_id").alias("rule_id"), conforms(F.col("r.rule_type"), F.col("nodes"), F.col("edges"), F.col("r.path")).alias("ok"))
+
+
+def reached(graphs: DataFrame) -> DataFrame:
+    """Adds ``reach``, a case's pairs of a task and all that can be reached from it, itself included: the closure, once a case."""
+    out = lambda a: reachable(F.col("nodes"), F.col("edges"), a)
+    return graphs.withColumn("reach", F.flatten(F.transform("nodes", lambda a: F.transform(out(a), lambda b: F.struct(a.alias("src"), b.alias("dst"))))))
+
+
+def _long_paths(graphs: DataFrame, rules: DataFrame) -> DataFrame:
+    """``log_name, rule_id, hits``: cases that have every edge of a path of three or more tasks."""
+    path = F.array_distinct("path")
+    long = rules.where((F.col("rule_type") == "directly") & (F.size("path") > 2) & (F.size(path) == F.size("path"))).select("log_name", "rule_id", "path")
+    steps = F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda a, i: F.struct(a.alias("src"), F.get("path", i + 1).alias("dst")))
+    asked = long.select("log_name", "rule_id", (F.size("path") - 1).alias("n"), F.inline(steps))
+    there = graphs.select(*CASE, F.inline("edges"))
+    found = there.join(asked, ["log_name", "src", "dst"]).groupBy(*CASE, "rule_id", "n").agg(F.count("*").alias("have")).where("have = n")
+    return found.groupBy("log_name", "rule_id").agg(F.count("*").alias("hits"))
+
+
+def conform_stats(graphs: DataFrame, rules: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """``log_name, rule_id, positive, total``: conforming and all cases of each rule.
+
+    Cases are counted by what they have (a task, an edge, a reachable pair), and rules look
+    their count up, so no row is made for a case and a rule.  ``cases(log_name, total)`` has
+    the cases of each log where some have no task at all and so no graph.
+    """
+    one = lambda kind, items: F.transform(items, lambda e: F.struct(F.lit(kind).alias("kind"), e["src"].alias("a"), e["dst"].alias("b")))
+    single = F.transform("nodes", lambda t: F.struct(F.lit("node").alias("kind"), t.alias("a"), F.lit(None).cast("string").alias("b")))
+    has = reached(graphs).select("log_name", F.inline(F.concat(single, one("edge", F.col("edges")), one("reach", F.col("reach")))))
+    counts = has.groupBy("log_name", "kind", "a", "b").agg(F.count("*").alias("hits"))
+    a, b, n = F.get("path", F.lit(0)), F.get("path", F.lit(1)), F.size("path")
+    kind = F.when(F.col("rule_type") == "eventually", F.when(n >= 2, F.lit("reach"))).when(F.col("rule_type") == "directly", F.when(n == 1, F.lit("node")).when(n == 2, F.lit("edge"))).otherwise("node")
+    asked = rules.select("log_name", "rule_id", "rule_type", n.alias("n"), (F.size(F.array_distinct("path")) < n).alias("twice"), kind.alias("kind"), a.alias("a"), F.when(kind.isin("edge", "reach"), b).alias("b"))
+    same = (asked["log_name"] == counts["log_name"]) & (asked["kind"] == counts["kind"]) & (asked["a"] == counts["a"]) & asked["b"].eqNullSafe(counts["b"])
+    told = asked.join(counts, same, "left").select(asked["*"], counts["hits"])
+    told = told.join(_long_paths(graphs, rules).withColumnRenamed("hits", "long_hits"), ["log_name", "rule_id"], "left")
+    totals = graphs.groupBy("log_name").agg(F.count("*").alias("total")) if cases is None else cases
+    hits = F.when((F.col("rule_type") == "directly") & F.col("twice"), F.lit(0)).otherwise(F.coalesce("hits", "long_hits", F.lit(0)))
+    # A path too short for its kind is never met; as a verdict on a case it is null.
+    positive = F.when(F.col("rule_type") == "not_allowed", F.col("total") - hits).otherwise(hits)
+    return told.join(totals, "log_name").select("log_name", "rule_id", positive.cast("long").alias("positive"), "total")

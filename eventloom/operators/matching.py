@@ -44,7 +44,7 @@ def remap_assigned(params: DataFrame, maps: DataFrame) -> DataFrame:
 def remap_task_dist(params: DataFrame, maps: DataFrame) -> DataFrame:
     """Task distributions by to-be ids; unmatched entries go, other fields stay."""
     ids = F.coalesce("ids", F.create_map().cast("map<string,string>"))
-    known = F.filter(F.coalesce("task_resource_distribution", F.array().cast("array<struct<task_id:string,mean:double>>")), lambda d: F.try_element_at(F.col("ids"), d["task_id"]).isNotNull())
+    known = F.filter(F.coalesce("task_resource_distribution", F.array().cast(params.schema["task_resource_distribution"].dataType)), lambda d: F.try_element_at(F.col("ids"), d["task_id"]).isNotNull())
     moved = F.transform(known, lambda d: d.withField("task_id", F.try_element_at(F.col("ids"), d["task_id"])))
     return params.join(maps, "model_id", "left").withColumn("ids", ids).withColumn("task_resource_distribution", moved).drop("ids")
 
@@ -56,7 +56,9 @@ def transfer_fields(asis: DataFrame, tobe: DataFrame, fields: tuple[str, ...] =
     """To-be parameters with the as-is values of ``fields``; lists default to empty, others to null."""
     there = [f for f in fields if f in asis.columns and f in tobe.columns]
     src = asis.select("model_id", *(F.col(f).alias(f"asis_{f}") for f in there))
-    value = lambda f: F.coalesce(f"asis_{f}", F.array().cast(tobe.schema[f].dataType)) if tobe.schema[f].dataType.typeName() == "array" else F.col(f"asis_{f}")
+    kind = lambda f: tobe.schema[f].dataType.typeName()
+    empty = lambda f: F.parse_json(F.lit("[]")) if kind(f) == "variant" else F.array().cast(tobe.schema[f].dataType)
+    value = lambda f: F.coalesce(f"asis_{f}", empty(f)) if kind(f) in ("array", "variant") else F.col(f"asis_{f}")
     return tobe.join(src, "model_id", "left").withColumns({f: value(f) for f in there}).drop(*(f"asis_{f}" for f in there))
 
 

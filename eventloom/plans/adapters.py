@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.derived import dfg_frequency
+from ..sources.logs import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,20 +63,29 @@ def raw_rules(log: DataFrame) -> DataFrame:
     return two.union(one).select("log_name", F.col("raw_path").alias("rule_id"), "raw_path", "raw_variation")
 
 
+def model_parts(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Flows, elements and gateways of the model that a log implies.
+
+    The log is read once, for its edges; they and the tasks are written, small as a model is, and all else comes from them.
+    """
+    edges = stored(dfg_frequency(log).select("log_name", "src", "dst"), "edges")
+    made = stored(elements(log), "elements")
+    return flows(made, edges), made, gateways(made)
+
+
 def elements(log: DataFrame) -> DataFrame:
     rows = log.select(F.col("log_name").alias("model_id"), "task").distinct()
     place = F.row_number().over(Window.partitionBy("model_id").orderBy("task")) - 1
     return rows.select("model_id", place.alias("ordinal"), F.when(F.col("task") == "signup", "userTask").otherwise("task").alias("tag"), F.concat(F.lit("n_"), "task").alias("element_id"), F.col("task").alias("name"))
 
 
-def gateways(log: DataFrame) -> DataFrame:
-    return elements(log).select("model_id", "ordinal", F.concat(F.lit("g_"), "name").alias("gateway_id"), F.lit("Diverging").alias("direction"))
+def gateways(elements_: DataFrame) -> DataFrame:
+    return elements_.select("model_id", "ordinal", F.concat(F.lit("g_"), "name").alias("gateway_id"), F.lit("Diverging").alias("direction"))
 
 
-def flows(log: DataFrame) -> DataFrame:
+def flows(elements_: DataFrame, edge: DataFrame) -> DataFrame:
     """Each task leads to its gateway, and that to every task that directly follows in the log."""
-    into = elements(log).select("model_id", F.concat(F.lit("f_"), "name").alias("flow_id"), F.col("element_id").alias("source_ref"), F.concat(F.lit("g_"), "name").alias("target_ref"))
-    edge = dfg_frequency(log)
+    into = elements_.select("model_id", F.concat(F.lit("f_"), "name").alias("flow_id"), F.col("element_id").alias("source_ref"), F.concat(F.lit("g_"), "name").alias("target_ref"))
     out = edge.select(F.col("log_name").alias("model_id"), F.concat(F.lit("f_"), "src", F.lit("_"), "dst").alias("flow_id"), F.concat(F.lit("g_"), "src").alias("source_ref"), F.concat(F.lit("n_"), "dst").alias("target_ref"))
     place = F.row_number().over(Window.partitionBy("model_id").orderBy("flow_id")) - 1
     return into.union(out).select("model_id", place.alias("ordinal"), "flow_id", "source_ref", "target_ref")
@@ -104,7 +114,9 @@ def nation_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = tasks.groupBy("model_id", F.col("c_mktsegment").alias("id")).agg(listed.alias("resource_list"))
     profiles = profiles.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("id", "resource_list"))).alias("resource_profiles"))
     means = rows.groupBy("model_id", "o_orderpriority").agg(F.count("*").cast("double").alias("mean"))
-    dist = means.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("t_"), "o_orderpriority").alias("task_id"), "mean"))).alias("task_resource_distribution"))
+    dist = means.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("t_"), "o_orderpriority").alias("task_id"), "mean"))).alias("d"))
+    carried = F.transform("d", lambda x: F.struct(x["task_id"].alias("task_id"), x["mean"].alias("mean"), F.parse_json(F.to_json(F.array(F.struct(x["mean"].alias("of"))))).alias("resources")))
+    dist = dist.select("model_id", carried.alias("task_resource_distribution"))
     shares = rows.groupBy("model_id", "o_orderstatus").agg(F.count("*").cast("double").alias("value"))
     gates = shares.groupBy("model_id").agg(F.array(F.struct(F.lit("g").alias("gateway_id"), F.array_sort(F.collect_list(F.struct(F.concat(F.lit("f_"), "o_orderstatus").alias("path_id"), "value"))).alias("probabilities"))).alias("gateway_branching_probabilities"))
     arrival = rows.groupBy("model_id").agg(F.count("*").cast("double").alias("n"), F.count_distinct("c_custkey").cast("double").alias("c"))
@@ -112,6 +124,7 @@ def nation_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = arrival.select(
         "model_id", F.array(*(F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"), F.lit("09:00:00").alias("beginTime"), F.lit("17:00:00").alias("endTime")) for a, b in (("MONDAY", "FRIDAY"), ("SATURDAY", "SATURDAY")))).alias("arrival_time_calendar"),
         F.struct(F.lit("norm").alias("distribution_name"), F.array(value("n"), value("c")).alias("distribution_params")).alias("arrival_time_distribution"),
+        F.parse_json(F.to_json(F.array(F.struct(F.lit("default").alias("id"), F.col("n").cast("long").alias("slots"))))).alias("resource_calendars"),
     )
     return timed.join(profiles, "model_id").join(dist, "model_id").join(gates, "model_id")
 

@@ -104,7 +104,7 @@ def _parsed(log: DataFrame) -> DataFrame:
 
 
 def _csv(s: SparkSession, d: str, gzip: bool = False) -> str:
-    events = A.table(s, d, "events").select(F.col("event_id").alias("Event"), F.col("user_id").alias("Case ID"), F.col("event_type").alias("Activity"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("Time"))
+    events = A.table(s, d, "events").select(F.col("event_id").alias("Event"), F.col("user_id").alias("Case ID"), F.col("event_type").alias("Activity"), *(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) for c, at in (("Time", F.col("ts")), ("Done", F.col("ts") + F.expr("interval 90 seconds")))))
     return L.write_log(events, L.scratch(s, "events"), gzip=gzip)
 
 
@@ -113,11 +113,15 @@ def s1(s, d):
     return L.scan_logs(s, _csv(s, d)).select(F.col("Event").alias("event"), F.col("Case ID").alias("caseid"), F.col("Activity").alias("task"))
 
 
-@query("S2_normalize_log", """SELECT event_id::VARCHAR AS event, user_id::VARCHAR AS caseid, event_type AS task, epoch_us(ts)::BIGINT AS start_us FROM events""")
+@query("S2_normalize_log", """SELECT 1 AS stamps, event_id::VARCHAR AS event, user_id::VARCHAR AS caseid, event_type AS task, epoch_us(ts)::BIGINT AS start_us, epoch_us(ts)::BIGINT AS end_us FROM events
+UNION ALL SELECT 2, event_id::VARCHAR, user_id::VARCHAR, event_type, epoch_us(ts)::BIGINT, epoch_us(ts)::BIGINT + 90000000 FROM events""")
 def s2(s, d):
     raw = L.scan_logs(s, _csv(s, d))
-    log = L.normalize_log(raw, {"Case ID": "caseid", "Activity": "task", "Time": "end_timestamp", "Event": "event"}, "%Y-%m-%dT%H:%M:%S.%f", one_timestamp=True)
-    return log.select("event", "caseid", "task", F.unix_micros("start_timestamp").alias("start_us"))
+    names = {"Case ID": "caseid", "Activity": "task", "Event": "event"}
+    one = L.normalize_log(raw, names | {"Time": "end_timestamp"}, "%Y-%m-%dT%H:%M:%S.%f", one_timestamp=True)
+    two = L.normalize_log(raw, names | {"Time": "start_timestamp", "Done": "end_timestamp"}, "%Y-%m-%dT%H:%M:%S.%f")
+    told = lambda log, n: log.select(F.lit(n).alias("stamps"), "event", "caseid", "task", F.unix_micros("start_timestamp").alias("start_us"), F.unix_micros("end_timestamp").alias("end_us"))
+    return told(one, 1).union(told(two, 2))
 
 
 @query("S3_write_log", """SELECT log_name, caseid, task, ord::VARCHAR AS ord FROM (WITH """ + _EV + """ SELECT * FROM ev)""")
@@ -137,7 +141,7 @@ def s4(s, d):
 def _models(s, d) -> DataFrame:
     log = A.fleet_log(s, d)
     path = L.scratch(s, "models")
-    A.bpmn_text(A.flows(log), A.elements(log), A.gateways(log)).withColumnRenamed("model_id", "model").write.partitionBy("model").text(path)
+    A.bpmn_text(*A.model_parts(log)).withColumnRenamed("model_id", "model").write.partitionBy("model").text(path)
     return S.read_models(s, path)
 
 
@@ -161,12 +165,35 @@ def s8(s, d):
     return S.scan_tasks(S.all_elements(_models(s, d))).select("model_id", "element_id", "name")
 
 
-@query("S9_scan_params", f"WITH {_NAT} SELECT model_id, count(DISTINCT profile)::INT AS profiles, count(DISTINCT rid)::INT AS resources FROM res GROUP BY 1")
+_PARAMS = f"""WITH {_NAT}, t AS (SELECT model_id, profile, k, rid, c_name, c_acctbal, string_agg(task_id, '+' ORDER BY task_id) AS tasks FROM res GROUP BY ALL)
+SELECT n.model_id, n.arrival, n.calendars, r.resources, p.dist, g.gates FROM
+ (SELECT model_id, 'norm:' || count(*)::DOUBLE || ',' || count(DISTINCT c_custkey)::DOUBLE AS arrival, '[{{"id":"default","slots":' || count(*) || '}}]' AS calendars FROM nat GROUP BY 1) n
+ JOIN (SELECT model_id, string_agg(profile || '/' || rid || '/' || c_name || '/' || CASE WHEN c_acctbal >= 0 THEN c_acctbal::VARCHAR ELSE '' END || '/' || tasks, '|' ORDER BY profile, k) AS resources FROM t GROUP BY 1) r USING (model_id)
+ JOIN (SELECT model_id, string_agg('t_' || o_orderpriority || ':' || m || ':' || '[{{"of":' || m::BIGINT || '}}]', '|' ORDER BY o_orderpriority) AS dist FROM (SELECT model_id, o_orderpriority, count(*)::DOUBLE AS m FROM nat GROUP BY ALL) GROUP BY 1) p USING (model_id)
+ JOIN (SELECT model_id, string_agg('g/f_' || o_orderstatus || ':' || m, '|' ORDER BY o_orderstatus) AS gates FROM (SELECT model_id, o_orderstatus, count(*)::DOUBLE AS m FROM nat GROUP BY ALL) GROUP BY 1) g USING (model_id)"""
+
+
+def _params_text(params: DataFrame) -> DataFrame:
+    """Every nested field of simulation parameters as text, a column each."""
+    blank = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    listed = lambda col, item: _text(F.flatten(F.transform(col, item)))
+    resource = lambda p: F.transform(p["resource_list"], lambda r: F.concat_ws("/", p["id"], r["id"], r["name"], blank(r["cost_per_hour"]), F.array_join(r["assignedTasks"], "+")))
+    gate = lambda g: F.transform(g["probabilities"], lambda x: F.concat(g["gateway_id"], F.lit("/"), x["path_id"], F.lit(":"), x["value"].cast("string")))
+    values = F.array_join(F.transform("arrival_time_distribution.distribution_params", lambda v: v["value"].cast("string")), ",")
+    return params.select(
+        "model_id", F.concat_ws(":", "arrival_time_distribution.distribution_name", values).alias("arrival"), F.to_json("resource_calendars").alias("calendars"),
+        listed("resource_profiles", resource).alias("resources"), _text(F.transform("task_resource_distribution", lambda x: F.concat_ws(":", x["task_id"], x["mean"].cast("string"), F.to_json(x["resources"])))).alias("dist"),
+        listed("gateway_branching_probabilities", gate).alias("gates"),
+    )
+
+
+@query("S9_scan_params", _PARAMS)
 def s9(s, d):
-    path = S.write_params(A.nation_params(s, d), L.scratch(s, "params"))
-    read = S.scan_params(s, path)
-    sizes = F.aggregate("resource_profiles", F.lit(0), lambda n, p: n + F.size(p["resource_list"]))
-    return read.select("model_id", F.size("resource_profiles").alias("profiles"), sizes.alias("resources"))
+    """Parameters of one model a file, over any number of lines."""
+    path = L.scratch(s, "params")
+    params = A.nation_params(s, d)
+    params.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"), F.col("model_id").alias("m")).write.partitionBy("m").option("lineSep", "\n").text(path)
+    return _params_text(S.scan_params(s, path, per_file=True))
 
 
 _STATS = """st AS (SELECT year(l_shipdate)::VARCHAR AS file, l_returnflag || l_linestatus AS name, count(*) AS n, sum(l_quantity) / count(*) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi, sum(l_quantity) AS s FROM lineitem GROUP BY ALL),
@@ -188,9 +215,9 @@ def s10(s, d):
 @query("S11_latest_run", "SELECT event_type AS log_name, 'run2' AS run_id FROM events GROUP BY 1")
 def s11(s, d):
     root = L.scratch(s, "runs")
-    for run in ("run1", "run2"):
-        for r in A.table(s, d, "events").select("event_type").distinct().collect():
-            A.table(s, d, "events").where(F.col("event_type") == r[0]).groupBy().count().coalesce(1).write.csv(f"{root}/{r[0]}/{run}")
+    counts = A.table(s, d, "events").groupBy("event_type").count()
+    for run in ("run1", "run2"):  # the second write is the later one
+        counts.select(F.col("event_type").alias("log"), F.lit(run).alias("run"), "count").write.mode("append").partitionBy("log", "run").csv(root)
     return L.latest_run(s, root)
 
 
@@ -199,9 +226,9 @@ def s12(s, d):
     return L.list_logs(A.fleet_log(s, d))
 
 
-@query("S13_write_params", f"WITH {_NAT} SELECT DISTINCT model_id FROM nat")
+@query("S13_write_params", _PARAMS)
 def s13(s, d):
-    return S.scan_params(s, S.write_params(A.nation_params(s, d), L.scratch(s, "params"))).select("model_id")
+    return _params_text(S.scan_params(s, S.write_params(A.nation_params(s, d), L.scratch(s, "params"))))
 
 
 @query("S14_write_report")
@@ -211,12 +238,24 @@ def s14(s, d):
     return s.read.text(S.write_report(lines, L.scratch(s, "report"))).select(F.col("value").alias("line"))
 
 
-@query("S15_export_lifecycle", f"WITH {_EV} SELECT caseid, (2 * count(*))::INT AS events FROM ev GROUP BY 1")
+_TRACES = f"""WITH {_EV}, seq AS (SELECT *, row_number() OVER (PARTITION BY caseid ORDER BY st, ord) AS pos FROM ev)
+SELECT caseid, count(*)::INT * 2 AS events, string_agg(task || ',' || split_part(caseid, '-', 1) || ',' || tr || ',' || strftime(st, '%Y-%m-%dT%H:%M:%S.%g+00:00'), '|' ORDER BY pos, h) AS said FROM seq, (VALUES (0, 'start'), (1, 'complete')) v(h, tr) GROUP BY 1"""
+_TRACES = _TRACES.replace("count(*)::INT * 2", "count(*)::INT")
+
+
+def _traces_text(docs: DataFrame) -> DataFrame:
+    """Case, number of events, and every attribute of each event in order."""
+    values = lambda tags: F.array_join(F.transform(tags, lambda t: t["_value"]), ",")
+    said = F.transform("event", lambda e: F.concat_ws(",", values(e["string"]), values(e["date"])))
+    return docs.select(F.get("string", F.lit(0))["_value"].alias("caseid"), F.size("event").alias("events"), _text(said).alias("said"))
+
+
+@query("S15_export_lifecycle", _TRACES)
 def s15(s, d):
     docs = X.trace_docs(X.lifecycle_rows(A.events_log(s, d)))
     path = X.write_traces(docs, L.scratch(s, "xes"))
-    schema = "string array<struct<_key:string,_value:string>>, event array<struct<date:array<struct<_key:string,_value:string>>>>"
-    return s.read.format("xml").option("rowTag", "trace").schema(schema).load(path).select(F.get("string", F.lit(0))["_value"].alias("caseid"), F.size("event").alias("events"))
+    tags = "array<struct<_key:string,_value:string>>"
+    return _traces_text(s.read.format("xml").option("rowTag", "trace").schema(f"string {tags}, event array<struct<string:{tags},date:{tags}>>").load(path))
 
 
 _RULE_SQL = f"""SELECT rule_id, kind AS rule_type, concat_ws('|', a, b) AS path, {_VAR}, concat_ws('__', kind, replace(a, ' ', '_'), replace(b, ' ', '_')) AS label FROM raw"""
@@ -228,6 +267,17 @@ def s16(s, d):
     return _parsed(A.events_log(s, d)).select("rule_id", "rule_type", _text("path").alias("path"), "variation_op", "variation_value", "label")
 
 
+@query("S16_read_ini", _EV_RULES + _RULE_SQL)
+def s16_ini(s, d):
+    """Rules written as INI files, one each, and read back."""
+    raw = A.raw_rules(A.events_log(s, d))
+    path = L.scratch(s, "rules")
+    line = F.concat(F.lit("# rule\n[OTHER]\npath = none\n[RULES]\npath = "), "raw_path", F.lit("\n"), F.coalesce(F.concat(F.lit("Variation: "), "raw_variation"), F.lit("; no target")))
+    raw.select(line.alias("value"), F.md5(F.col("rule_id").cast("binary")).alias("rule")).write.partitionBy("rule").text(path)
+    files = s.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return R.parse(R.read_ini(files)).select(F.col("raw_path").alias("rule_id"), "rule_type", _text("path").alias("path"), "variation_op", "variation_value", "label")
+
+
 # ---- projections and expressions
 
 
@@ -273,10 +323,10 @@ def p8(s, d):
     return A.table(s, d, "customer").select("c_custkey", V.default_text(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")), E.DEFAULT_COST).alias("cost"))
 
 
-@query("P9_drop_null_attrs", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN 2 ELSE 1 END AS attrs FROM customer")
+@query("P9_drop_null_attrs", "SELECT c_custkey, c_name || CASE WHEN c_acctbal >= 0 THEN '|' || c_acctbal::VARCHAR ELSE '' END AS attrs FROM customer")
 def p9(s, d):
     attrs = F.filter(F.array(F.col("c_name"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("string"))), lambda x: x.isNotNull())
-    return A.table(s, d, "customer").select("c_custkey", F.size(attrs).alias("attrs"))
+    return A.table(s, d, "customer").select("c_custkey", _text(attrs).alias("attrs"))
 
 
 @query("P10_upper_dist", "SELECT c_custkey, upper(c_mktsegment) AS dist FROM customer")
@@ -358,7 +408,7 @@ def _conform(name: str, kind: str) -> None:
     def run(s, d):
         log = A.lineitem_log(s, d)
         rules = _parsed(log).where(F.col("rule_type") == kind)
-        return G.conform_stats(G.conform(G.case_graph(log), rules)).drop("log_name")
+        return G.conform_stats(G.case_graph(log), rules).drop("log_name")
 
     query(name, sql)(run)
 
@@ -385,7 +435,7 @@ def g10(s, d):
 @query("G11_conform_stats", f"WITH RECURSIVE {_EV}, {_graph('ev')}, {_rules('ev')}, {_CHECKED} SELECT log_name, rule_id, count(*) FILTER (WHERE ok) AS positive, count(*) AS total FROM checked GROUP BY ALL")
 def g11(s, d):
     log = A.events_log(s, d)
-    return G.conform_stats(G.conform(G.case_graph(log), _parsed(log)))
+    return G.conform_stats(G.case_graph(log), _parsed(log), G.case_counts(log))
 
 
 # ---- models and branches
@@ -393,7 +443,7 @@ def g11(s, d):
 
 def _parts(s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     log = A.fleet_log(s, d)
-    return log, A.flows(log), A.elements(log), A.gateways(log)
+    return log, *A.model_parts(log)
 
 
 def _nodes(gates: DataFrame) -> DataFrame:
@@ -433,7 +483,7 @@ def a1(s, d):
 
 def _counts(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     log, flows, elements, gates = _parts(s, d)
-    return B.branch_counts(B.gateway_branches(flows, elements, gates), log), flows, elements
+    return L.stored(B.branch_counts(L.stored(B.gateway_branches(flows, elements, gates), "branches"), log), "branch-counts"), flows, elements
 
 
 @query("A2_branch_counts", f"WITH {_MODEL} SELECT * FROM cnt")
@@ -475,14 +525,14 @@ def _by_task(ratios: DataFrame) -> DataFrame:
 
 @query("J11_resolve_branch_flow", f"WITH {_MODEL} " + _RESOLVED.format(to="coalesce(to_flow, r.flow_id)", gate="'n' || substr(r.gateway_id, 2)").replace("r.gateway_id, r.flow_id, r.prob", "'n' || substr(r.gateway_id, 2) AS gateway_id, r.flow_id, r.prob"))
 def j11(s, d):
-    ratios = B.branch_ratio(*_counts(s, d))
-    return B.resolve_branch_flow(_by_task(ratios).drop("ordinal"), _parts(s, d)[1])
+    counts, flows, elements = _counts(s, d)
+    return B.resolve_branch_flow(_by_task(B.branch_ratio(counts, flows, elements)).drop("ordinal"), flows)
 
 
 @query("J12_resolve_branch_flow_strict", f"WITH {_MODEL} " + _RESOLVED.format(to="to_flow", gate="'n' || substr(r.gateway_id, 2)").replace("r.gateway_id, r.flow_id, r.prob", "'n' || substr(r.gateway_id, 2) AS gateway_id, r.flow_id, r.prob"))
 def j12(s, d):
-    ratios = B.branch_ratio(*_counts(s, d))
-    return B.resolve_branch_flow(_by_task(ratios).drop("ordinal"), _parts(s, d)[1], strict=True)
+    counts, flows, elements = _counts(s, d)
+    return B.resolve_branch_flow(_by_task(B.branch_ratio(counts, flows, elements)).drop("ordinal"), flows, strict=True)
 
 
 @query("J13_first_out_gateway", f"WITH {_MODEL} SELECT e.model_id, e.name AS start_task, arg_min(f.target_ref, f.ordinal) AS gateway_id FROM el e JOIN flows f ON f.model_id = e.model_id AND f.source_ref = e.element_id GROUP BY ALL")
@@ -527,21 +577,23 @@ def j6(s, d):
     return _tasks_of(M.remap_assigned(A.nation_params(s, d), M.id_maps(M.match_tasks(*_pair(s, d)))))
 
 
-_DIST = "SELECT n.model_id, m.tobe_id AS task_id, count(*)::DOUBLE AS mean FROM nat n JOIN matched m ON m.model_id = n.model_id AND m.asis_id = 't_' || n.o_orderpriority WHERE m.tobe_id IS NOT NULL GROUP BY ALL"
+_DIST = """SELECT n.model_id, m.tobe_id AS task_id, count(*)::DOUBLE AS mean, '[{"of":' || count(*) || '}]' AS resources FROM nat n JOIN matched m ON m.model_id = n.model_id AND m.asis_id = 't_' || n.o_orderpriority WHERE m.tobe_id IS NOT NULL GROUP BY ALL"""
 
 
 @query("J7_remap_task_dist", f"WITH {_NAT} {_DIST}")
 def j7(s, d):
     moved = M.remap_task_dist(A.nation_params(s, d), M.id_maps(M.match_tasks(*_pair(s, d))))
-    return moved.select("model_id", F.inline("task_resource_distribution"))
+    return moved.select("model_id", F.inline("task_resource_distribution")).withColumn("resources", F.to_json("resources"))
 
 
-@query("J8_transfer_fields", f"WITH {_NAT} SELECT model_id, count(*)::DOUBLE AS n, 2 AS rules FROM nat GROUP BY 1")
+@query("J8_transfer_fields", f"""WITH {_NAT} SELECT model_id, 'norm:' || count(*)::DOUBLE || ',' || count(DISTINCT c_custkey)::DOUBLE AS arrival,
+  'MONDAY-FRIDAY 09:00:00-17:00:00|SATURDAY-SATURDAY 09:00:00-17:00:00' AS calendar, '[{{"id":"default","slots":' || count(*) || '}}]' AS calendars FROM nat GROUP BY 1""")
 def j8(s, d):
     params = A.nation_params(s, d)
-    bare = params.withColumn("arrival_time_calendar", F.filter("arrival_time_calendar", lambda _: F.lit(False))).withColumn("arrival_time_distribution", F.lit(None).cast(params.schema["arrival_time_distribution"].dataType))
-    out = M.transfer_fields(params, bare)
-    return out.select("model_id", F.get("arrival_time_distribution.distribution_params", F.lit(0))["value"].alias("n"), F.size("arrival_time_calendar").alias("rules"))
+    none = {"arrival_time_calendar": F.filter("arrival_time_calendar", lambda _: F.lit(False)), "arrival_time_distribution": F.lit(None).cast(params.schema["arrival_time_distribution"].dataType), "resource_calendars": F.parse_json(F.lit("[]"))}
+    out = M.transfer_fields(params, params.withColumns(none))
+    hours = F.transform("arrival_time_calendar", lambda c: F.concat(c["from"], F.lit("-"), c["to"], F.lit(" "), c["beginTime"], F.lit("-"), c["endTime"]))
+    return out.select("model_id", F.concat_ws(":", "arrival_time_distribution.distribution_name", F.array_join(F.transform("arrival_time_distribution.distribution_params", lambda v: v["value"].cast("string")), ",")).alias("arrival"), _text(hours).alias("calendar"), F.to_json("resource_calendars").alias("calendars"))
 
 
 @query("J9_merge_params", f"WITH {_NAT}, {_MAPPED} " + _LISTED.format(t="tobe_id", f="mapped"))
@@ -551,10 +603,14 @@ def j9(s, d):
     return _tasks_of(M.merge_params(params, tobe, *_pair(s, d)))
 
 
-@query("J10_remap_elements", f"WITH {_NAT} SELECT a.model_id, a.id AS element_id, coalesce(b.id, a.id) AS new_id, true AS known FROM asis a LEFT JOIN tobe b ON a.model_id = b.model_id AND a.name = lower(b.name)")
+@query("J10_remap_elements", f"""WITH {_NAT} SELECT a.model_id, a.id AS element_id, CASE WHEN b.id IS NOT NULL AND a.name < '3' THEN b.id ELSE a.id END AS new_id, true AS known FROM asis a LEFT JOIN tobe b ON a.model_id = b.model_id AND a.name = lower(b.name)
+UNION ALL SELECT DISTINCT model_id, 'none', 'none', false FROM asis""")
 def j10(s, d):
+    """To-be names before 3 are spelled as the as-is ones, the others in upper case; one id is unknown."""
     asis, tobe = _pair(s, d)
-    return M.remap_elements(asis.select("model_id", "element_id"), asis, tobe.withColumn("name", F.lower("name")))
+    spelled = F.when(F.col("name") < "3", F.lower("name")).otherwise(F.col("name"))
+    asked = asis.select("model_id", "element_id").union(asis.select("model_id", F.lit("none")).distinct())
+    return M.remap_elements(asked, asis, tobe.withColumn("name", spelled))
 
 
 @query("A6_task_resources", f"WITH {_NAT} " + _LISTED.format(t="task_id", f="res"))
@@ -638,17 +694,20 @@ def x4(s, d):
     return X.lifecycle_rows(A.events_log(s, d), True, ("input_ordinal",)).select("caseid", "event_no", "input_ordinal")
 
 
-@query("X5_trace_docs", f"WITH {_EV} SELECT caseid, (2 * count(*))::INT AS events FROM ev GROUP BY 1")
+@query("X5_trace_docs", _TRACES)
 def x5(s, d):
-    docs = X.trace_docs(X.lifecycle_rows(A.events_log(s, d)))
-    return docs.select(F.get("string", F.lit(0))["_value"].alias("caseid"), F.size("event").alias("events"))
+    return _traces_text(X.trace_docs(X.lifecycle_rows(A.events_log(s, d))))
 
 
-@query("T1_task_report", f"""WITH {_STATS}, ln AS (
+_LINES = f"""WITH {_STATS}, ln AS (
   SELECT file, row, 0 AS i, 'Task: ' || name AS line FROM sr
   UNION ALL SELECT file, row, 1 + 4 * k + f, '  ' || ['Avg', 'Min', 'Max', 'Total'][f + 1] || ' ' || ['duration', 'waiting time', 'idle time', 'cost', 'cost over thresh', 'duration over thresh'][k + 1] || ': ' || format('{{:,.2f}}', format('{{:.2f}}', [a, lo, hi, s][f + 1])::DOUBLE) FROM sr, range(6) t(k), range(4) u(f)
-  UNION ALL SELECT file, row, 25, '  Count: ' || n FROM sr UNION ALL SELECT file, row, 26, '' FROM sr)
-SELECT file, row::INT AS row, i::INT AS line_no, line FROM ln""")
+  UNION ALL SELECT file, row, 25, '  Count: ' || n FROM sr UNION ALL SELECT file, row, 26, '' FROM sr)"""
+ORACLE_SQL["S14_write_report"] = _LINES + """ SELECT line FROM ln UNION ALL
+SELECT line FROM (SELECT DISTINCT file FROM sr), (VALUES ('Individual task statistics'), ('==========================')) t(line)"""
+
+
+@query("T1_task_report", _LINES + " SELECT file, row::INT AS row, i::INT AS line_no, line FROM ln")
 def t1(s, d):
     return T.task_report(_stats(s, d))
 
@@ -714,6 +773,15 @@ def r6(s, d):
     return D.log_compare(half(0), half(1))
 
 
+@query("R6_share_compare", f"""WITH RECURSIVE {_EV}, {_graph('ev')}, {_rules('ev')}, {_CHECKED},
+ half AS (SELECT rule_id, split_part(caseid, '-', 1)::BIGINT % 2 AS h, count(*) FILTER (WHERE ok) AS c, count(*) AS n FROM checked GROUP BY ALL)
+ SELECT a.rule_id, a.c AS asis_cases, a.n AS asis_total, a.c / a.n AS asis_share, b.c AS tobe_cases, b.n AS tobe_total, b.c / b.n AS tobe_share FROM half a JOIN half b ON a.rule_id = b.rule_id AND a.h = 0 AND b.h = 1""")
+def r6_share(s, d):
+    log = A.events_log(s, d)
+    half = lambda h: log.where(F.col("user").cast("long") % 2 == h)
+    return D.share_compare(half(0), half(1), _parsed(log))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of conforming cases of every rule over the events."""
     log = A.events_log(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 import tempfile
 import uuid
 
@@ -14,24 +16,40 @@ _PATTERN = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S":
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path on the storage that spark.checkpoint.dir names, or a temporary one where it is unset."""
+    """A new folder path on the storage that spark.checkpoint.dir names.
+
+    On a local master, where all work is done in one process, a folder is made where none is named.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="eventloom-")
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a small table once and read it back, so that what uses it several times does not derive it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of the CSV files below ``path`` (plain or gzip), with ``file_path``; files may differ in columns."""
-    files = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").where(r"path rlike '\.csv(\.gz)?$'").orderBy("path").collect()]
-    heads: dict[tuple[str, ...], list[str]] = {}
-    for f in files:  # one small read of a header each
-        heads.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+    """All rows of the CSV files below ``path`` (plain or gzip), with ``file_path``; files may differ in columns.
+
+    One job finds the first line of every file, and one read per different header follows;
+    a file without any line has no rows.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,csv.gz}").text(path)
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    heads = text.select("value", F.col("_metadata.file_path").alias("file"), at.alias("at")).groupBy("file").agg(F.min_by("value", "at").alias("head"))
     out = None
-    for columns, same in sorted(heads.items()):
-        part = spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in columns)).csv(same).select("*", F.col("_metadata.file_path").alias("file_path"))
+    for r in heads.groupBy("head").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("head").collect():
+        columns = next(csv.reader([r.head]))
+        part = spark.read.option("header", True).schema(", ".join(f"`{c.replace('`', '``')}` string" for c in columns)).csv(r.files).select("*", F.col("_metadata.file_path").alias("file_path"))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out if out is not None else spark.createDataFrame([], "file_path string")
 
@@ -77,10 +95,14 @@ def gzip_log(spark: SparkSession, source: str, target: str) -> str:
 
 
 def latest_run(spark: SparkSession, path: str) -> DataFrame:
-    """``log_name, run_id``: the run folder with the most recently changed file, for files at log/run/file."""
+    """``log_name, run_id``: the run folder with the most recently changed file, for files at log/run/file.
+
+    A folder may be named ``key=name``, as writers by partition do.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
     parts = F.split("path", "/")
-    named = files.select(F.element_at(parts, -3).alias("log_name"), F.element_at(parts, -2).alias("run_id"), "modificationTime")
+    name = lambda i: F.regexp_replace(F.element_at(parts, i), "^[^=]*=", "")
+    named = files.select(name(-3).alias("log_name"), name(-2).alias("run_id"), "modificationTime")
     return named.groupBy("log_name").agg(F.max_by("run_id", F.struct("modificationTime", "run_id")).alias("run_id"))
 
 

@@ -14,12 +14,14 @@ _FLOW = "array<struct<_id:string,_sourceRef:string,_targetRef:string>>"
 _GATEWAY = "array<struct<_id:string,_gatewayDirection:string>>"
 _ELEMENT = "array<struct<_id:string,_name:string>>"
 
+#: What no operator looks into is a variant: it is carried through as it is.
 PARAMS_SCHEMA = """
 model_id string,
 arrival_time_calendar array<struct<`from`:string,`to`:string,beginTime:string,endTime:string>>,
 arrival_time_distribution struct<distribution_name:string,distribution_params:array<struct<value:double>>>,
+resource_calendars variant,
 resource_profiles array<struct<id:string,resource_list:array<struct<id:string,name:string,cost_per_hour:double,amount:bigint,assignedTasks:array<string>>>>>,
-task_resource_distribution array<struct<task_id:string,mean:double>>,
+task_resource_distribution array<struct<task_id:string,mean:double,resources:variant>>,
 gateway_branching_probabilities array<struct<gateway_id:string,probabilities:array<struct<path_id:string,value:double>>>>
 """
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import rules, values
 from eventloom.operators import branching, derived, graph
+from eventloom.sources import logs
 
 LOG = "log_name string, caseid string, task string, user string, start_timestamp timestamp, end_timestamp timestamp, input_ordinal long"
 T0 = datetime(2024, 1, 1)
@@ -142,3 +143,34 @@ def test_sample_to_share(spark):
     table = spark.createDataFrame([("L", "r", "=", 0.5)], "log_name string, rule_id string, variation_op string, variation_value double")
     got = derived.sample_to_share(checked, table)
     assert (got.where("ok").count(), got.where("not ok").count()) == (30, 30)
+
+def test_counted_conformance_equals_the_cases(spark):
+    """Rules counted without a row per case, long and short paths, unknown tasks, and a case without tasks."""
+    rnd = random.Random(6)
+    cases = {f"c{i}": [(rnd.choice("ABCD"), rnd.randint(0, 6)) for _ in range(rnd.randint(1, 8))] for i in range(120)}
+    table = rule_table(spark, ["A >> * >> B", "A >> B", "A >> B >> C", "D >> C >> B >> A", "A >> A", "A >> B >> A", "^D", "C", "B >> * >> B", "Z", "^Z", "A >> * >> Z", "A >> *"])
+    kinds = {r.rule_id: (r.rule_type, r.path) for r in table.collect()}
+    log = log_of(spark, {**cases, "empty": [(None, 1)]})
+    got = {r.rule_id: (r.positive, r.total) for r in graph.conform_stats(graph.case_graph(log), table, graph.case_counts(log)).collect()}
+    for rule, (kind, path) in kinds.items():
+        want = 0 if rule == "A >> *" else sum(model(c, kind, path) for c in cases.values()) + (kind == "not_allowed")
+        assert got[rule] == (want, 121), rule
+
+
+def test_rules_from_ini_files(spark):
+    text = "# c\n[OTHER]\npath = X\n[RULES]\r\n  Path : Task A >> * >> Task D \n;path = Y\nvariation=+0.1\n"
+    files = spark.createDataFrame([("a", text), ("b", "[RULES]\nvariation = =1\n"), ("c", "path = X\n"), ("d", "[RULES]\npath=^Task C\n"), ("e", "")], "file string, value string")
+    got = {r.file: (r.rule_type, r.path, r.variation_op, r.variation_value) for r in rules.parse(rules.read_ini(files)).collect()}
+    assert got == {"a": ("eventually", ["Task A", "Task D"], "+", 0.1), "d": ("not_allowed", ["Task C"], None, None)}
+
+
+def test_logs_with_different_headers(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "a.csv").write_text('"id,no",b\n1,2\n')
+    (tmp_path / "x" / "b.csv").write_text("b,c\n3,4\n5,6\n")
+    (tmp_path / "c.csv").write_text('"id,no",b\n7,8\n')
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "d.txt").write_text("b\n9\n")
+    got = logs.scan_logs(spark, str(tmp_path))
+    assert sorted((r["id,no"] or "", r.b, r.c or "") for r in got.collect()) == [("", "3", "4"), ("", "5", "6"), ("1", "2", ""), ("7", "8", "")]
+    assert logs.scan_logs(spark, str(tmp_path / "x" / "..") + "/x").count() == 2
