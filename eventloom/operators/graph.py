@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CASE = ("log_name", "caseid")
+#: Parts of a log's cases, where rules are joined to each.
+PARTS = 32
 _EDGES = "array<struct<src:string,dst:string>>"
 
 
@@ -126,10 +128,11 @@ def conform(graphs: DataFrame, rules: DataFrame) -> DataFrame:
     """Every rule of a log on every case of it: ``log_name, caseid, rule_id, ok``.
 
     The rows are as many as cases times rules; ``conform_stats`` counts without making them.
-    A log's rules are one row, so that a log with very many cases is dealt to many tasks.
+    The rules of a log are one row in each of ``PARTS`` parts, into which its cases are dealt, so
+    that one log with very many cases is no single task where the rules are too many to broadcast.
     """
-    listed = rules.groupBy("log_name").agg(F.collect_list(F.struct("rule_id", "rule_type", "path")).alias("rules"))
-    both = graphs.join(listed, "log_name").select(*CASE, "nodes", "edges", F.explode("rules").alias("r"))
+    listed = rules.groupBy("log_name").agg(F.collect_list(F.struct("rule_id", "rule_type", "path")).alias("rules")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    both = graphs.withColumn("part", F.pmod(F.hash("caseid"), F.lit(PARTS))).join(listed, ["log_name", "part"]).select(*CASE, "nodes", "edges", F.explode("rules").alias("r"))
     return both.select(*CASE, F.col("r.rule_id").alias("rule_id"), conforms(F.col("r.rule_type"), F.col("nodes"), F.col("edges"), F.col("r.path")).alias("ok"))
 
 
@@ -139,10 +142,12 @@ def reached(graphs: DataFrame) -> DataFrame:
     return graphs.withColumn("reach", F.flatten(F.transform("nodes", lambda a: F.transform(out(a), lambda b: F.struct(a.alias("src"), b.alias("dst"))))))
 
 
-def _long_paths(graphs: DataFrame, rules: DataFrame) -> DataFrame:
-    """``log_name, rule_id, hits``: cases that have every edge of a path of three or more tasks."""
+def _long_paths(graphs: DataFrame, rules: DataFrame) -> DataFrame | None:
+    """``log_name, rule_id, hits``: cases that have every edge of a path of three or more tasks; None without such rules."""
     path = F.array_distinct("path")
     long = rules.where((F.col("rule_type") == "directly") & (F.size("path") > 2) & (F.size(path) == F.size("path"))).select("log_name", "rule_id", "path")
+    if long.isEmpty():
+        return None
     steps = F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda a, i: F.struct(a.alias("src"), F.get("path", i + 1).alias("dst")))
     asked = long.select("log_name", "rule_id", (F.size("path") - 1).alias("n"), F.inline(steps))
     there = graphs.select(*CASE, F.inline("edges"))
@@ -166,7 +171,8 @@ def conform_stats(graphs: DataFrame, rules: DataFrame, cases: DataFrame | None =
     asked = rules.select("log_name", "rule_id", "rule_type", n.alias("n"), (F.size(F.array_distinct("path")) < n).alias("twice"), kind.alias("kind"), a.alias("a"), F.when(kind.isin("edge", "reach"), b).alias("b"))
     same = (asked["log_name"] == counts["log_name"]) & (asked["kind"] == counts["kind"]) & (asked["a"] == counts["a"]) & asked["b"].eqNullSafe(counts["b"])
     told = asked.join(counts, same, "left").select(asked["*"], counts["hits"])
-    told = told.join(_long_paths(graphs, rules).withColumnRenamed("hits", "long_hits"), ["log_name", "rule_id"], "left")
+    long = _long_paths(graphs, rules)
+    told = told.withColumn("long_hits", F.lit(None)) if long is None else told.join(long.withColumnRenamed("hits", "long_hits"), ["log_name", "rule_id"], "left")
     totals = graphs.groupBy("log_name").agg(F.count("*").alias("total")) if cases is None else cases
     hits = F.when((F.col("rule_type") == "directly") & F.col("twice"), F.lit(0)).otherwise(F.coalesce("hits", "long_hits", F.lit(0)))
     # A path too short for its kind is never met; as a verdict on a case it is null.
