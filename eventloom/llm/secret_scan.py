@@ -86,7 +86,8 @@ def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     plain = spans.select(F.explode(F.filter(tokens, lambda t: (F.length(t) >= 4) & ~F.exists("spans", lambda s: F.contains(s["match"], t)))).alias("s"))
     # Random strings hardly occur in two documents, so those that no pattern knows do not count as ordinary.
     plain = plain.groupBy("s").count().where("count > 1").select("s", F.lit(0).alias("random"))
-    chars = random.union(plain).select("random", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.substring("s", i, F.lit(2)))).alias("pair")).where(F.length("pair") == 2)
+    # A string counts for a pair once, so that one long run of the same pairs is no model of its own.
+    chars = random.union(plain).select("random", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.substring("s", i, F.lit(2))))).alias("pair")).where(F.length("pair") == 2)
     counts: dict[tuple[int, str], int] = {(r.random, r.pair): r["count"] for r in chars.groupBy("random", "pair").count().collect()}
     n = len(ALPHABET)
     logs = []
