@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
     doc_id reachable, and whether it is the row's own.  Null, empty and wordless
     texts have n_shingles 0 and no links.  Repeated rows give repeated rows, kept
     alike.  A null doc_id links as any other but never becomes a component_id
-    unless nothing else is reachable.  ``with_body`` adds ``body``, the xxhash64 of the text.
+    unless nothing else is reachable.  Texts of any length are read whole, an empty table gives
+    an empty result, and other columns are not read.  ``with_body`` adds ``body``, the xxhash64 of the text.
     """
     table = common.written(set_table(docs, shingle), "sets")
     classes = table.where("node is not null").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))

@@ -223,8 +223,9 @@ def judge(docs: DataFrame, *, error: float = ERROR) -> DataFrame:
     in 100 of the words in windows of eight that occur twice.  Estimates rest on the
     rows that did not fail; a row is kept if it did not fail and its squared distance is
     at most the chi-square quantile of ``1 - error``.  Null text counts as empty; null lang and
-    source are groups of their own; repeated rows count and stay.  ``distance2`` is
-    null where the row failed.
+    source are groups of their own; repeated rows count and stay, as do null ids; texts of
+    any length are read whole; an empty table gives an empty result.  ``distance2`` is null where
+    the row failed.
     """
     table = common.written(statistics(docs).select("*", *_vector()), "statistics")
     rows = table.where(~_failed()).select(F.coalesce("lang", F.lit("\u0001")).alias("g1"), F.coalesce("source", F.lit("\u0001")).alias("g2"), *VECTOR)

@@ -275,7 +275,8 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, shard_
     smaller, so rows with equal doc_id do not remove each other's words; rows with a
     null doc_id are neither judged nor held against others.  Returns a row per input row:
     ``doc_id, n_words, n_removed, kept_sha256`` and, with ``keep_text``, ``kept_text``
-    (kept words joined by one space).  Null, empty and short texts lose nothing.
+    (kept words joined by one space).  Null, empty and short texts lose nothing; texts of any
+    length are read whole; an empty table gives an empty result; other columns are not read.
     """
     gone, texts = repeated_spans(docs, window=window, anchor=anchor, shard_limit=shard_limit)
     fields = "doc_id long, body long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
