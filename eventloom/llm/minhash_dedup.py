@@ -10,8 +10,10 @@ A band's bucket of m classes is not expanded into m * m pairs.  Classes with too
 shingles that no other candidate has cannot reach the threshold and go first.  Then
 each class meets the bucket's head, the one with the most shared shingles; in a second pass, buckets that are not yet one
 component compare each class with the smallest of another order.  What then still
-lies in different components of one bucket is compared pair by pair where sizes and
-bitmaps of the sets leave a link possible, so no link that matters to the
+lies in different components of one bucket goes to a prefix join: two sets that reach
+the threshold share one of their first shingles in an order that is the same for all,
+and those that only one component has come first in it.  So pairs arise from shingles
+that different components share, not from buckets, and no link that matters to the
 components is lost.
 """
 
@@ -23,7 +25,7 @@ from math import lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,8 +36,8 @@ BANDS, ROWS = 24, 4
 #: Signature values: those of the bands, and as many for the comparison as fill whole batches.
 BATCH, VALUES = 32, 128
 MISS = 1e-7
-#: Longs in the bitmap of a set, which bounds what two sets have in common.
-BITMAP = 32
+#: Sets that share a prefix shingle are dealt to slices of about this many.
+SLICE = 256
 
 _rng = np.random.default_rng(20240517)
 _MULTIPLY = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,6 +153,20 @@ def verified(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int,
     return survivors.join(full("a"), "a").join(full("b"), "b").mapInArrow(exact, "a long, b long")
 
 
+def _shingle_rows(sets: DataFrame, *columns: str) -> DataFrame:
+    """A row ``columns, h`` for each shingle of ``sets(columns, hashes)``, the columns longs."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                raw = part["hashes"].to_pylist()
+                sizes = [len(r) // 8 for r in raw]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part[c].to_numpy(), sizes)) for c in columns), pa.array(np.frombuffer(b"".join(raw), "<i8"))], names=[*columns, "h"])
+
+    return sets.select(*columns, "hashes").mapInArrow(split, ", ".join(f"{c} long" for c in (*columns, "h")))
+
+
 def _linkable(sets: DataFrame, percent: int, peels: int = 2) -> DataFrame:
     """``node, n, common``: the sets that can still reach the threshold with another, their sizes and how much others have.
 
@@ -162,15 +178,7 @@ def _linkable(sets: DataFrame, percent: int, peels: int = 2) -> DataFrame:
     size = F.octet_length("hashes") / 8
     left, found = sets, None
     for i in range(peels):
-
-        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    part = batch.slice(at, 64)
-                    raw = part["hashes"].to_pylist()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["node"].to_numpy(), [len(r) // 8 for r in raw])), pa.array(np.frombuffer(b"".join(raw), "<i8"))], names=["node", "h"])
-
-        alone = left.mapInArrow(split, "node long, h long").groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+        alone = _shingle_rows(left, "node").groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
         unshared = alone.groupBy("node").agg(F.count("*").alias("unshared"))
         told = left.join(unshared, "node", "left").select("node", "hashes", F.coalesce("unshared", F.lit(0)).alias("unshared"))
         found = told.where(100 * (size - F.col("unshared")) >= percent * size)
@@ -185,31 +193,29 @@ def _possible(percent: int, n_a: str, common_a: str, n_b: str, common_b: str) ->
     return 100 * most >= percent * (F.col(n_a) + F.greatest(F.col(n_b), most) - most)
 
 
-def bitmaps(sets: DataFrame) -> DataFrame:
-    """``node, bits, spare``: one bit per shingle of a set in ``BITMAP`` longs, and how many shingles found theirs taken."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [np.frombuffer(x, "<u8") for x in batch["hashes"].to_pylist()]
-            bits = np.zeros((len(raw), 64 * BITMAP), np.uint8)
-            for i, value in enumerate(raw):
-                bits[i, (mix(value) % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
-            spare = np.array([len(x) for x in raw], np.int64) - bits.sum(1, dtype=np.int64)
-            longs = pa.array(np.packbits(bits, axis=1).view("<i8").ravel())
-            ends = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * BITMAP)
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.ListArray.from_arrays(ends, longs), pa.array(spare)], names=["node", "bits", "spare"])
-
-    return sets.select("node", "hashes").mapInArrow(run, "node long, bits array<long>, spare long")
-
-
-def _overlapping(percent: int) -> Column:
-    """Whether two sets can reach the threshold, given their bitmaps.
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of nodes of ``sets(node, root, hashes)`` with different roots, all that reach the threshold among them; some occur more than once.
 
-    Two sets have at most one common shingle for each common bit, and one more for
-    each that found its bit taken, in the set that has fewer of those.
+    A set of n shingles has at least percent * n / 100 of them in common with any set it
+    is linked to, so the first shared one is among its first n - that + 1.  Shingles that
+    only one root has come first, then rare ones: a set with enough of its own makes no pair.
+    A shingle of many sets is dealt to slices, each of which meets all of its sets.
     """
-    most = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseAND(F.get("bits", F.lit(i)))) for i in range(BITMAP)), F.least("spare_a", "spare"))
-    return 100 * most >= percent * (F.col("n_a") + F.col("n") - most)
+    size = (F.octet_length("hashes") / 8).cast("long")
+    rows = _shingle_rows(sets.select("node", "root", size.alias("n"), "hashes"), "node", "root", "n")
+    held = rows.groupBy("h").agg((F.min("root") < F.max("root")).alias("across"), F.count("*").alias("holders"))
+    order = F.row_number().over(Window.partitionBy("node").orderBy("across", "holders", "h")) - 1
+    needed = F.ceil(F.lit(percent) * F.col("n") / 100)
+    placed = rows.join(held, "h").withColumn("pos", order.cast("long"))
+    first = common.written(placed.where(F.col("across") & (F.col("pos") <= F.col("n") - needed)).select("h", "node", "root", "n", "pos"), "prefixes")
+    met = first.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("h", F.ceil(F.col("members") / SLICE).cast("int").alias("slices"))
+    dealt = common.written(first.join(met, "h"), "dealt")
+    one = dealt.select("h", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"), "node", "root", "n", "pos")
+    other = dealt.select("h", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "pos")))
+    # Before the first shared shingle nothing is shared.
+    most = F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a"))
+    pairs = one.join(other, ["h", "slice"]).where("root_a < root").where(100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")).where(100 * most >= percent * (F.col("n") + F.col("n_a") - most))
+    return pairs.select(F.col("node").alias("a"), F.col("node_a").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGLE, miss: float = MISS, with_body: bool = False) -> DataFrame:
@@ -290,16 +296,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
         roots = common.components(links)
         left = unsettled()
     if not left.isEmpty():
-        # The bucket's largest component meets the rest, and the rest meet each other.
-        largest = left.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
-        # A pair is made in the least of its common bands alone, if its bitmaps leave it possible.
-        known = left.groupBy("node").agg(F.collect_set("band").alias("bands"))
-        known = common.written(known.join(bitmaps(sets.join(known, "node", "left_semi")), "node"), "bitmaps")
-        rest = left.join(largest, "band").where("root <> main").join(known, "node")
-        rest = rest.select("band", *(F.col(c).alias("a" if c == "node" else f"{c}_a") for c in ("node", "root", "n", "common", "bits", "spare", "bands")))
-        once = F.col("band") == F.array_min(F.array_intersect("bands_a", "bands"))
-        met = rest.join(left.join(known, "node"), "band").where("root_a <> root").where(_possible(percent, "n_a", "common_a", "n", "common")).where(_overlapping(percent)).where(once)
-        links = further(met.select("a", F.col("node").alias("b")))
+        links = further(prefix_pairs(sets.join(left.select("node", "root").distinct(), "node"), percent))
         roots = common.components(links)
 
     named = signed.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

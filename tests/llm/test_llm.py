@@ -69,20 +69,24 @@ def test_near_duplicate_chain_and_repeated_rows(spark):
     assert len(got) == 9 and {r.component_id for r in got} == {0}
 
 
-def test_bitmaps_never_rule_out_a_link(spark):
-    """The bound from bitmaps holds for every pair of sets, small, large and empty."""
+def test_prefix_pairs_lose_no_link(spark, monkeypatch):
+    """Every linked pair of sets with different roots is made, in one slice or many, and not every pair is."""
+    monkeypatch.setattr(minhash_dedup, "SLICE", 3)
     rnd = np.random.default_rng(5)
     pool = rnd.integers(0, 1 << 63, 4000, dtype=np.uint64)
-    sets = [np.sort(rnd.choice(pool[: 2 * n], n, replace=False)) for n in (0, 1, 3, 40, 41, 150, 150, 160, 2000, 1900)]
-    rows = [(i, x.astype("<u8").tobytes(), len(x)) for i, x in enumerate(sets)]
-    known = spark.createDataFrame(rows, "node long, hashes binary, n long")
-    known = known.join(minhash_dedup.bitmaps(known), "node").drop("hashes")
-    pairs = known.select(*(F.col(c).alias(f"{c}_a") for c in known.columns)).crossJoin(known)
-    for percent in (10, 45, 80):
-        possible = {(r.node_a, r.node) for r in pairs.where(minhash_dedup._overlapping(percent)).select("node_a", "node").collect()}
-        common_ = {(i, j): len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets)}
-        linked = {(i, j) for (i, j), n in common_.items() if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n)}
-        assert linked <= possible and len(possible) < len(common_)
+    sets = []
+    for n in (1, 2, 3, 20, 40, 150):
+        base = rnd.choice(pool, n, replace=False)
+        for changed in (0, 1, 1, 2, 3, n // 10, n // 4, n // 2, n):
+            sets.append(np.unique(np.concatenate((base[min(changed, n) :], rnd.choice(pool[:60], min(changed, n), replace=False) if changed <= 60 else rnd.choice(pool, n)))))
+    roots = [i if i % 4 else i - i % 12 for i in range(len(sets))]
+    table_ = spark.createDataFrame([(i, roots[i], x.astype("<u8").tobytes()) for i, x in enumerate(sets)], "node long, root long, hashes binary")
+    every = {(i, j) for i in range(len(sets)) for j in range(i) if roots[i] != roots[j]}
+    for percent in (45, 80, 85, 100):
+        made = {(max(r), min(r)) for r in minhash_dedup.prefix_pairs(table_, percent).collect()}
+        both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j in every}
+        linked = {(i, j) for (i, j), n in both.items() if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n)}
+        assert linked and linked <= made <= every and len(made) < len(every) / 2
 
 
 def test_near_duplicates_below_and_above_the_threshold(spark):
