@@ -38,6 +38,8 @@ BATCH, VALUES = 32, 128
 MISS = 1e-7
 #: Sets that share a prefix shingle are dealt to slices of about this many.
 SLICE = 256
+#: Slices of each bucket where its rows meet one row of theirs.
+SLICES = 32
 
 _rng = np.random.default_rng(20240517)
 _MULTIPLY = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,6 +195,12 @@ def _possible(percent: int, n_a: str, common_a: str, n_b: str, common_b: str) ->
     return 100 * most >= percent * (F.col(n_a) + F.greatest(F.col(n_b), most) - most)
 
 
+def _sliced(members: DataFrame, one: DataFrame) -> DataFrame:
+    """``members`` joined with ``one``, which has a row per band; a band's rows go to ``SLICES`` tasks."""
+    dealt = members.withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(SLICES)).cast("int"))
+    return dealt.join(one.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))), ["band", "slice"]).drop("slice")
+
+
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of nodes of ``sets(node, root, hashes)`` with different roots, all that reach the threshold among them; some occur more than once.
 
@@ -284,7 +292,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
         """Members of buckets of three or more that are not one component."""
         member = buckets.where("members > 2").join(roots, "node", "left").select("band", "node", "n", "common", F.coalesce("root", "node").alias("root"))
         split = member.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-        return common.written(member.join(split, "band"), "unsettled")
+        return common.written(_sliced(member, split), "unsettled")
 
     def further(pairs: DataFrame) -> DataFrame:
         return common.written(links.union(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), signed, sets, percent, miss)), "links")
@@ -292,7 +300,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
     left = unsettled()
     if not left.isEmpty():
         head = left.groupBy("band").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "root")).alias("m")).select("band", F.col("m.node").alias("a"), F.col("m.root").alias("root_a"))
-        links = further(left.join(head, "band").where("root <> root_a").select("a", F.col("node").alias("b")))
+        links = further(_sliced(left, head).where("root <> root_a").select("a", F.col("node").alias("b")))
         roots = common.components(links)
         left = unsettled()
     if not left.isEmpty():
