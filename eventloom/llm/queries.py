@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     byte_bpe,
+    centroid_clustering,
     decontaminate,
     html_extract,
     language_id,
@@ -19,6 +20,7 @@ from . import (
     quality_rules,
     secret_scan,
     substring_dedup,
+    vector_codes,
 )
 
 
@@ -76,6 +78,14 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_html_extract": op10_html_extract,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": pipeline,
 }
 
@@ -139,4 +151,47 @@ FROM sets i JOIN sets d ON i.s = d.s AND d.kind = 'doc' JOIN sizes z ON z.id = i
 WHERE i.kind = 'item' GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * any_value(z.n)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1, "op2_decontaminate": _OP2}
+
+
+def _usable(scale: int) -> str:
+    """CTE kept: vectors of finite components as whole numbers."""
+    return f"""kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+def _lloyd(rounds: int, number: int, width: int) -> str:
+    """CTEs near0, mean1, near1, ... of rows(vec_id, p, v) and mean0(p, c, m), separately for each p."""
+    far = f"list_sum(list_transform(range(1, {width + 1}), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT"
+    out = []
+    for i in range(rounds + 1):
+        # The least distance and, of equal ones, the least number.
+        out.append(f"near{i} AS MATERIALIZED (SELECT vec_id, p, v, min({far} * {number} + c) AS b FROM rows JOIN mean{i} USING (p) GROUP BY ALL)")
+        if i < rounds:
+            out.append(f"""mean{i + 1} AS MATERIALIZED (SELECT o.p, o.c, coalesce(n.m, o.m) AS m FROM mean{i} o LEFT JOIN (
+  SELECT p, c, list(x ORDER BY i) AS m FROM (SELECT p, b % {number} AS c, i, floor(sum(x) / count(*))::BIGINT AS x FROM (SELECT p, b, unnest(range({width})) AS i, unnest(v) AS x FROM near{i}) GROUP BY ALL) GROUP BY ALL) n USING (p, c))""")
+    return ",\n".join(out)
+
+
+_OP11 = f"""
+WITH {_usable(64)},
+rows AS MATERIALIZED (SELECT vec_id, 0 AS p, v FROM kept WHERE len(v) = 64),
+mean0 AS MATERIALIZED (SELECT 0 AS p, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v AS m FROM rows ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{_lloyd(3, 16, 64)},
+said AS (SELECT c, sha256(array_to_string(m, ',')) AS h FROM mean3),
+told AS (SELECT vec_id, b % 16 AS c, b // 16 AS distance FROM near3)
+SELECT vec_id, told.c::INT AS cluster, distance, sum(distance) OVER (PARTITION BY told.c)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, h AS centroid_sha256
+FROM told JOIN said ON told.c = said.c
+"""
+
+_OP13 = f"""
+WITH {_usable(256)},
+rows AS MATERIALIZED (SELECT vec_id, p, v[p * 4 + 1 : p * 4 + 4] AS v FROM kept, (SELECT unnest(range(16)) AS p)),
+first64 AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS c FROM kept ORDER BY vec_id LIMIT 64),
+mean0 AS MATERIALIZED (SELECT p, c, v AS m FROM rows JOIN first64 USING (vec_id)),
+{_lloyd(2, 64, 4)},
+said AS (SELECT sha256(string_agg(array_to_string(m, ','), ',' ORDER BY p, c)) AS h FROM mean2),
+told AS (SELECT vec_id, string_agg(format('{{:02x}}', b % 64), '' ORDER BY p) AS code, sum(b // 64)::BIGINT AS error FROM near2 GROUP BY 1)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM told JOIN kept USING (vec_id), said
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1, "op2_decontaminate": _OP2, "op11_centroid_clustering": _OP11, "op13_vector_codes": _OP13}
