@@ -20,6 +20,7 @@ from . import (
     quality_rules,
     secret_scan,
     substring_dedup,
+    suffix_dedup,
     vector_codes,
 )
 
@@ -82,6 +83,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clustering.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_html_extract": op10_html_extract,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_vector_codes": op13_vector_codes,
     "pipeline": pipeline,
 }
@@ -183,6 +189,20 @@ SELECT vec_id, told.c::INT AS cluster, distance, sum(distance) OVER (PARTITION B
 FROM told JOIN said ON told.c = said.c
 """
 
+#: Bytes as pairs of hexadecimal digits; windows of 200 that occur twice; what they cover, run by run.
+_OP12 = """
+WITH rows AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS MATERIALIZED (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM rows)),
+hits AS (SELECT r, i FROM windows SEMI JOIN (SELECT m FROM windows GROUP BY m HAVING count(*) > 1) USING (m)),
+runs AS (SELECT r, min(i) AS b, max(i) + 200 AS e FROM (
+  SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (
+    SELECT r, i, (i - lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) > 200)::INT AS new FROM hits)) GROUP BY r, g),
+rest AS (SELECT r, count(*) AS n_spans, sum(e - b)::BIGINT AS n_removed, max(e) AS e, string_agg(substr(x, 2 * l + 1, 2 * (b - l)), '' ORDER BY b) AS x
+  FROM (SELECT *, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY b) AS l FROM runs) JOIN rows USING (r) GROUP BY r)
+SELECT doc_id, len(o.x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t.x || substr(o.x, 2 * e + 1), o.x))) AS kept_sha256
+FROM rows o LEFT JOIN rest t USING (r)
+"""
+
 _OP13 = f"""
 WITH {_usable(256)},
 rows AS MATERIALIZED (SELECT vec_id, p, v[p * 4 + 1 : p * 4 + 4] AS v FROM kept, (SELECT unnest(range(16)) AS p)),
@@ -194,4 +214,4 @@ told AS (SELECT vec_id, string_agg(format('{{:02x}}', b % 64), '' ORDER BY p) AS
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM told JOIN kept USING (vec_id), said
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1, "op2_decontaminate": _OP2, "op11_centroid_clustering": _OP11, "op13_vector_codes": _OP13}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1, "op2_decontaminate": _OP2, "op11_centroid_clustering": _OP11, "op12_suffix_dedup": _OP12, "op13_vector_codes": _OP13}
