@@ -8,7 +8,7 @@
    that occurs twice is repeated throughout, and its text is not needed.  An anchor
    that occurs once leaves the work.  Only shards (an anchor's different segments)
    with a segment that occurs once need bytes, fetched once from one document that has them.
-3. Shards meet in tasks, and a suffix array is built over some megabytes of them at a time: suffixes
+3. Shards meet in tasks, and a suffix array is built over some of them at a time: suffixes
    smaller than their successors are sorted directly, the rest are induced from them by one scan
    over the buckets of first bytes.  Neighbours in it that share a window's length are repeated.
 4. A shard of more than ``shard_limit`` segments is not gathered in one task: its windows are
@@ -32,10 +32,10 @@ from .wordhash import mix, small_batches
 WINDOW = 200
 #: Bytes of an anchor.
 GRAM = 16
-SHARD_LIMIT = 4096
-#: Bytes under one suffix array, and of a piece of a long text that is read at a time.
-BLOCK = 1 << 21
-PIECE = 1 << 20
+SHARD_LIMIT = 2048
+#: Bytes under one suffix array (a shard more at most), and of a piece of a long text that is read at a time.
+BLOCK = 1 << 19
+PIECE = 1 << 19
 #: A segment's place is one long: its first byte times this, plus its windows.
 _PACK = 1 << 16
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -71,8 +71,9 @@ class SuffixArray:
         grams = np.zeros(n + depth + _STEP, np.int64)
         for j in range(_STEP):
             grams = (grams << _BITS) | text[j : j + len(grams)]
-        self.grams, rank = np.unique(grams, return_inverse=True)
-        self.rank = rank.astype(np.int64)
+        known, rank = np.unique(grams, return_inverse=True)
+        self.rank, self.most = rank.astype(np.int32), len(known)
+        del grams, known, rank
         self.order = self._induced(self._sorted(np.flatnonzero(self._smaller())))
 
     def _smaller(self) -> np.ndarray:
@@ -88,7 +89,7 @@ class SuffixArray:
         at, key = at[by], key[by]
         same = np.zeros(len(at) + 1, bool)
         same[1:-1] = key[1:] == key[:-1]
-        deep, most = _STEP, len(self.grams)
+        deep = _STEP
         while deep < self.depth:
             # Groups of equal ones that have not reached the end of their strings.
             live = np.flatnonzero((same[1:] | same[:-1]) & (self.left[at] >= deep))
@@ -97,8 +98,8 @@ class SuffixArray:
             group = np.cumsum(~same[live])
             part = at[live]
             key, take = group, 0
-            while deep < self.depth and (take == 0 or int(key.max()) * most < 1 << 62):
-                key = key * most + self.rank[part + deep]
+            while deep < self.depth and (take == 0 or int(key.max()) * self.most < 1 << 62):
+                key = key * self.most + self.rank[part + deep]
                 deep, take = deep + _STEP, take + 1
             by = np.argsort(key, kind="stable")
             at[live], key = part[by], key[by]
@@ -230,7 +231,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, shard_limit: int =
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in small_batches(batch, "text"):
+            for part, texts in small_batches(batch, "text", PIECE):
                 for numbers, begins, pieces in _pieces(texts, window):
                     piece, begin, size, anchor, whole = segments(pieces, window)
                     take = pa.array(np.array(numbers)[piece])
@@ -263,7 +264,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, shard_limit: int =
     cuts = common.written(texts.where("hits is not null").select("text", "hits").mapInArrow(cut, "anchor long, whole long, texts long, n long, bytes binary"), "segment-bytes")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by anchor; the shards of some megabytes share a suffix array."""
+        """Rows arrive sorted by anchor; the shards of about BLOCK bytes share a suffix array."""
 
         def told(held: dict[tuple[int, int], tuple[int, bytes]]) -> pa.RecordBatch:
             array = SuffixArray([b for _, b in held.values()], window)
