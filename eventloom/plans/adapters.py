@@ -140,13 +140,14 @@ def bpmn_text(flows_: DataFrame, elements_: DataFrame, gateways_: DataFrame) ->
 
 
 def stats_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A statistics report per ship year of lineitem: ``file, value``."""
+    """A statistics report per ship year of lineitem: ``file, value``; names have commas and quotes."""
     from ..operators.report import MEASURES
 
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").cast("string").alias("file"), F.concat("l_returnflag", "l_linestatus").alias("name")).agg(
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").cast("string").alias("file"), F.concat("l_returnflag", F.lit(', "'), "l_linestatus", F.lit('"')).alias("name")).agg(
         F.count("*").alias("n"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.sum("l_quantity").alias("sum")
     )
     figures = F.concat_ws(",", F.format_string("%.2f", F.col("sum") / F.col("n")), F.format_string("%.2f", "lo"), F.format_string("%.2f", "hi"), F.format_string("%.2f", "sum"))
-    line = F.struct(F.col("name").alias("name"), F.concat_ws(",", "name", "n", *[figures] * 6).alias("line"))
+    quoted = F.concat(F.lit('"'), F.replace("name", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.struct(F.col("name").alias("name"), F.concat_ws(",", quoted, "n", *[figures] * 6).alias("line"))
     head = "Process statistics\n1,2,3\nIndividual task statistics\n" + ",".join(("Name", "Count", *MEASURES)) + "\n"
     return rows.groupBy("file").agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n")).alias("value"))

@@ -196,7 +196,7 @@ def s9(s, d):
     return _params_text(S.scan_params(s, path, per_file=True))
 
 
-_STATS = """st AS (SELECT year(l_shipdate)::VARCHAR AS file, l_returnflag || l_linestatus AS name, count(*) AS n, sum(l_quantity) / count(*) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi, sum(l_quantity) AS s FROM lineitem GROUP BY ALL),
+_STATS = """st AS (SELECT year(l_shipdate)::VARCHAR AS file, l_returnflag || ', "' || l_linestatus || '"' AS name, count(*) AS n, sum(l_quantity) / count(*) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi, sum(l_quantity) AS s FROM lineitem GROUP BY ALL),
 sr AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY name) - 1 AS row FROM st)"""
 
 
@@ -701,10 +701,10 @@ def x5(s, d):
 
 _LINES = f"""WITH {_STATS}, ln AS (
   SELECT file, row, 0 AS i, 'Task: ' || name AS line FROM sr
-  UNION ALL SELECT file, row, 1 + 4 * k + f, '  ' || ['Avg', 'Min', 'Max', 'Total'][f + 1] || ' ' || ['duration', 'waiting time', 'idle time', 'cost', 'cost over thresh', 'duration over thresh'][k + 1] || ': ' || format('{{:,.2f}}', format('{{:.2f}}', [a, lo, hi, s][f + 1])::DOUBLE) FROM sr, range(6) t(k), range(4) u(f)
-  UNION ALL SELECT file, row, 25, '  Count: ' || n FROM sr UNION ALL SELECT file, row, 26, '' FROM sr)"""
+  UNION ALL SELECT file, row, 1 + 4 * k + f, '- ' || ['Avg', 'Min', 'Max', 'Total'][f + 1] || ' ' || ['duration', 'waiting time', 'idle time', 'cost', 'cost over thresh', 'duration over thresh'][k + 1] || ': ' || format('{{:,.2f}}', format('{{:.2f}}', [a, lo, hi, s][f + 1])::DOUBLE) FROM sr, range(6) t(k), range(4) u(f)
+  UNION ALL SELECT file, row, 25, '- Count: ' || n FROM sr UNION ALL SELECT file, row, 26, '' FROM sr)"""
 ORACLE_SQL["S14_write_report"] = _LINES + """ SELECT line FROM ln UNION ALL
-SELECT line FROM (SELECT DISTINCT file FROM sr), (VALUES ('Individual task statistics'), ('==========================')) t(line)"""
+SELECT line FROM (SELECT DISTINCT file FROM sr), (VALUES ('Individual Task Statistics'), ('--------------------------')) t(line)"""
 
 
 @query("T1_task_report", _LINES + " SELECT file, row::INT AS row, i::INT AS line_no, line FROM ln")
@@ -712,13 +712,19 @@ def t1(s, d):
     return T.task_report(_stats(s, d))
 
 
-@query("T2_task_report_errors", f"""WITH {_STATS} SELECT file, row::INT AS row, 3 AS lines, 'Error processing row ' || row || ': no number in line 3' AS last FROM sr""")
+@query("T2_task_report_errors", f"""WITH {_STATS} SELECT file, row::INT AS row, [3, 27, 26][row % 3 + 1] AS lines,
+  CASE row % 3 WHEN 1 THEN '- Min duration: nan' WHEN 2 THEN '- Min duration: ' || format('{{:,.2f}}', lo) END AS second,
+  CASE row % 3 WHEN 0 THEN 'Error processing row ' || row || ': could not convert string to float: ''x y''' WHEN 1 THEN '' ELSE 'Error processing row ' || row || ': cannot convert float NaN to integer' END AS last FROM sr""")
 def t2(s, d):
-    stats = _stats(s, d).withColumn("cells", F.transform("cells", lambda c, i: F.when(i == 3, "n/a").otherwise(c)))
-    return T.task_report(stats).groupBy("file", "row").agg(F.count("*").cast("int").alias("lines"), F.max_by("line", "line_no").alias("last"))
+    """Of each three rows one has text for a figure, one has it missing, and one has no count."""
+    kind = F.col("row") % 3
+    cells = F.transform("cells", lambda c, i: F.when((i == 3) & (kind == 0), "x y").when((i == 3) & (kind == 1), "n/a").when((i == 1) & (kind == 2), "").otherwise(c))
+    lines = T.task_report(_stats(s, d).withColumn("cells", cells))
+    second = F.max(F.when((F.col("line_no") == 2) & (F.col("row") % 3 != 0), F.col("line")))
+    return lines.groupBy("file", "row").agg(F.count("*").cast("int").alias("lines"), second.alias("second"), F.max_by("line", "line_no").alias("last"))
 
 
-@query("T3_report_header", f"""WITH {_STATS} SELECT DISTINCT file, -1 AS row, i AS line_no, line FROM sr, (VALUES (0, 'Individual task statistics'), (1, '==========================')) t(i, line)""")
+@query("T3_report_header", f"""WITH {_STATS} SELECT DISTINCT file, -1 AS row, i AS line_no, line FROM sr, (VALUES (0, 'Individual Task Statistics'), (1, '--------------------------')) t(i, line)""")
 def t3(s, d):
     return T.report_header(_stats(s, d))
 

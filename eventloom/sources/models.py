@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -74,20 +74,38 @@ def write_params(params: DataFrame, path: str) -> str:
     return path
 
 
+# A cell in quotes may hold commas, line ends and doubled quotes; a quote inside another cell is a character like others.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+_CELL = rf'(?:{_QUOTED}(?:"[^,\n]*+|\z)|[^,"\n][^,\n]*+|)'
+_RECORD = rf"({_CELL}(?:,{_CELL})*+)(?:\n|\z)"
+
+
+def csv_records(text: Column) -> Column:
+    """Records of CSV text as arrays of cells; blank lines are passed over."""
+
+    def plain(cell: Column) -> Column:
+        inside = F.replace(F.regexp_extract(cell, f"^({_QUOTED})", 1).substr(F.lit(2), F.length(cell)), F.lit('""'), F.lit('"'))
+        return F.when(F.startswith(cell, F.lit('"')), F.concat(inside, F.regexp_extract(cell, rf'(?s)^{_QUOTED}"?(.*)$', 1))).otherwise(cell)
+
+    records = F.filter(F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1)), lambda x: F.length(F.trim(x)) > 0)
+    return F.transform(records, lambda r: F.transform(F.regexp_extract_all(F.concat(F.lit(","), r), F.lit(f",({_CELL})"), F.lit(1)), plain))
+
+
 def stats_section(files: DataFrame) -> DataFrame:
     """``file, row, cells, header, problem`` for ``files(file, value)``, whole texts of statistics reports.
 
-    The header follows the line that holds the marker; a report without the marker or with
-    fewer than 26 columns gives one row that names the problem.
+    The section is the CSV text after the first line that holds the marker, its first record the header;
+    a report without the marker or with fewer than 26 columns gives one row that names the problem.
     """
-    lines = F.split(F.regexp_replace("value", "\r", ""), "\n", -1)
-    at = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit(STATS_MARKER))), True)
-    cut = files.select("file", lines.alias("lines"), at.cast("int").alias("at"))
-    header = F.split(F.get("lines", F.col("at")), ",", -1)
-    told = cut.select("file", "lines", "at", F.when(F.col("at") == 0, F.lit("no marker")).when(F.size(header) < 26, F.lit("fewer than 26 columns")).alias("problem"), F.when(F.col("at") > 0, header).alias("header"))
-    body = F.when(F.col("problem").isNull(), F.filter(F.slice("lines", F.col("at") + 2, F.size("lines")), lambda x: F.length(F.trim(x)) > 0))
-    rows = told.select("file", "header", "problem", F.posexplode_outer(body).alias("row", "line")).where("line is not null or problem is not null")
-    return rows.select("file", "row", F.split("line", ",", -1).alias("cells"), "header", "problem")
+    text = F.regexp_replace("value", "\r\n?", "\n")
+    at = F.locate(STATS_MARKER, text)
+    after = F.position(F.lit("\n"), F.concat(text, F.lit("\n")), at)
+    cut = files.select("file", at.alias("at"), F.when(at > 0, csv_records(F.substr(text, after + 1))).alias("records"))
+    header = F.get("records", F.lit(0))
+    told = cut.select("file", "records", header.alias("header"), F.when(F.col("at") == 0, F.lit("no marker")).when(F.coalesce(F.size(header), F.lit(0)) < 26, F.lit("fewer than 26 columns")).alias("problem"))
+    body = F.when(F.col("problem").isNull(), F.slice("records", F.lit(2), F.greatest(F.size("records") - 1, F.lit(0))))
+    rows = told.select("file", "header", "problem", F.posexplode_outer(body).alias("row", "cells")).where("cells is not null or problem is not null")
+    return rows.select("file", "row", "cells", "header", "problem")
 
 
 def write_report(lines: DataFrame, path: str) -> str:
