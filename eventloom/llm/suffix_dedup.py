@@ -11,8 +11,10 @@
 3. Shards meet in tasks, and a suffix array is built over some of them at a time: suffixes
    smaller than their successors are sorted directly, the rest are induced from them by one scan
    over the buckets of first bytes.  Neighbours in it that share a window's length are repeated.
-4. A shard of more than ``shard_limit`` segments is not gathered in one task: its windows are
-   counted one by one, by a cryptographic hash, which finds the same.
+4. A shard of more than ``shard_limit`` segments is not gathered in one task.  Its windows are dealt
+   by where the anchor stands in them, 16 places at a time, and by the bytes that all windows of those places
+   would have in common; what is equal then is counted, and the shards that remain go through the same steps,
+   dealt by 4 places and by single ones if need be.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ WINDOW = 200
 #: Bytes of an anchor.
 GRAM = 16
 SHARD_LIMIT = 2048
+#: Places of the anchor that a large shard is dealt by, one after another; the last leaves nothing to compare.
+BANDS = (16, 4, 1)
 #: Bytes under one suffix array (a shard more at most), and of a piece of a long text that is read at a time.
 BLOCK = 1 << 19
 PIECE = 1 << 19
@@ -164,14 +168,18 @@ def _octets(data: bytes) -> np.ndarray:
     return out
 
 
+def _gram_hashes(data: bytes) -> np.ndarray:
+    eight = _octets(data)
+    return mix(eight[:-8] * _A + (eight[8:] ^ (eight[8:] >> np.uint64(29))) * _B)
+
+
 def segments(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each segment: its piece, first byte in that, windows, anchor, and hash of its bytes."""
     data = b"".join(pieces)
     width = window - GRAM + 1
     if len(data) < window:
         return (np.zeros(0, np.int64),) * 5
-    eight = _octets(data)
-    hashes = mix(eight[:-8] * _A + (eight[8:] ^ (eight[8:] >> np.uint64(29))) * _B)
+    hashes = _gram_hashes(data)
     least = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     have = 1
     while 2 * have <= width:
@@ -221,6 +229,95 @@ def _keys(docs: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.xxhash64("text").alias("body"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+#: A segment of a shard: its occurrences, the anchor's place in its bytes (-1: where its hash is), and the bytes.
+_CUT = "shard long, whole long, n long, place long, bytes binary"
+
+
+def _compared(cuts: DataFrame, window: int) -> DataFrame:
+    """``shard, whole, begin, end``: runs of repeated windows of the segments that occur once."""
+
+    def told(held: dict[tuple[int, int], tuple[int, bytes]]) -> pa.RecordBatch:
+        array = SuffixArray([b for _, b in held.values()], window)
+        edge = np.flatnonzero(np.diff(array.repeated().view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        begin, end = edge[0::2], edge[1::2]
+        row = np.searchsorted(array.begins, begin, side="right") - 1
+        name = np.array(list(held), np.int64).reshape(-1, 2)
+        once = np.fromiter((n == 1 for n, _ in held.values()), bool, len(held))[row]
+        row, begin, end = row[once], begin[once], end[once]
+        at = array.begins[row]
+        return pa.RecordBatch.from_arrays([pa.array(name[row, 0]), pa.array(name[row, 1]), pa.array(begin - at, pa.int32()), pa.array(end - at, pa.int32())], names=["shard", "whole", "begin", "end"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by shard; the shards of about BLOCK bytes share a suffix array."""
+        held: dict[tuple[int, int], tuple[int, bytes]] = {}
+        shard, total = None, 0
+        for batch in batches:
+            for a, whole, n, text in zip(*(batch[c].to_pylist() for c in ("shard", "whole", "n", "bytes")), strict=True):
+                if a != shard and total >= BLOCK:
+                    yield told(held)
+                    held, total = {}, 0
+                shard = a
+                if (a, whole) not in held:  # a row that is repeated brings its cuts again
+                    held[a, whole] = (n, text)
+                    total += len(text)
+        if held:
+            yield told(held)
+
+    rows = cuts.select("shard", "whole", "n", "bytes").repartition("shard").sortWithinPartitions("shard")
+    return rows.mapInArrow(match, "shard long, whole long, begin int, end int")
+
+
+def _dealt(cuts: DataFrame, window: int, band: int) -> DataFrame:
+    """Parts of segments, ``key, sub, place, bytes`` and whence they are: ``shard, whole, n, low``.
+
+    A part has the windows in which the anchor stands at one of ``band`` neighbouring places.  ``key``
+    is a hash of the bytes that any such window has, so equal windows have it in common; ``sub`` one of all its bytes.
+    """
+    code = lambda *parts: int.from_bytes(hashlib.blake2b(b"|".join(parts), digest_size=8).digest(), "little", signed=True)
+    number = lambda n: str(n).encode()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for a, whole, n, place, text in zip(*(batch[c].to_pylist() for c in ("shard", "whole", "n", "place", "bytes")), strict=True):
+                if place < 0:
+                    place = int(np.flatnonzero(_gram_hashes(text).view(np.int64) == a)[0])
+                last = len(text) - window
+                for j in range((place - last) // band, place // band + 1):
+                    high = place - j * band
+                    low = high - band + 1
+                    begin, end = max(low, 0), min(high, last) + window
+                    part = text[begin:end]
+                    key = code(number(a), number(j), text[high : low + window])
+                    for col, v in zip(out, (key, code(number(place - begin), part), place - begin, part, a, whole, n, begin), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary()), *(pa.array(c, pa.int64()) for c in out[4:])], names=["key", "sub", "place", "bytes", "shard", "whole", "n", "low"])
+
+    return cuts.mapInArrow(deal, "key long, sub long, place long, bytes binary, shard long, whole long, n long, low long")
+
+
+def repeats(cuts: DataFrame, sizes: DataFrame, window: int, limit: int, bands: tuple[int, ...]) -> tuple[DataFrame, list[DataFrame]]:
+    """Runs of repeated windows, ``shard, whole, begin, end``, of segments that occur once, and the tables to drop after use.
+
+    ``cuts`` are written segments, ``sizes(shard, texts)`` how many different ones each shard has.
+    """
+    large = common.written(sizes.where(F.col("texts") > limit).select("shard"), "large-shards")
+    if not bands or large.isEmpty():
+        return _compared(cuts, window), [large]
+    small = _compared(cuts.join(large, "shard", "left_anti"), window)
+    parts = common.written(_dealt(cuts.join(large, "shard").dropDuplicates(["shard", "whole"]), window, bands[0]), "parts")
+    alike = parts.groupBy("key", "sub").agg(F.sum("n").alias("n"), F.first("place").alias("place"), F.first("bytes").alias("bytes"))
+    alike = common.written(alike.select(F.col("key").alias("shard"), F.col("sub").alias("whole"), "n", "place", "bytes"), "different-parts")
+    left = common.written(alike.groupBy("shard").agg(F.count("*").alias("texts"), F.min("n").alias("least")).where("texts > 1 and least = 1").select("shard", "texts"), "shards")
+    within = common.written(alike.join(left, "shard").select(*alike.columns), "part-bytes")
+    found, temporary = repeats(within, left, window, limit, bands[1:])
+    whole = alike.where("n > 1").select("shard", "whole", F.lit(0).alias("begin"), (F.octet_length("bytes") - window + 1).cast("int").alias("end"))
+    said = common.written(whole.union(found).select(F.col("shard").alias("key"), F.col("whole").alias("sub"), "begin", "end"), "part-verdicts")
+    low = F.col("low").cast("int")
+    back = parts.where("n = 1").join(said, ["key", "sub"]).select("shard", "whole", (low + F.col("begin")).alias("begin"), (low + F.col("end")).alias("end"))
+    return small.union(back), [large, parts, alike, left, within, said, *temporary]
+
+
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, shard_limit: int = SHARD_LIMIT) -> tuple[DataFrame, DataFrame]:
     """What to remove, and the texts that may lose something.
 
@@ -246,10 +343,10 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, shard_limit: int =
     different = common.written(places.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc", "body", "at")).alias("owner")), "different")
     shards = common.written(different.groupBy("anchor").agg(F.count("*").alias("texts"), F.min("n").alias("least")).where("least = 1").select("anchor", "texts"), "shards")
 
-    asked = different.join(shards, "anchor").groupBy("owner.doc", "owner.body").agg(F.collect_list(F.struct("owner.at", "anchor", "whole", "texts", "n")).alias("hits"))
+    asked = different.join(shards, "anchor").groupBy("owner.doc", "owner.body").agg(F.collect_list(F.struct("owner.at", "anchor", "whole", "n")).alias("hits"))
     wanted = common.written(places.select("doc", "body").distinct().join(asked, ["doc", "body"], "left"), "wanted")
     texts = common.written(rows.join(wanted, ["doc", "body"]), "hit-texts")
-    common.dropped(shards, wanted)
+    common.dropped(wanted)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,59 +355,19 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, shard_limit: int =
                 for text, hits in zip(raw, batch["hits"].slice(done, len(raw)), strict=True):
                     at, size = np.divmod(hits.values.field("at").to_numpy(), _PACK)
                     cuts = [text[b : b + s + window - 1] for b, s in zip(at.tolist(), size.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(hits.values.field(c) for c in ("anchor", "whole", "texts", "n")), pa.array(cuts, pa.binary())], names=["anchor", "whole", "texts", "n", "bytes"])
+                    yield pa.RecordBatch.from_arrays([*(hits.values.field(c) for c in ("anchor", "whole", "n")), pa.array(np.full(len(cuts), -1)), pa.array(cuts, pa.binary())], names=["shard", "whole", "n", "place", "bytes"])
                 done += len(raw)
 
-    cuts = common.written(texts.where("hits is not null").select("text", "hits").mapInArrow(cut, "anchor long, whole long, texts long, n long, bytes binary"), "segment-bytes")
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by anchor; the shards of about BLOCK bytes share a suffix array."""
-
-        def told(held: dict[tuple[int, int], tuple[int, bytes]]) -> pa.RecordBatch:
-            array = SuffixArray([b for _, b in held.values()], window)
-            edge = np.flatnonzero(np.diff(array.repeated().view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-            begin, end = edge[0::2], edge[1::2]
-            row = np.searchsorted(array.begins, begin, side="right") - 1
-            name = np.array(list(held), np.int64).reshape(-1, 2)
-            once = np.fromiter((n == 1 for n, _ in held.values()), bool, len(held))[row]
-            row, begin, end = row[once], begin[once], end[once]
-            at = array.begins[row]
-            return pa.RecordBatch.from_arrays([pa.array(name[row, 0]), pa.array(name[row, 1]), pa.array(begin - at, pa.int32()), pa.array(end - at, pa.int32())], names=["anchor", "whole", "begin", "end"])
-
-        held: dict[tuple[int, int], tuple[int, bytes]] = {}
-        anchor, total = None, 0
-        for batch in batches:
-            for a, whole, n, text in zip(*(batch[c].to_pylist() for c in ("anchor", "whole", "n", "bytes")), strict=True):
-                if a != anchor and total >= BLOCK:
-                    yield told(held)
-                    held, total = {}, 0
-                anchor = a
-                if (a, whole) not in held:  # a row that is repeated brings its cuts again
-                    held[a, whole] = (n, text)
-                    total += len(text)
-        if held:
-            yield told(held)
-
-    verdict = "anchor long, whole long, begin int, end int"
-    small = cuts.where(F.col("texts") <= shard_limit).select("anchor", "whole", "n", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, verdict)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, whole, n, text in zip(*(batch[c].to_pylist() for c in ("anchor", "whole", "n", "bytes")), strict=True):
-                keys = [hashlib.sha256(text[i : i + window]).digest()[:20] for i in range(len(text) - window + 1)]
-                m = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([v] * m, pa.int64()) for v in (a, whole, n)), pa.array(range(m), pa.int32())], names=["key", "anchor", "whole", "n", "begin"])
-
-    single = cuts.where(F.col("texts") > shard_limit).select("anchor", "whole", "n", "bytes").dropDuplicates(["anchor", "whole"]).mapInArrow(windows, "key binary, anchor long, whole long, n long, begin int")
-    often = single.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1")
-    large = single.where("n = 1").join(often, "key").select("anchor", "whole", "begin", (F.col("begin") + 1).alias("end"))
+    cuts = common.written(texts.where("hits is not null").select("text", "hits").mapInArrow(cut, _CUT), "segment-bytes")
     size = F.pmod("owner.at", F.lit(_PACK)).cast("int")
-    full = different.where("n > 1").select("anchor", "whole", F.lit(0).alias("begin"), size.alias("end"))
-    verdicts = common.written(full.union(small).union(large), "verdicts")
+    full = different.where("n > 1").select(F.col("anchor").alias("shard"), "whole", F.lit(0).alias("begin"), size.alias("end"))
+    found, temporary = repeats(cuts, shards.withColumnRenamed("anchor", "shard"), window, shard_limit, BANDS)
+    verdicts = common.written(full.union(found).withColumnRenamed("shard", "anchor"), "verdicts")
+    common.dropped(shards, cuts, *temporary)
     at = F.shiftright("at", _PACK.bit_length() - 1)
     spans = places.join(verdicts, ["anchor", "whole"]).select("doc", "body", (at + F.col("begin")).alias("begin"), (at + F.col("end") + window - 1).alias("end"))
     gone = common.written(spans.groupBy("doc", "body").agg(F.collect_set(F.struct("begin", "end")).alias("removals")), "removals")
-    common.dropped(places, different, cuts, verdicts)
+    common.dropped(places, different, verdicts)
     return gone, texts
 
 

@@ -68,8 +68,9 @@ def passages():
     return out
 
 
-@pytest.mark.parametrize("limit", [suffix_dedup.SHARD_LIMIT, 1])
-def test_repeated_bytes_go(spark, limit):
+@pytest.mark.parametrize(("limit", "bands"), [(suffix_dedup.SHARD_LIMIT, (16, 4, 1)), (1, (16, 4, 1)), (1, (7, 1)), (3, (64, 5))])
+def test_repeated_bytes_go(spark, monkeypatch, limit, bands):
+    monkeypatch.setattr(suffix_dedup, "BANDS", bands)
     want = check(spark, passages(), shard_limit=limit)
     assert sum(w[2] > 0 for w in want) > 40 and max(w[3] for w in want) > 1
 
