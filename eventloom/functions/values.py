@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 BOUNDARY_TASKS = ("Start", "End", "start", "end")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often it is referred to."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def round2(x: Column) -> Column:
     """Two decimals, half to even on the exact binary value."""
     return F.replace(F.format_number(x, 2), F.lit(","), F.lit("")).cast("double")

@@ -3,6 +3,9 @@
 One exchange on the case builds everything up to ``case_graph``: rows of a case are
 grouped into layers of equal average rank, and a layer's edges go to the next layer
 if its rank is the next whole number (ranks leave gaps where start times are tied).
+
+Rows without a case or a start time have no rank; they are in no graph and no count, and
+``rejects`` counts them.
 """
 
 from __future__ import annotations
@@ -11,17 +14,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.values import let
+from ..sources.logs import split_rejects, stored
+
 CASE = ("log_name", "caseid")
-#: Parts of a log's cases, where rules are joined to each.
-PARTS = 32
 _EDGES = "array<struct<src:string,dst:string>>"
+#: Bits of a word.
+_WORD = 64
+
+
+def rejects(log: DataFrame) -> DataFrame:
+    """``log_name, rows, no_case, no_start``: rows of each log, and those that cannot be ranked."""
+    one = lambda c: F.count_if(F.col(c).isNull()).alias("no_case" if c == "caseid" else "no_start")
+    return log.groupBy("log_name").agg(F.count("*").alias("rows"), one("caseid"), one("start_timestamp"))
 
 
 def avg_rank(log: DataFrame) -> DataFrame:
-    """Adds ``rk``: the average rank of the start time in its case, cut to a whole number."""
-    by_time = Window.partitionBy(*CASE).orderBy("start_timestamp")
+    """Adds ``rk``: the average rank of the start time in its case, cut to a whole number; null where either is missing."""
+    by_time = Window.partitionBy(*CASE).orderBy(F.col("start_timestamp").asc_nulls_last())
     tied = Window.partitionBy(*CASE, "start_timestamp")
-    return log.withColumn("rk", F.floor(F.rank().over(by_time) + (F.count("*").over(tied) - 1) / 2))
+    rank = F.floor(F.rank().over(by_time) + (F.count("*").over(tied) - 1) / 2)
+    return log.withColumn("rk", F.when(F.col("caseid").isNotNull() & F.col("start_timestamp").isNotNull(), rank))
 
 
 def order_case(log: DataFrame) -> DataFrame:
@@ -50,10 +63,14 @@ def trace_order(log: DataFrame, one_timestamp: bool = False) -> DataFrame:
 
 
 def layers(log: DataFrame) -> DataFrame:
-    """Rows of one rank of a case with the distinct tasks ``t``, and those of the next layer if its rank follows."""
-    by_rank = avg_rank(log).where("task is not null").groupBy(*CASE, "rk").agg(F.array_sort(F.collect_set("task")).alias("t"))
-    nxt = F.lead(F.struct("rk", "t")).over(Window.partitionBy(*CASE).orderBy("rk"))
-    return by_rank.withColumn("nx", nxt).select(*CASE, "rk", "t", F.when(F.col("nx.rk") == F.col("rk") + 1, F.col("nx.t")).otherwise(F.array().cast("array<string>")).alias("after"))
+    """Rows of one rank of a case with the distinct tasks ``t``, and those of the next layer if its rank follows.
+
+    ``run`` is equal in layers whose ranks follow one another without a gap.
+    """
+    by_rank = avg_rank(split_rejects(log)[0]).where("task is not null").groupBy(*CASE, "rk").agg(F.array_sort(F.collect_set("task")).alias("t"))
+    in_order = Window.partitionBy(*CASE).orderBy("rk")
+    placed = by_rank.select("*", F.lead(F.struct("rk", "t")).over(in_order).alias("nx"), (F.col("rk") - F.row_number().over(in_order)).alias("run"))
+    return placed.select(*CASE, "rk", "run", "t", F.when(F.col("nx.rk") == F.col("rk") + 1, F.col("nx.t")).otherwise(F.array().cast("array<string>")).alias("after"))
 
 
 def edges_of(t: Column, after: Column) -> Column:
@@ -72,26 +89,70 @@ def has_ties(log: DataFrame) -> DataFrame:
 
 def case_counts(log: DataFrame) -> DataFrame:
     """``log_name, total``: the cases of each log, those without any task included."""
-    return log.where("caseid is not null").groupBy("log_name").agg(F.count_distinct("caseid").alias("total"))
+    return split_rejects(log)[0].groupBy("log_name").agg(F.count_distinct("caseid").alias("total"))
+
+
+def islands(spans: DataFrame) -> DataFrame:
+    """Adds ``place`` to ``spans(log_name, caseid, task, lo, hi, ...)``, the first and last layer of each task.
+
+    Where every layer of a case has one task and follows the one before, spans that overlap are one
+    strongly connected part, and parts come one after another: a task can be reached from
+    another if its place is no smaller.  A running maximum finds the parts, without a closure.
+    """
+    by_lo = Window.partitionBy(*CASE).orderBy("lo")
+    before = F.max("hi").over(by_lo.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", F.when(F.col("lo") <= before, 0).otherwise(1))
+    return new.withColumn("place", F.sum("new").over(by_lo.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new")
 
 
 def case_graph(log: DataFrame) -> DataFrame:
-    """``nodes`` and ``edges`` of every case, distinct and sorted."""
-    made = layers(log).select(*CASE, "t", edges_of(F.col("t"), F.col("after")).alias("e"))
-    return made.groupBy(*CASE).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("nodes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("e")))).alias("edges"))
+    """``nodes``, ``edges``, ``succ`` and ``place`` of every case.
+
+    Nodes and edges are distinct and sorted; ``succ`` has the successors of each node, and ``place`` the number of
+    its island (see ``islands``), null for a case with a gap or a layer of several tasks.
+    """
+    made = layers(log).select(*CASE, "rk", "run", (F.size("t") > 1).alias("wide"), F.explode("t").alias("task"), "after")
+    spans = made.groupBy(*CASE, "task").agg(
+        F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.min("run").alias("first_run"), F.max("run").alias("last_run"), F.max("wide").alias("wide"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("after")))).alias("succ"),
+    )
+    listed = F.array_sort(F.collect_list(F.struct("task", "succ", "place")))
+    cases = islands(spans).groupBy(*CASE).agg(listed.alias("l"), ((F.min("first_run") == F.max("last_run")) & ~F.max("wide")).alias("plain"))
+    pairs = lambda x: F.transform(x["succ"], lambda b: F.struct(x["task"].alias("src"), b.alias("dst")))
+    return cases.select(*CASE, F.col("l.task").alias("nodes"), F.flatten(F.transform("l", pairs)).alias("edges"), F.col("l.succ").alias("succ"), F.when(F.col("plain"), F.col("l.place")).alias("place"))
+
 
+def closure(nodes: Column, succ: Column) -> Column:
+    """For each node the set of nodes that can be reached over one edge or more, as bits packed in longs.
 
-def reachable(nodes: Column, edges: Column, start: Column) -> Column:
-    """All nodes that can be reached from ``start``, itself included."""
-    grow = lambda seen, _: F.array_union(seen, F.transform(F.filter(edges, lambda e: F.array_contains(seen, e["src"])), lambda e: e["dst"]))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(nodes), F.lit(1))), F.array(start), grow)
+    Every node in turn passes its bits on to all that have its own.
+    """
+    count = F.size(nodes)
+    none = F.array_repeat(F.lit(0).cast("long"), F.ceil(count / _WORD).cast("int"))
+    mark = lambda row, at: F.transform(row, lambda word, w: F.when(w == F.floor(at / _WORD), word.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at % _WORD))).otherwise(word))
+    own = F.transform(succ, lambda after: F.aggregate(after, none, lambda row, b: mark(row, F.array_position(nodes, b).cast("int") - 1)))
+    join = lambda row, other: F.zip_with(row, other, lambda x, y: x.bitwiseOR(y))
+    step = lambda rows, k: let(F.get(rows, k), lambda through: F.transform(rows, lambda row: F.when(_bit(row, k), join(row, through)).otherwise(row)))
+    return F.when(count > 0, F.aggregate(F.sequence(F.lit(0), count - 1), own, step))
+
+
+def _bit(row: Column, at: Column) -> Column:
+    return F.getbit(F.get(row, F.floor(at / _WORD).cast("int")), (at % _WORD).cast("int")) == 1
+
+
+def _reaches(place: Column, closed: Column, i: Column, j: Column) -> Column:
+    """Whether the node at ``j`` can be reached from that at ``i``, itself included."""
+    return F.when(place.isNotNull(), F.get(place, j) >= F.get(place, i)).otherwise((i == j) | _bit(F.get(closed, i), j))
+
+
+def _at(nodes: Column, task: Column) -> Column:
+    return F.array_position(nodes, task).cast("int") - 1
 
 
-def eventually(nodes: Column, edges: Column, path: Column) -> Column:
+def eventually(nodes: Column, place: Column, closed: Column, path: Column) -> Column:
     """Null for a path of fewer than two tasks."""
-    a, b = F.get(path, F.lit(0)), F.get(path, F.lit(1))
-    both = F.array_contains(nodes, a) & F.array_contains(nodes, b)
-    return F.when(F.size(path) >= 2, F.coalesce(F.when(both, F.array_contains(reachable(nodes, edges, a), b)), F.lit(False)))
+    i, j = (_at(nodes, F.get(path, F.lit(k))) for k in (0, 1))
+    return F.when(F.size(path) >= 2, F.coalesce(F.when((i >= 0) & (j >= 0), _reaches(place, closed, i, j)), F.lit(False)))
 
 
 def required(nodes: Column, path: Column) -> Column:
@@ -108,73 +169,90 @@ def directly(nodes: Column, edges: Column, path: Column) -> Column:
     return there & F.forall(steps, lambda s: F.exists(edges, lambda e: (e["src"] == s["src"]) & (e["dst"] == s["dst"])))
 
 
-def conforms(kind: Column, nodes: Column, edges: Column, path: Column) -> Column:
-    return (
-        F.when(kind == "eventually", eventually(nodes, edges, path))
-        .when(kind == "not_allowed", not_allowed(nodes, path))
-        .when(kind == "directly", directly(nodes, edges, path))
-        .when(kind == "required", required(nodes, path))
-    )
-
-
 def list_graph(traces: DataFrame) -> DataFrame:
-    """``nodes`` and ``edges`` of cases that are already ordered arrays ``trace``."""
-    t = F.filter("trace", lambda x: x.isNotNull())
-    pairs = F.when(F.size(t) >= 2, F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, i: F.struct(a.alias("src"), F.get(t, i + 1).alias("dst")))).otherwise(F.array().cast(_EDGES))
-    return traces.select(*CASE, F.array_sort(F.array_distinct(t)).alias("nodes"), F.array_sort(F.array_distinct(pairs)).alias("edges"))
+    """What ``case_graph`` gives, of cases that are already ordered arrays ``trace``."""
+    rows = traces.select(*CASE, F.filter("trace", lambda x: x.isNotNull()).alias("t"))
+    pairs = F.when(F.size("t") >= 2, F.transform(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), lambda a, i: F.struct(a.alias("src"), F.get("t", i + 1).alias("dst")))).otherwise(F.array().cast(_EDGES))
+    named = rows.select(*CASE, "t", F.array_sort(F.array_distinct("t")).alias("nodes"), F.array_sort(F.array_distinct(pairs)).alias("edges"))
+    backward = F.reverse("t")
+    span = lambda x: F.struct(F.array_position("t", x).alias("lo"), (F.size("t") - F.array_position(backward, x)).alias("before_hi"))
+    # A span starts an island if none that starts before it ends after its start; its place is the last such start.
+    spans = F.transform("nodes", span)
+    starts = let(spans, lambda all_: F.transform(F.filter(all_, lambda x: ~F.exists(all_, lambda y: (y["lo"] < x["lo"]) & (y["before_hi"] + 1 > x["lo"]))), lambda x: x["lo"]))
+    place = let(starts, lambda s: F.transform(spans, lambda x: F.array_max(F.filter(s, lambda a: a <= x["lo"])).cast("int")))
+    return named.select(*CASE, "nodes", "edges", F.lit(None).cast("array<array<string>>").alias("succ"), place.alias("place"))
 
 
 def conform(graphs: DataFrame, rules: DataFrame) -> DataFrame:
     """Every rule of a log on every case of it: ``log_name, caseid, rule_id, ok``.
 
-    The rows are as many as cases times rules; ``conform_stats`` counts without making them.
-    The rules of a log are one row in each of ``PARTS`` parts, into which its cases are dealt, so
-    that one log with very many cases is no single task where the rules are too many to broadcast.
+    The rows are as many as cases times rules; ``conform_stats`` counts without making them.  The rules of a log
+    are one row of a written table: it is broadcast where its measured size allows, and else the join splits a log by
+    the size of its cases.  A case's closure is made once, where some rule asks for it.
     """
-    listed = rules.groupBy("log_name").agg(F.collect_list(F.struct("rule_id", "rule_type", "path")).alias("rules")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    both = graphs.withColumn("part", F.pmod(F.hash("caseid"), F.lit(PARTS))).join(listed, ["log_name", "part"]).select(*CASE, "nodes", "edges", F.explode("rules").alias("r"))
-    return both.select(*CASE, F.col("r.rule_id").alias("rule_id"), conforms(F.col("r.rule_type"), F.col("nodes"), F.col("edges"), F.col("r.path")).alias("ok"))
-
-
-def reached(graphs: DataFrame) -> DataFrame:
-    """Adds ``reach``, a case's pairs of a task and all that can be reached from it, itself included: the closure, once a case."""
-    out = lambda a: reachable(F.col("nodes"), F.col("edges"), a)
-    return graphs.withColumn("reach", F.flatten(F.transform("nodes", lambda a: F.transform(out(a), lambda b: F.struct(a.alias("src"), b.alias("dst"))))))
-
-
-def _long_paths(graphs: DataFrame, rules: DataFrame) -> DataFrame | None:
-    """``log_name, rule_id, hits``: cases that have every edge of a path of three or more tasks; None without such rules."""
+    listed = stored(rules.groupBy("log_name").agg(F.collect_list(F.struct("rule_id", "rule_type", "path")).alias("rules")), "rules")
+    nodes, edges, place = F.col("nodes"), F.col("edges"), F.col("place")
+    asks = F.exists("rules", lambda r: (r["rule_type"] == "eventually") & F.array_contains(nodes, F.get(r["path"], F.lit(0))) & F.array_contains(nodes, F.get(r["path"], F.lit(1))))
+
+    def verdict(r: Column, closed: Column) -> Column:
+        kind, path = r["rule_type"], r["path"]
+        ok = (
+            F.when(kind == "eventually", eventually(nodes, place, closed, path))
+            .when(kind == "not_allowed", not_allowed(nodes, path))
+            .when(kind == "directly", directly(nodes, edges, path))
+            .when(kind == "required", required(nodes, path))
+        )
+        return F.struct(r["rule_id"].alias("rule_id"), ok.alias("ok"))
+
+    verdicts = let(F.when(place.isNull() & asks, closure(nodes, F.col("succ"))), lambda closed: F.transform("rules", lambda r: verdict(r, closed)))
+    return graphs.join(listed, "log_name").select(*CASE, F.inline(verdicts))
+
+
+def _asked(rules: DataFrame) -> DataFrame | None:
+    """``log_name, pairs, long``: first tasks of a log's `eventually` rules with what is asked of them, and its paths of three or more tasks; None without either."""
     path = F.array_distinct("path")
-    long = rules.where((F.col("rule_type") == "directly") & (F.size("path") > 2) & (F.size(path) == F.size("path"))).select("log_name", "rule_id", "path")
-    if long.isEmpty():
-        return None
-    steps = F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda a, i: F.struct(a.alias("src"), F.get("path", i + 1).alias("dst")))
-    asked = long.select("log_name", "rule_id", (F.size("path") - 1).alias("n"), F.inline(steps))
-    there = graphs.select(*CASE, F.inline("edges"))
-    found = there.join(asked, ["log_name", "src", "dst"]).groupBy(*CASE, "rule_id", "n").agg(F.count("*").alias("have")).where("have = n")
-    return found.groupBy("log_name", "rule_id").agg(F.count("*").alias("hits"))
+    two = rules.where("rule_type = 'eventually' and size(path) >= 2").groupBy("log_name", F.get("path", F.lit(0)).alias("a")).agg(F.collect_set(F.get("path", F.lit(1))).alias("ends"))
+    pairs = two.groupBy("log_name").agg(F.collect_list(F.struct("a", "ends")).alias("pairs"))
+    many = rules.where((F.col("rule_type") == "directly") & (F.size("path") > 2) & (F.size(path) == F.size("path")))
+    long = many.groupBy("log_name").agg(F.collect_list(F.struct("rule_id", "path")).alias("long"))
+    asked = stored(pairs.join(long, "log_name", "full_outer").select("log_name", "pairs", "long"), "asked")
+    return None if asked.isEmpty() else asked
 
 
 def conform_stats(graphs: DataFrame, rules: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """``log_name, rule_id, positive, total``: conforming and all cases of each rule.
 
-    Cases are counted by what they have (a task, an edge, a reachable pair), and rules look
-    their count up, so no row is made for a case and a rule.  ``cases(log_name, total)`` has
-    the cases of each log where some have no task at all and so no graph.
+    Cases are counted by what they have (a task, an edge, a reachable pair, a long path), and rules look
+    their count up, so no row is made for a case and a rule.  What can be reached is looked for from first
+    tasks of `eventually` rules alone, and only pairs that a rule asks for are counted.
+    ``cases(log_name, total)`` has the cases of each log where some have no task at all and so no graph.
     """
-    one = lambda kind, items: F.transform(items, lambda e: F.struct(F.lit(kind).alias("kind"), e["src"].alias("a"), e["dst"].alias("b")))
-    single = F.transform("nodes", lambda t: F.struct(F.lit("node").alias("kind"), t.alias("a"), F.lit(None).cast("string").alias("b")))
-    has = reached(graphs).select("log_name", F.inline(F.concat(single, one("edge", F.col("edges")), one("reach", F.col("reach")))))
-    counts = has.groupBy("log_name", "kind", "a", "b").agg(F.count("*").alias("hits"))
+    rules = stored(rules.select("log_name", "rule_id", "rule_type", "path"), "rules")
+    asked = _asked(rules)
+    nodes, edges, place = F.col("nodes"), F.col("edges"), F.col("place")
+    one = lambda kind, a, b=None: F.struct(F.lit(kind).alias("kind"), a.alias("a"), (F.lit(None).cast("string") if b is None else b).alias("b"))
+    has = [F.transform(nodes, lambda t: one("node", t)), F.transform(edges, lambda e: one("edge", e["src"], e["dst"]))]
+    known = graphs
+    if asked is not None:
+        known = graphs.join(asked, "log_name", "left")
+        starts = F.filter("pairs", lambda p: F.array_contains(nodes, p["a"]))
+
+        def found(p: Column, closed: Column) -> Column:
+            there = let(_at(nodes, p["a"]), lambda i: F.filter(nodes, lambda _, j: _reaches(place, closed, i, j)))
+            return F.transform(F.array_intersect(p["ends"], there), lambda b: one("reach", p["a"], b))
+
+        pairs = let(F.when(place.isNull() & (F.size(starts) > 0), closure(nodes, F.col("succ"))), lambda closed: F.flatten(F.transform(starts, lambda p: found(p, closed))))
+        paths = F.transform(F.filter("long", lambda x: directly(nodes, edges, x["path"])), lambda x: one("long", x["rule_id"]))
+        has += [F.coalesce(x, F.array().cast("array<struct<kind:string,a:string,b:string>>")) for x in (pairs, paths)]
+    counts = known.select("log_name", F.inline(F.concat(*has))).groupBy("log_name", "kind", "a", "b").agg(F.count("*").alias("hits"))
     a, b, n = F.get("path", F.lit(0)), F.get("path", F.lit(1)), F.size("path")
-    kind = F.when(F.col("rule_type") == "eventually", F.when(n >= 2, F.lit("reach"))).when(F.col("rule_type") == "directly", F.when(n == 1, F.lit("node")).when(n == 2, F.lit("edge"))).otherwise("node")
-    asked = rules.select("log_name", "rule_id", "rule_type", n.alias("n"), (F.size(F.array_distinct("path")) < n).alias("twice"), kind.alias("kind"), a.alias("a"), F.when(kind.isin("edge", "reach"), b).alias("b"))
-    same = (asked["log_name"] == counts["log_name"]) & (asked["kind"] == counts["kind"]) & (asked["a"] == counts["a"]) & asked["b"].eqNullSafe(counts["b"])
-    told = asked.join(counts, same, "left").select(asked["*"], counts["hits"])
-    long = _long_paths(graphs, rules)
-    told = told.withColumn("long_hits", F.lit(None)) if long is None else told.join(long.withColumnRenamed("hits", "long_hits"), ["log_name", "rule_id"], "left")
+    kind = F.when(F.col("rule_type") == "eventually", F.when(n >= 2, F.lit("reach"))).when(F.col("rule_type") == "directly", F.when(n == 1, F.lit("node")).when(n == 2, F.lit("edge")).otherwise("long")).otherwise("node")
+    of = F.when(kind == "long", F.col("rule_id")).otherwise(a)
+    looked = rules.select("log_name", "rule_id", "rule_type", n.alias("n"), (F.size(F.array_distinct("path")) < n).alias("twice"), kind.alias("kind"), of.alias("a"), F.when(kind.isin("edge", "reach"), b).alias("b"))
+    same = (looked["log_name"] == counts["log_name"]) & (looked["kind"] == counts["kind"]) & (looked["a"] == counts["a"]) & looked["b"].eqNullSafe(counts["b"])
+    told = looked.join(counts, same, "left").select(looked["*"], counts["hits"])
     totals = graphs.groupBy("log_name").agg(F.count("*").alias("total")) if cases is None else cases
-    hits = F.when((F.col("rule_type") == "directly") & F.col("twice"), F.lit(0)).otherwise(F.coalesce("hits", "long_hits", F.lit(0)))
+    hits = F.when((F.col("rule_type") == "directly") & F.col("twice"), F.lit(0)).otherwise(F.coalesce("hits", F.lit(0)))
     # A path too short for its kind is never met; as a verdict on a case it is null.
     positive = F.when(F.col("rule_type") == "not_allowed", F.col("total") - hits).otherwise(hits)
     return told.join(totals, "log_name").select("log_name", "rule_id", positive.cast("long").alias("positive"), "total")

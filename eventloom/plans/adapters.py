@@ -46,6 +46,13 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(table(spark, sf_dir, "orders"), F.lit("orders"), F.col("o_custkey"), F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_orderkey"))
 
 
+def ragged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, some without a case and some without a start time."""
+    log = orders_log(spark, sf_dir)
+    some = lambda c, n: F.when(F.col("input_ordinal") % n > 0, F.col(c))
+    return log.withColumns({"caseid": some("caseid", 11), "start_timestamp": some("start_timestamp", 7)})
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = F.array_sort(F.collect_list(F.struct("turn", "role")))
     return table(spark, sf_dir, "conversations").groupBy(F.lit("conversations").alias("log_name"), F.col("conv_id").cast("string").alias("caseid")).agg(F.transform(steps, lambda s: s["role"]).alias("trace"))

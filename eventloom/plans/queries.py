@@ -30,6 +30,9 @@ _FL = """fl AS (SELECT 'u' || user_id AS log_name, user_id::VARCHAR || '-' || st
 _LI = """li AS (SELECT 'lineitem' AS log_name, l_orderkey::VARCHAR AS caseid, l_returnflag || l_linestatus AS task, l_shipdate AS st FROM lineitem)"""
 _OR = """od AS (SELECT 'orders' AS log_name, o_custkey::VARCHAR AS caseid, o_orderpriority AS task, o_orderdate AS st, o_orderkey AS ord FROM orders)"""
 
+_RG = """rg AS (SELECT 'orders' AS log_name, CASE WHEN o_orderkey % 11 > 0 THEN o_custkey::VARCHAR END AS caseid, o_orderpriority AS task, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate END AS st FROM orders),
+ok AS (SELECT * FROM rg WHERE caseid IS NOT NULL AND st IS NOT NULL)"""
+
 
 def _graph(t: str) -> str:
     """CTEs rk, edge and node of a log table."""
@@ -239,23 +242,25 @@ def s14(s, d):
 
 
 _TRACES = f"""WITH {_EV}, seq AS (SELECT *, row_number() OVER (PARTITION BY caseid ORDER BY st, ord) AS pos FROM ev)
-SELECT caseid, count(*)::INT * 2 AS events, string_agg(task || ',' || split_part(caseid, '-', 1) || ',' || tr || ',' || strftime(st, '%Y-%m-%dT%H:%M:%S.%g+00:00'), '|' ORDER BY pos, h) AS said FROM seq, (VALUES (0, 'start'), (1, 'complete')) v(h, tr) GROUP BY 1"""
+SELECT caseid, count(*)::INT * 2 AS events, string_agg(task || ',' || split_part(caseid, '-', 1) || ',' || tr || ',' || strftime(st, '%Y-%m-%dT%H:%M:%S.%g+00:00') || ',Ordinal=' || ord, '|' ORDER BY pos, h) AS said FROM seq, (VALUES (0, 'start'), (1, 'complete')) v(h, tr) GROUP BY 1"""
 _TRACES = _TRACES.replace("count(*)::INT * 2", "count(*)::INT")
 
 
 def _traces_text(docs: DataFrame) -> DataFrame:
-    """Case, number of events, and every attribute of each event in order."""
+    """Case, number of events, and every attribute of each event in order, whole numbers with their keys."""
     values = lambda tags: F.array_join(F.transform(tags, lambda t: t["_value"]), ",")
-    said = F.transform("event", lambda e: F.concat_ws(",", values(e["string"]), values(e["date"])))
+    numbers = lambda tags: F.array_join(F.transform(tags, lambda t: F.concat_ws("=", t["_key"], t["_value"])), ",")
+    said = F.transform("event", lambda e: F.concat_ws(",", values(e["string"]), values(e["date"]), numbers(e["int"])))
     return docs.select(F.get("string", F.lit(0))["_value"].alias("caseid"), F.size("event").alias("events"), _text(said).alias("said"))
 
 
+def _traces(s, d) -> DataFrame:
+    return X.trace_docs(X.lifecycle_rows(A.events_log(s, d), extra=("input_ordinal",)), {"input_ordinal": "Ordinal"})
+
+
 @query("S15_export_lifecycle", _TRACES)
 def s15(s, d):
-    docs = X.trace_docs(X.lifecycle_rows(A.events_log(s, d)))
-    path = X.write_traces(docs, L.scratch(s, "xes"))
-    tags = "array<struct<_key:string,_value:string>>"
-    return _traces_text(s.read.format("xml").option("rowTag", "trace").schema(f"string {tags}, event array<struct<string:{tags},date:{tags}>>").load(path))
+    return _traces_text(X.read_traces(s, X.write_traces(_traces(s, d), L.scratch(s, "xes"))))
 
 
 _RULE_SQL = f"""SELECT rule_id, kind AS rule_type, concat_ws('|', a, b) AS path, {_VAR}, concat_ws('__', kind, replace(a, ' ', '_'), replace(b, ' ', '_')) AS label FROM raw"""
@@ -357,6 +362,11 @@ def w1(s, d):
     return G.avg_rank(A.lineitem_log(s, d)).select("caseid", "task", F.unix_micros("start_timestamp").alias("us"), "rk")
 
 
+@query("W1_rejects", f"WITH {_RG} SELECT log_name, count(*) AS rows, count(*) FILTER (WHERE caseid IS NULL) AS no_case, count(*) FILTER (WHERE st IS NULL) AS no_start FROM rg GROUP BY 1")
+def w1_rejects(s, d):
+    return G.rejects(A.ragged_log(s, d))
+
+
 @query("W2_order_case", f"WITH {_OR} SELECT caseid, ord, row_number() OVER (PARTITION BY caseid ORDER BY st, ord)::INT AS pos FROM od")
 def w2(s, d):
     return G.order_case(A.orders_log(s, d)).select("caseid", F.col("input_ordinal").alias("ord"), "pos")
@@ -438,6 +448,13 @@ def g11(s, d):
     return G.conform_stats(G.case_graph(log), _parsed(log), G.case_counts(log))
 
 
+@query("G11_conform_ragged", f"WITH RECURSIVE {_RG}, {_graph('ok')}, {_rules('ok')}, {_CHECKED} SELECT rule_id, count(*) FILTER (WHERE ok) AS positive, count(*) AS total FROM checked GROUP BY ALL")
+def g11_ragged(s, d):
+    """Rules over a log that has rows without a case or a start time."""
+    log = A.ragged_log(s, d)
+    return G.conform_stats(G.case_graph(log), _parsed(log), G.case_counts(log)).drop("log_name")
+
+
 # ---- models and branches
 
 
@@ -689,14 +706,14 @@ def x3(s, d):
     return _life(s, d).select("caseid", "event_no", F.unix_micros("time_timestamp").alias("us"))
 
 
-@query("X4_extra_attrs", f"WITH {_EV}, seq AS (SELECT *, row_number() OVER (PARTITION BY caseid ORDER BY st, ord) AS pos FROM ev) SELECT caseid, pos::INT AS event_no, ord::INT AS input_ordinal FROM seq")
+@query("X4_extra_attrs", f"WITH {_EV}, seq AS (SELECT *, row_number() OVER (PARTITION BY caseid ORDER BY st, ord) AS pos FROM ev) SELECT caseid, pos::INT AS event_no, ord AS input_ordinal FROM seq")
 def x4(s, d):
     return X.lifecycle_rows(A.events_log(s, d), True, ("input_ordinal",)).select("caseid", "event_no", "input_ordinal")
 
 
 @query("X5_trace_docs", _TRACES)
 def x5(s, d):
-    return _traces_text(X.trace_docs(X.lifecycle_rows(A.events_log(s, d))))
+    return _traces_text(_traces(s, d))
 
 
 _LINES = f"""WITH {_STATS}, ln AS (
