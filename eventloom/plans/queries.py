@@ -119,7 +119,7 @@ def s1(s, d):
 @query("S2_normalize_log", """SELECT 1 AS stamps, event_id::VARCHAR AS event, user_id::VARCHAR AS caseid, event_type AS task, epoch_us(ts)::BIGINT AS start_us, epoch_us(ts)::BIGINT AS end_us FROM events
 UNION ALL SELECT 2, event_id::VARCHAR, user_id::VARCHAR, event_type, epoch_us(ts)::BIGINT, epoch_us(ts)::BIGINT + 90000000 FROM events""")
 def s2(s, d):
-    raw = L.scan_logs(s, _csv(s, d))
+    raw = L.scan_logs(s, _csv(s, d), ("Event", "Case ID", "Activity", "Time", "Done"))
     names = {"Case ID": "caseid", "Activity": "task", "Event": "event"}
     one = L.normalize_log(raw, names | {"Time": "end_timestamp"}, "%Y-%m-%dT%H:%M:%S.%f", one_timestamp=True)
     two = L.normalize_log(raw, names | {"Time": "start_timestamp", "Done": "end_timestamp"}, "%Y-%m-%dT%H:%M:%S.%f")

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import is_boundary
+from .models import csv_records
 
 _PATTERN = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", ".%f": "[.SSSSSS][.SSS]", "T": "'T'"}
 
@@ -37,21 +41,61 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scan_logs(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession):
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,csv.gz}")
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """``file, head``: cells of the header of every CSV file below ``path``; written.
+
+    The first lines come from one job, of the files' first splits.  Where one of them ends inside a quoted
+    cell, the first records are read as whole records, a file per task, as such files cannot be split anyway.
+    """
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = _files(spark).text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    lines = lines.where((F.col("at.file_block_start") == 0) & (F.length(F.trim("value")) > 0))
+    firsts = stored(lines.groupBy("file").agg(F.min_by("value", "at").alias("line")), "first-lines")
+    if firsts.where(F.length(F.regexp_replace("line", '[^"]', "")) % 2 == 1).isEmpty():
+        return firsts.select("file", F.get(csv_records(F.col("line")), F.lit(0)).alias("head"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, text in zip(batch["file"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                if head := next((r for r in csv.reader(io.StringIO(text, newline="")) if r), None):
+                    yield pa.RecordBatch.from_pydict({"file": [file], "head": [head]})
+
+    whole = _files(spark).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return stored(whole.mapInArrow(first, "file string, head array<string>"), "headers")
+
+
+def scan_logs(spark: SparkSession, path: str, header: tuple[str, ...] | None = None) -> DataFrame:
     """All rows of the CSV files below ``path`` (plain or gzip), with ``file_path``; files may differ in columns.
 
-    One job finds the first line of every file, and one read per different header follows;
-    a file without any line has no rows.
+    One job reads the headers and one read all rows, by position; where headers differ, a row gets its columns' names
+    by its file.  Only the different headers come to the driver.  Names that differ in case alone are one column;
+    files without any line have no rows.  With ``header``, the header of all files, nothing is read twice, and
+    reading a file that has another one fails.
     """
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,csv.gz}").text(path)
-    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    heads = text.select("value", F.col("_metadata.file_path").alias("file"), at.alias("at")).groupBy("file").agg(F.min_by("value", "at").alias("head"))
-    out = None
-    for r in heads.groupBy("head").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("head").collect():
-        columns = next(csv.reader([r.head]))
-        part = spark.read.option("header", True).schema(", ".join(f"`{c.replace('`', '``')}` string" for c in columns)).csv(r.files).select("*", F.col("_metadata.file_path").alias("file_path"))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out if out is not None else spark.createDataFrame([], "file_path string")
+    if header is not None:
+        named_ = _files(spark).option("header", True).option("enforceSchema", False).schema(", ".join(f"`{c.replace('`', '``')}` string" for c in header))
+        return named_.csv(path).select("*", F.col("_metadata.file_path").alias("file_path"))
+    heads = headers(spark, path)
+    kinds = sorted(tuple(r.head) for r in heads.select("head").distinct().collect())
+    if not kinds:
+        return spark.createDataFrame([], "file_path string")
+    at = F.col("_metadata.file_path")
+    cells = [f"c{i}" for i in range(max(map(len, kinds)))]
+    reader = _files(spark).option("header", True).option("multiLine", any("\n" in name for kind in kinds for name in kind))
+    rows = reader.schema(", ".join(f"{c} string" for c in cells)).csv(path).select(*cells, at.alias("file_path"))
+    if len(kinds) > 1:
+        number = F.array_position(F.array(*(F.array(*map(F.lit, k)) for k in kinds)), F.col("head")).cast("int") - 1
+        rows = rows.join(heads.select(F.col("file").alias("file_path"), number.alias("kind")), "file_path")
+    named: dict[str, tuple[str, list]] = {}
+    for k, kind in enumerate(kinds):
+        for cell, name in zip(cells, kind):
+            named.setdefault(name.lower(), (name, []))[1].append((k, cell))
+    one = lambda k, cell: F.col(cell) if len(kinds) == 1 else F.when(F.col("kind") == k, F.col(cell))
+    return rows.select(*(F.coalesce(*(one(*w) for w in where)).alias(name) for name, where in named.values()), "file_path")
 
 
 def spark_pattern(timeformat: str) -> str:

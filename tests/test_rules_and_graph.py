@@ -174,3 +174,20 @@ def test_logs_with_different_headers(spark, tmp_path):
     got = logs.scan_logs(spark, str(tmp_path))
     assert sorted((r["id,no"] or "", r.b, r.c or "") for r in got.collect()) == [("", "3", "4"), ("", "5", "6"), ("1", "2", ""), ("7", "8", "")]
     assert logs.scan_logs(spark, str(tmp_path / "x" / "..") + "/x").count() == 2
+
+
+def test_headers_with_quoted_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\n"case\nid",task\n1,"x\ny"\n2,z\n')
+    (tmp_path / "b.csv").write_text("TASK,extra\nq,r\ns\n")
+    (tmp_path / "only.csv").write_text("task\n")
+    got = logs.scan_logs(spark, str(tmp_path)).drop("file_path")
+    assert sorted(c.lower() for c in got.columns) == ["case\nid", "extra", "task"]
+    assert sorted((r["case\nid"] or "", r["task"], r["extra"] or "") for r in got.select("`case\nid`", "task", "extra").collect()) == [("", "q", "r"), ("", "s", ""), ("1", "x\ny", ""), ("2", "z", "")]
+
+
+def test_a_given_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    assert [tuple(r)[:2] for r in logs.scan_logs(spark, str(tmp_path), ("a", "b")).collect()] == [("1", "2")]
+    (tmp_path / "b.csv").write_text("b,a\n3,4\n")
+    with pytest.raises(Exception, match="header"):
+        logs.scan_logs(spark, str(tmp_path), ("a", "b")).collect()
