@@ -29,10 +29,10 @@ LEAST_TOKEN = 12
 SAMPLE_DOCS = 4_000
 #: Pairs that the characters' own frequencies count for.
 BACKOFF = 20.0
-#: What each character counts for before any is seen, in the ordinary and the random model: few ordinary tokens do not make a rare letter a sign of chance.
-UNSEEN = (10.0, 1.0)
+#: What each character counts for before any is seen, in the ordinary and the random model: few ordinary tokens do not make a rare letter a sign of chance, and few secrets, mostly of one alphabet, leave any character possible in a random string.
+UNSEEN = (50.0, 30.0)
 #: Natural logarithms above which a token is taken for random: per character, and in all, so that a short one needs stronger evidence.
-THRESHOLD, TOTAL = 0.8, 15.0
+THRESHOLD, TOTAL = 0.4, 10.0
 #: Matches placed at a time.
 _BLOCK = 256
 
@@ -81,11 +81,16 @@ def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     rows = docs.where(F.col("doc_id").isin(ids)).select(F.coalesce("text", F.lit("")).alias("text")) if ids else docs.limit(0).select(F.coalesce("text", F.lit("")).alias("text"))
     spans = rows.select("text", base_spans(F.col("text")).alias("spans"))
     value = lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["match"], ASSIGN, 2)).otherwise(s["match"])
-    random = spans.select(F.explode(F.array_distinct(F.transform("spans", value))).alias("s"), F.lit(1).alias("random"))
-    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
-    plain = spans.select(F.explode(F.filter(tokens, lambda t: (F.length(t) >= 4) & ~F.exists("spans", lambda s: F.contains(s["match"], t)))).alias("s"))
+    # Tokens without a letter are not scored, so card numbers and the like are no sample for them.
+    random = spans.select(F.explode(F.array_distinct(F.transform("spans", value))).alias("s"), F.lit(1).alias("random")).where(F.regexp_like("s", F.lit("[A-Za-z]")))
+    words = lambda text: F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    inside = F.flatten(F.transform("spans", lambda s: words(s["match"])))
+    plain = spans.select(F.explode(F.filter(F.array_except(words(F.col("text")), inside), lambda t: F.length(t) >= 4)).alias("s"))
     # Random strings hardly occur in two documents, so those that no pattern knows do not count as ordinary.
-    plain = plain.groupBy("s").count().where("count > 1").select("s", F.lit(0).alias("random"))
+    plain = plain.groupBy("s").count().where("count > 1").select("s")
+    # Words are as ordinary in capitals, however seldom the sample has them so.
+    cased = F.array_distinct(F.array("s", F.upper("s"), F.concat(F.upper(F.substring("s", 1, 1)), F.col("s").substr(F.lit(2), F.length("s")))))
+    plain = plain.select(F.explode(cased).alias("s"), F.lit(0).alias("random"))
     # A string counts for a pair once, so that one long run of the same pairs is no model of its own.
     chars = random.union(plain).select("random", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.substring("s", i, F.lit(2))))).alias("pair")).where(F.length("pair") == 2)
     counts: dict[tuple[int, str], int] = {(r.random, r.pair): r["count"] for r in chars.groupBy("random", "pair").count().collect()}
@@ -113,6 +118,20 @@ def log_ratio(token: Column, model: Column) -> Column:
     return common.bound(codes, lambda c: F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.get(model, F.get(c, i - 1) * n + F.get(c, i))))
 
 
+def _overlaps(spans: Column, token: Column) -> Column:
+    """Whether one of ``spans``, in order and apart from one another, overlaps ``token``: the last that starts before its end, by halving."""
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        before = (at["low"] < at["high"]) & (F.get(spans, middle)["start"] < token["end"])
+        return F.struct(F.when(before, middle + 1).otherwise(at["low"]).alias("low"), F.when(before | (at["low"] >= at["high"]), at["high"]).otherwise(middle).alias("high"))
+
+    all_ = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    last = F.aggregate(steps, all_, halve, lambda at: at["low"] - 1)
+    return F.coalesce(F.get(spans, last)["end"] > token["start"], F.lit(False))
+
+
 def scan(docs: DataFrame, *, least: int = LEAST_TOKEN, threshold: float = THRESHOLD, total: float = TOTAL, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Spans of secrets in every whole text of ``docs(doc_id, text)``, a row per input row.
 
@@ -122,17 +141,19 @@ def scan(docs: DataFrame, *, least: int = LEAST_TOKEN, threshold: float = THRESH
     ``least`` or more characters that the models take for random and that no base
     span overlaps; those without a letter are left out, since keys of digits alone cannot be
     told from numbers, dates and addresses.  Null and empty texts have none; repeated rows and null ids stay; an
-    empty table gives an empty result.  The work grows with the length of a text and of a
-    token, not with its square.
+    empty table gives an empty result; other columns are not read.  The work grows with the length
+    of a text and of a token, not with its square; whether a base span overlaps a token is found by halving.
     """
     model = F.array(*[F.lit(x) for x in train(docs, sample_docs=sample_docs)])
     rows = common.identified(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     based = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    tokens = based.select("doc_id", "base", _spans(F.col("text"), TOKEN[:-1] + f"{{{least},}}", 3).alias("tokens"))
-    free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    # Matches of one kind do not overlap each other, so each kind is in order of its ends too.
+    of_kind = lambda k: F.filter("base", lambda b: b["kind"] == k).alias(f"kind{k}")
+    tokens = based.select("doc_id", "base", *map(of_kind, range(3)), _spans(F.col("text"), TOKEN[:-1] + f"{{{least},}}", 3).alias("tokens"))
+    taken = lambda t: _overlaps(F.col("kind0"), t) | _overlaps(F.col("kind1"), t) | _overlaps(F.col("kind2"), t)
     needed = lambda t: F.greatest(F.lit(total), threshold * (F.length(t["match"]) - 1))
     lettered = lambda t: F.regexp_like(t["match"], F.lit("[A-Za-z]"))
-    added = F.filter("tokens", lambda t: lettered(t) & free(t) & (log_ratio(t["match"], model) > needed(t)))
+    added = F.filter("tokens", lambda t: lettered(t) & (log_ratio(t["match"], model) > needed(t)) & ~taken(t))
     return tokens.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 

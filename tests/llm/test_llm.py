@@ -380,6 +380,46 @@ def test_secret_scan_spans_and_planted_tokens(spark):
     assert caught >= 0.95 * len(planted) and false <= 0.05 * len(ordinary)
 
 
+def with_documents(spark, texts):
+    """The given tables' documents, to learn from, and ``texts`` under ids from a million on."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    return docs.union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+
+
+def test_secret_scan_by_alphabet_and_length(spark):
+    """Random tokens of several alphabets are found, and words in capitals are not taken for them."""
+    rnd = random.Random(23)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"mixed": lower + upper + digits, "lower": lower + digits, "upper": upper + digits, "letters": lower + upper, "base32": upper + "234567"}
+    tokens = {(k, n): ["".join(rnd.choice(a) for _ in range(n)) for _ in range(60)] for k, a in kinds.items() for n in (12, 16, 24, 40)}
+    planted = [t for group in tokens.values() for t in group]
+    found = {r.doc_id for r in secret_scan.digest(secret_scan.scan(with_documents(spark, [f"a {t} b" for t in planted]))).where("spans like '%markov%'").collect()}
+    at = 10**6
+    assert not [i for i in found if i < at]  # the documents themselves have words, also in capitals, and no such token
+    for (kind, n), group in tokens.items():
+        caught = sum(at + i in found for i, t in enumerate(group) if not re.search(secret_scan.HEX, t))
+        assert caught >= 0.9 * sum(not re.search(secret_scan.HEX, t) for t in group), (kind, n, caught)
+        at += len(group)
+
+
+def test_secret_scan_of_many_matches(spark):
+    """Base spans and tokens side by side, many of them: tokens that a base span overlaps are not added, in linear time."""
+    rnd = random.Random(29)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(rnd.choice(alnum) for _ in range(n))
+    long = " ".join(f"secret={key(16)} {key(20)} {'0123456789abcdef'} x{'f' * 20}Z AKIA{'A1' * 7}" for _ in range(20_000))
+    began = time.time()
+    row = secret_scan.scan(with_documents(spark, [long])).where("doc_id = 1000000").first()
+    assert time.time() - began < 90
+    base = [(s["start"], s["end"]) for s in row.base]
+    added = [(s["start"], s["end"]) for s in row.spans if s["kind"] == 3]
+    assert len(base) == 80_000 and 19_000 < len(added) <= 20_000
+    taken = np.zeros(len(long) + 1, bool)
+    for a, b in base:
+        taken[a:b] = True
+    assert not any(taken[a:b].any() for a, b in added)
+
+
 def test_quality_statistics(spark):
     """Symbols and repeated lines against a plain count, nulls and repeated rows included."""
     texts = ["a # b\n\n a # b\na # b\n \n%%", "x|y <b> &amp;\nx|y <b> &amp;", None, "", "\n\n", "one two", "one two"]
