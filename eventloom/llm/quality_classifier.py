@@ -180,49 +180,56 @@ def _surest(docs: DataFrame, model: Model, learned: set[int], each: int, sure: f
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * 5, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["view", "label", "body", "sure", "doc_id"])
 
     rows = _rows(docs).where("doc_id is not null").withColumn("body", F.xxhash64("text"))
-    found = common.written(rows.mapInArrow(run, "view int, label int, body long, sure double, doc_id long").groupBy("view", "label", "body").agg(F.max("sure").alias("sure"), F.min("doc_id").alias("doc_id")), "surest")
+    found = common.written(rows.mapInArrow(run, "view int, label int, body long, sure double, doc_id long").groupBy("view", "label", "body").agg(F.min(F.struct((-F.col("sure")).alias("less"), "doc_id")).alias("x")).select("view", "label", "body", (-F.col("x.less")).alias("sure"), "x.doc_id"), "surest")
     # The report of the surest rows: a top-k of each view and label.
     out = [r for v in (0, 1) for label in (0, 1) for r in found.where((F.col("view") == v) & (F.col("label") == label)).orderBy(F.desc("sure"), "body").limit(each).collect()]
     common.dropped(found)
     return out
 
 
-def _vectors(docs: DataFrame, ids: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Content and metadata vectors of the documents ``ids``, a bounded number."""
+def _vectors(docs: DataFrame, wanted: list[tuple[int, int | None]]) -> dict[tuple[int, int | None], tuple[np.ndarray, np.ndarray]]:
+    """Content and metadata vectors of a bounded number of documents, each given by its doc_id and the hash of its text.
+
+    Without the hash it is the text with the least hash under that doc_id; of rows alike in both, the least vectors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in small_batches(batch, "text"):
                 c = content_features(texts)
                 m = meta_features(*(part[k].to_pylist() for k in ("lang", "source", "n_chars")))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["body"], pa.array([x.tobytes() for x in c], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], names=["doc_id", "body", "c", "m"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["body"], part["any_text"], pa.array([x.tobytes() for x in c], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], names=["doc_id", "body", "any_text", "c", "m"])
 
-    if not ids:
+    if not wanted:
         return {}
-    rows = _rows(docs).where(F.col("doc_id").isin(ids)).withColumn("body", F.xxhash64("text"))
-    got = rows.mapInArrow(run, "doc_id long, body long, c binary, m binary").groupBy("doc_id").agg(F.min(F.struct("body", "c", "m")).alias("x")).select("doc_id", "x.c", "x.m").collect()
-    return {r.doc_id: (np.frombuffer(r.c, np.float32), np.frombuffer(r.m, np.float32)) for r in got}
+    asked = F.broadcast(docs.sparkSession.createDataFrame(wanted, "id long, of long"))  # as many rows as the sample or a round has
+    rows = _rows(docs).where("doc_id is not null").withColumn("body", F.xxhash64("text"))
+    rows = rows.join(asked, (F.col("doc_id") == F.col("id")) & (F.col("of").isNull() | (F.col("of") == F.col("body")))).withColumn("any_text", F.col("of").isNull()).drop("id", "of")
+    least = F.min(F.struct("body", "c", "m")).alias("x")
+    got = rows.mapInArrow(run, "doc_id long, body long, any_text boolean, c binary, m binary").groupBy("doc_id", F.when(~F.col("any_text"), F.col("body")).alias("of")).agg(least).select("doc_id", "of", "x.c", "x.m").collect()
+    return {(r.doc_id, r["of"]): (np.frombuffer(r.c, np.float32), np.frombuffer(r.m, np.float32)) for r in got}
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, rounds: int = ROUNDS, each: int = EACH_ROUND, sure: float = SURE) -> Model:
     """Co-training on a bounded sample of labelled rows, those with the least hashes of doc_id, and on all others as unlabelled.
 
     ``labels(doc_id, quality)``: rows with a quality of 0 or 1 count; where a doc_id
-    has several, the least.  In each round both views score every row outside the sample,
+    has several, the least; of several texts under one doc_id the label is of the one with the least hash, and
+    a pseudo-label of the one that was scored, one for each doc_id.  In each round both views score every row outside the sample,
     and each passes the ``each`` rows per label that it is surest of (at ``sure`` or more) to
     the other.  Only the vectors of the sample and of these rows reach the driver.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     given = {r.doc_id: r.quality for r in known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()}
-    vectors = _vectors(docs, list(given))
+    vectors = {i: v for (i, _), v in _vectors(docs, [(i, None) for i in given]).items()}
     order = sorted(vectors, key=lambda i: (zlib.crc32(str(i).encode()), i))
     stack = lambda k, width: np.stack([vectors[i][k] for i in order]) if order else np.zeros((0, width), np.float32)
     model = Model(stack(0, 136 + HASHED), stack(1, 2 * META + 16), np.array([given[i] for i in order], float))
     for _ in range(rounds if model.constant is None else 0):
         surest = _surest(docs, model, set(given).union(*model.taught), each, sure)
-        more = _vectors(docs, sorted({r.doc_id for r in surest}))
-        if not model.teach([(r.doc_id, r.view, r.label, *more[r.doc_id]) for r in surest]):
+        more = _vectors(docs, sorted({(r.doc_id, r.body) for r in surest}))
+        if not model.teach([(r.doc_id, r.view, r.label, *more[r.doc_id, r.body]) for r in surest]):
             break
     return model
 

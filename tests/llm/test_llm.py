@@ -448,6 +448,23 @@ def test_views_teach_each_other(spark):
     assert quality_classifier.classify(docs.limit(0), labels).count() == 0
 
 
+def test_pseudo_labels_of_repeated_ids(spark, monkeypatch):
+    """Two texts under one id: a pseudo-label goes with the vectors of the text that was scored."""
+    rnd = random.Random(31)
+    text = lambda good: " ".join(f"{'w' if good else 'BUY!!'}{rnd.randrange(200)}" for _ in range(40))
+    row = lambda i, good: (i, text(good), "en", f"{'site' if good else 'spam'}{i % 7}", 200, "x", "y")
+    rows = [row(i, i % 3 > 0) for i in range(150)] + [row(i, good) for i in range(1000, 1150) for good in (True, False)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    taught = []
+    teach = quality_classifier.Model.teach
+    monkeypatch.setattr(quality_classifier.Model, "teach", lambda self, found: taught.extend(found) or teach(self, found))
+    quality_classifier.fit(spark.createDataFrame(rows, SCHEMA), labels, labelled=150, each=60, sure=0.6)
+    texts = [r[1].encode() for r in rows]
+    good = {v.tobytes(): int(t.startswith(b"w")) for t, v in zip(texts, quality_classifier.content_features(texts), strict=True)}
+    told = [(label, good[content.tobytes()]) for doc_id, _, label, content, _ in taught if doc_id >= 1000]
+    assert len(told) > 100 and all(a == b for a, b in told)
+
+
 def test_long_and_broken_pages():
     """Pages of a million characters are read in seconds: marks never closed, open tags, deep trees."""
     began = time.time()
