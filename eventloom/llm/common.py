@@ -98,7 +98,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        edges = written(small, "edges")
+        edges, was = written(small, "edges"), edges
+        dropped(was)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Bounds of the labelled sample: texts per language, characters per language in its automaton, and characters in all automata.
+#: Bounds of the labelled sample: texts per language, characters per language in its automaton, and characters in all automata (at most 272 bytes each, so 49 MB in all).
 SAMPLE_TEXTS = 64
 SAMPLE_CHARS = 24_000
-MODEL_CHARS = 600_000
+MODEL_CHARS = 180_000
 #: Characters parsed in step.
 STRETCH = 256
 _ALPHABET = 64
@@ -62,8 +62,26 @@ def fold(letters: str) -> np.ndarray:
     return table
 
 
-def automaton(sample: np.ndarray) -> np.ndarray:
-    """Transitions of the suffix automaton of ``sample``, a row per state; where no phrase goes on, ``~state`` that the symbol alone leads to."""
+class Table:
+    """Transitions of a suffix automaton, a row per state, and the symbols with which a phrase goes on from a state, as bits.
+
+    Where no phrase goes on, the transition is to the state that the symbol alone leads to.
+    """
+
+    def __init__(self, moves: np.ndarray, known: np.ndarray):
+        self.moves, self.known = moves, known
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def __getitem__(self, at: tuple[int, int]) -> int:
+        """The state that a symbol leads to; ``~state`` where a phrase ends before it."""
+        to = int(self.moves[at])
+        return to if int(self.known[at[0]]) >> int(at[1]) & 1 else ~to
+
+
+def automaton(sample: np.ndarray) -> Table:
+    """The suffix automaton of ``sample``."""
     links, lengths, moves = [-1], [0], [{}]
     last = 0
     for c in sample.tolist():
@@ -89,17 +107,19 @@ def automaton(sample: np.ndarray) -> np.ndarray:
                     p = links[p]
                 links[q] = links[cur] = copy
         last = cur
-    start = np.zeros(_ALPHABET, np.int32)
+    start = np.zeros(_ALPHABET, np.uint16 if len(moves) <= 1 << 16 else np.uint32)
     for c, q in moves[0].items():
         start[c] = q
-    table = np.repeat(~start[None, :], len(moves), 0)
+    table = np.repeat(start[None, :], len(moves), 0)
+    known = np.zeros(len(moves), np.uint64)
     for s, m in enumerate(moves):
         if m:
             table[s, list(m)] = list(m.values())
-    return table
+            known[s] = sum(1 << c for c in m)
+    return Table(table, known)
 
 
-def cuts(table: np.ndarray, steps: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> np.ndarray:
+def cuts(table: Table, steps: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> np.ndarray:
     """How many phrases begin in each stretch, apart from the one that begins with a text.
 
     ``steps[i]`` has the i-th symbol of all stretches, longest stretches first;
@@ -109,16 +129,16 @@ def cuts(table: np.ndarray, steps: np.ndarray, sizes: np.ndarray, before: np.nda
     reach a state that they had before; from there on both parses are the same.  This goes on while an end
     changes, so phrases run on over the ends of stretches as in a parse of the whole text.
     """
-    flat = table.reshape(-1)
+    flat, known, one = table.moves.reshape(-1), table.known, np.uint64(1)
     height, width = steps.shape
     states = np.zeros((height, width), np.int32)
     begun = np.zeros((height, width), bool)
     state = np.zeros(width, np.int32)
     active = np.searchsorted(-sizes, -np.arange(height), side="left")
     for i, n in enumerate(active.tolist()):
-        nxt = flat[(state[:n] << 6) | steps[i, :n]]
-        begun[i, :n] = nxt < 0
-        state[:n] = nxt ^ (nxt >> 31)
+        now, symbol = state[:n], steps[i, :n]
+        begun[i, :n] = (known[now] >> symbol.view(np.uint32)) & one == 0
+        state[:n] = flat[(now << 6) | symbol]
         states[i, :n] = state[:n]
     after = np.full(width, -1)
     after[before[before >= 0]] = np.flatnonzero(before >= 0)
@@ -128,9 +148,9 @@ def cuts(table: np.ndarray, steps: np.ndarray, sizes: np.ndarray, before: np.nda
         now = states[sizes[before[at]] - 1, before[at]]
         changed = []
         for i in range(height):
-            nxt = flat[(now << 6) | steps[i, at]]
-            begun[i, at] = nxt < 0
-            now = nxt ^ (nxt >> 31)
+            symbol = steps[i, at]
+            begun[i, at] = (known[now] >> symbol.view(np.uint32)) & one == 0
+            now = flat[(now << 6) | symbol].astype(np.int32)
             apart = states[i, at] != now
             states[i, at] = now
             ended = apart & (sizes[at] == i + 1)
@@ -198,7 +218,7 @@ def fit(docs: DataFrame, may_learn: Column, *, sample_texts: int = SAMPLE_TEXTS,
     ``sample_texts`` hash slots per language hold one text each, chosen from the
     columns doc_id and lang alone; ``sample_chars`` bounds each automaton.  Only
     the sample's texts reach the driver, and ``MODEL_CHARS`` bounds all automata together: with
-    more than MODEL_CHARS / sample_chars languages each gets less.  Rows without text, lang or doc_id are
+    more than MODEL_CHARS / sample_chars languages (seven) each gets less.  Rows without text, lang or doc_id are
     not learned from; a language whose sample has no letters is dropped.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where(may_learn & F.col("lang").isNotNull())

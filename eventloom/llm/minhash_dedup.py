@@ -282,6 +282,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
     ends = member.groupBy("band").agg(F.min("n").alias("least_n"), F.max("common").alias("most_common"))
     member = member.join(ends, "band").where(_possible(percent, "n", "common", "least_n", "most_common")).drop("least_n", "most_common")
     member = common.written(member, "members")
+    common.dropped(candidates_in, linkable)
     heads = member.groupBy("band").agg(F.max(F.struct("common", "node")).alias("m"), F.count("*").alias("members")).where("members > 1").select("band", F.col("m.node").alias("head"), "members")
     buckets = common.written(member.join(heads, "band").select("band", "node", "n", "common", "head", "members"), "buckets")
     first = buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
@@ -300,13 +301,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
     left = unsettled()
     if not left.isEmpty():
         head = left.groupBy("band").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "root")).alias("m")).select("band", F.col("m.node").alias("a"), F.col("m.root").alias("root_a"))
-        links = further(_sliced(left, head).where("root <> root_a").select("a", F.col("node").alias("b")))
+        links, was = further(_sliced(left, head).where("root <> root_a").select("a", F.col("node").alias("b"))), links
+        common.dropped(was, left)
         roots = common.components(links)
         left = unsettled()
     if not left.isEmpty():
-        links = further(prefix_pairs(sets.join(left.select("node", "root").distinct(), "node"), percent))
+        links, was = further(prefix_pairs(sets.join(left.select("node", "root").distinct(), "node"), percent)), links
+        common.dropped(was)
         roots = common.components(links)
 
+    # What the result still reads are the classes, their roots and the rows' own sets.
+    common.dropped(sets, member, buckets, links, left)
     named = signed.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component"))
     of_node = named.join(ids, "root").select("node", "component")
