@@ -2,7 +2,9 @@
 
 Every stage takes nulls in any column, repeated rows and ids, empty tables and further
 columns of any name: a row is judged by its doc_id and text, columns it does not change
-are carried along, and an empty table gives an empty one.
+are carried along by all stages but the last, and an empty table gives an empty one.
+The last returns its own columns alone: a row of it belongs to the rows of the stage before that have its
+doc_id (null or not) and whose text has the SHA-256 ``decoded_sha256``.
 """
 
 from __future__ import annotations
@@ -63,6 +65,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name)
+        if before is not None:  # the next stage reads the new table alone
+            common.dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
