@@ -50,10 +50,10 @@ def branch_match(branches: DataFrame, log: DataFrame) -> DataFrame:
     """Cases in which a branch's first task comes before its second: ``model_id, gateway_id, start_task, end_task, caseid``."""
     ways = branches.groupBy("model_id", "gateway_id", "start_task", "end_task").agg(F.count("*").alias("times"))
     # A case's places stay with it, so only its first tasks are joined.
-    cases = task_places(log).groupBy("model_id", "caseid").agg(F.collect_list(F.struct("task", "first_pos", "last_pos")).alias("places"))
-    begun = cases.select("model_id", "caseid", "places", F.explode("places").alias("p")).select("model_id", "caseid", "places", F.col("p.task").alias("start_task"), F.col("p.first_pos").alias("first_pos"))
-    after = F.exists("places", lambda p: (p["task"] == F.col("end_task")) & (p["last_pos"] > F.col("first_pos")))
-    return begun.join(ways, ["model_id", "start_task"]).where(after).select("model_id", "gateway_id", "start_task", "end_task", "caseid", "times")
+    places = task_places(log).groupBy("model_id", "caseid").agg(F.collect_list(F.struct("task", "first_pos", "last_pos")).alias("places"))
+    begun = places.select("model_id", "caseid", F.col("places.task").alias("tasks"), F.col("places.last_pos").alias("lasts"), F.inline(F.transform("places", lambda p: F.struct(p["task"].alias("start_task"), p["first_pos"]))))
+    last = F.get("lasts", F.array_position("tasks", F.col("end_task")).cast("int") - 1)
+    return begun.join(ways, ["model_id", "start_task"]).where(last > F.col("first_pos")).select("model_id", "gateway_id", "start_task", "end_task", "caseid", "times")
 
 
 def branch_counts(branches: DataFrame, log: DataFrame) -> DataFrame:

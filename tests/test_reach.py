@@ -90,3 +90,25 @@ def test_rows_that_cannot_be_ranked(spark):
     assert rows(graph.case_counts(log)) == rows(graph.case_counts(good))
     table = rules.parse(spark.createDataFrame([("L", p, p, None) for p in ("A >> B", "^Z", "A >> * >> C")], "log_name string, rule_id string, raw_path string, raw_variation string"))
     assert rows(graph.conform_stats(graph.case_graph(log), table, graph.case_counts(log))) == rows(graph.conform_stats(graph.case_graph(good), table, graph.case_counts(good)))
+
+
+def test_a_large_log_is_split(spark):
+    """Where rules are too many to broadcast, the cases of one log go to several tasks by their size."""
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "shuffle.partitions": "8"}
+    was = {k: spark.conf.get(f"spark.sql.{k}") for k in settings}
+    name = F.when(F.col("id") % 20 > 0, "large").otherwise(F.concat(F.lit("small"), (F.col("id") % 7).cast("string")))
+    at = F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id)")
+    log = spark.range(60_000).repartition(8).select(name.alias("log_name"), (F.col("id") % 20_000).cast("string").alias("caseid"), F.concat(F.lit("t"), F.pmod(F.xxhash64("id"), F.lit(9)).cast("string")).alias("task"), F.lit(None).cast("string").alias("user"), at.alias("start_timestamp"), at.alias("end_timestamp"), F.col("id").alias("input_ordinal"))
+    table = rules.parse(log.select("log_name").distinct().select("log_name", F.explode(F.array(*map(F.lit, ("t1 >> t2", "t0 >> * >> t8", "^t5")))).alias("raw_path")).select("log_name", F.col("raw_path").alias("rule_id"), "raw_path", F.lit(None).cast("string").alias("raw_variation")))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        told = graph.conform(graph.case_graph(log), table)
+        told.write.format("noop").mode("overwrite").save()
+        rows = told.count()
+        told.collect()
+        assert "skew=true" in told._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert rows == 3 * graph.case_graph(log).count()
