@@ -11,8 +11,9 @@
    segments are streamed over it.  Matching statistics give, for each window, the
    smallest document that has it; maximal spans of windows that an earlier document
    has are removed.  A shard of one text has one owner throughout.
-4. Shards of more than ``shard_limit`` texts are not gathered in one task: their windows
-   are grouped one by one, by hash and text, which finds the same.
+4. Shards of more than ``shard_limit`` texts are not gathered in one task.  Their windows are dealt by
+   where the anchor stands in them, some places at a time, and by the words that all windows of
+   those places would have in common; the shards that come of it go through the same automata, dealt by fewer places if need be.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .wordhash import Words, mix, small_batches
 WINDOW = 50
 ANCHOR = 8
 SHARD_LIMIT = 1024
+#: Places of the anchor that a large shard is dealt by, one after another; the last leaves nothing to compare.
+BANDS = (8, 1)
 #: An anchor that occurs this often, and in more than one part in FREQUENT_MOST of such places, is passed over where a window has another.
 FREQUENT, FREQUENT_MOST = 256, 20_000
 #: Windows in a segment at most.
@@ -144,6 +147,111 @@ def _keys(docs: DataFrame) -> DataFrame:
     return common.identified(docs).select("doc_id", F.xxhash64("text").alias("body"), "text")
 
 
+#: A segment of a shard: how many its shard has, its least and its greatest document, the anchor's place in its words (-1: where its hash is), and the words.
+_CUT = ("shard", "whole", "texts", "lo", "hi", "place", "words")
+_VERDICT = "shard long, whole long, begin int, end int, first long"
+
+
+def _matched(cuts: DataFrame, window: int) -> DataFrame:
+    """Of the windows of each segment the least document that has them, in runs: ``shard, whole, begin, end, first``."""
+
+    def shard(at: int, rows: dict[int, tuple[bytes, int, int]], out: list[list]) -> None:
+        number: dict[bytes, int] = {}
+        coded = {k: [number.setdefault(w, len(number)) for w in words.split(b" ")] for k, (words, _, _) in rows.items()}
+        reference = SuffixAutomaton([(coded[k], lo) for k, (_, lo, _) in rows.items()])
+        for k, (_, _, hi) in rows.items():
+            begin, was = 0, None
+            for i, owner in enumerate([*reference.owners(coded[k], window), None]):
+                if owner != was:
+                    if was is not None and was < hi:
+                        for col, v in zip(out, (at, k, begin, i, int(was)), strict=True):
+                            col.append(v)
+                    begin, was = i, owner
+
+    def flush(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["shard", "whole", "begin", "end", "first"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by shard; a shard's rows are together, over batches if need be."""
+        held: dict[int, tuple[bytes, int, int]] = {}
+        at, out = None, [[], [], [], [], []]
+        for batch in batches:
+            for a, whole, words, lo, hi in zip(*(batch[c].to_pylist() for c in ("shard", "whole", "words", "lo", "hi")), strict=True):
+                if a != at and held:
+                    shard(at, held, out)
+                    held = {}
+                    if len(out[0]) > 20_000:
+                        yield flush(out)
+                        out = [[], [], [], [], []]
+                at = a
+                held[whole] = (words, lo, hi)
+        if held:
+            shard(at, held, out)
+        yield flush(out)
+
+    return cuts.select("shard", "whole", "words", "lo", "hi").repartition("shard").sortWithinPartitions("shard").mapInArrow(match, _VERDICT)
+
+
+def _dealt(cuts: DataFrame, window: int, anchor: int, band: int) -> DataFrame:
+    """Parts of segments, ``key, sub, place, words``, and whence they are: ``shard, whole, lo, hi, low``.
+
+    A part has neighbouring windows in which the anchor stands first at one of ``band`` neighbouring places.  ``key`` is a hash
+    of the words that any such window has, so equal windows have it in common; ``sub`` one of all its words.
+    """
+    code = lambda *parts: int.from_bytes(hashlib.blake2b(b" ".join(parts), digest_size=8).digest(), "little", signed=True)
+    number = lambda n: str(n).encode()
+
+    def runs(tokens: list[bytes], text: bytes, a: int, place: int) -> Iterator[tuple[int, int, int]]:
+        """First and last window, and the anchor's first place in them."""
+        last = len(tokens) - window
+        if place >= 0:
+            yield 0, last, place
+            return
+        low = 0
+        for at in np.flatnonzero((mix(Words([text]).windows(anchor)) >> np.uint64(1)).view(np.int64) == a).tolist():
+            if low <= min(at, last):
+                yield max(low, at - window + anchor), min(at, last), at
+                low = at + 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(9)]
+            for a, whole, _, lo, hi, place, text in zip(*(batch[c].to_pylist() for c in _CUT), strict=True):
+                tokens = text.split(b" ")
+                for first, last, at in runs(tokens, text, a, place):
+                    for j in range((at - last) // band, (at - first) // band + 1):
+                        high = at - j * band
+                        low = high - band + 1
+                        begin, end = max(low, first), min(high, last)
+                        part = tokens[begin : end + window]
+                        key = code(number(a), number(j), *tokens[high : low + window])
+                        for col, v in zip(out, (key, code(number(at - begin), *part), at - begin, b" ".join(part), a, whole, lo, hi, begin), strict=True):
+                            col.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary()), *(pa.array(c, pa.int64()) for c in out[4:])], names=["key", "sub", "place", "words", "shard", "whole", "lo", "hi", "low"])
+
+    return cuts.select(*_CUT).mapInArrow(deal, "key long, sub long, place long, words binary, shard long, whole long, lo long, hi long, low long")
+
+
+def _owners(cuts: DataFrame, window: int, anchor: int, limit: int, bands: tuple[int, ...]) -> tuple[DataFrame, list[DataFrame]]:
+    """As ``_matched``, for shards of any size, and the tables to drop after use."""
+    large = cuts.where(F.col("texts") > limit)
+    if not bands or large.isEmpty():
+        return _matched(cuts, window), []
+    parts = common.written(_dealt(large, window, anchor, bands[0]), "parts")
+    alike = parts.groupBy("key", "sub").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("place").alias("place"), F.first("words").alias("words"))
+    alike = common.written(alike.select(F.col("key").alias("shard"), F.col("sub").alias("whole"), "lo", "hi", "place", "words"), "different-parts")
+    sizes = common.written(alike.groupBy("shard").agg(F.count("*").alias("texts")), "part-shards")
+    sized = common.written(alike.join(sizes, "shard").select(*_CUT), "part-words")
+    # What is alone in its shard has one owner throughout.
+    windows = F.size(F.split(F.col("words").cast("string"), " ", -1)) - window + 1
+    alone = sized.where("texts = 1 and lo < hi").select("shard", "whole", F.lit(0).alias("begin"), windows.alias("end"), F.col("lo").alias("first"))
+    found, temporary = _owners(sized.where("texts > 1"), window, anchor, limit, bands[1:])
+    said = common.written(alone.union(found).select(F.col("shard").alias("key"), F.col("whole").alias("sub"), "begin", "end", "first"), "part-verdicts")
+    low = F.col("low").cast("int")
+    back = parts.join(said, ["key", "sub"]).where("first < hi").select("shard", "whole", (low + F.col("begin")).alias("begin"), (low + F.col("end")).alias("end"), "first")
+    return _matched(cuts.where(F.col("texts") <= limit), window).union(back), [parts, alike, sizes, sized, said, *temporary]
+
+
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, shard_limit: int = SHARD_LIMIT) -> tuple[DataFrame, DataFrame]:
     """What to remove, and the documents that may lose something.
 
@@ -208,63 +316,14 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.binary())], names=["anchor", "whole", "texts", "lo", "hi", "words"])
 
     segments = common.written(texts.where("hits is not null").mapInArrow(cut, "anchor long, whole long, texts long, lo long, hi long, words binary"), "segment-words")
-    verdict = "anchor long, whole long, begin int, end int, first long"
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by anchor; a shard's rows are together, over batches if need be."""
-
-        def shard(at: int, rows: dict[int, tuple[bytes, int, int]], out: list[list]) -> None:
-            number: dict[bytes, int] = {}
-            coded = {k: [number.setdefault(w, len(number)) for w in words.split(b" ")] for k, (words, _, _) in rows.items()}
-            reference = SuffixAutomaton([(coded[k], lo) for k, (_, lo, _) in rows.items()])
-            for k, (_, _, hi) in rows.items():
-                begin, was = 0, None
-                for i, owner in enumerate([*reference.owners(coded[k], window), None]):
-                    if owner != was:
-                        if was is not None and was < hi:
-                            for col, v in zip(out, (at, k, begin, i, int(was)), strict=True):
-                                col.append(v)
-                        begin, was = i, owner
-
-        def flush(out: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["anchor", "whole", "begin", "end", "first"])
-
-        held: dict[int, tuple[bytes, int, int]] = {}
-        at, out = None, [[], [], [], [], []]
-        for batch in batches:
-            for a, whole, words, lo, hi in zip(*(batch[c].to_pylist() for c in ("anchor", "whole", "words", "lo", "hi")), strict=True):
-                if a != at and held:
-                    shard(at, held, out)
-                    held = {}
-                    if len(out[0]) > 20_000:
-                        yield flush(out)
-                        out = [[], [], [], [], []]
-                at = a
-                held[whole] = (words, lo, hi)
-        if held:
-            shard(at, held, out)
-        yield flush(out)
-
-    small = segments.where(F.col("texts") <= shard_limit).select("anchor", "whole", "words", "lo", "hi").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, verdict)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, whole, words, lo, hi in zip(*(batch[c].to_pylist() for c in ("anchor", "whole", "words", "lo", "hi")), strict=True):
-                tokens = words.split(b" ")
-                keys = [hashlib.sha256(b" ".join(tokens[i : i + window])).digest()[:20] for i in range(len(tokens) - window + 1)]
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([v] * n, pa.int64()) for v in (a, whole)), pa.array(range(n), pa.int32()), *(pa.array([v] * n, pa.int64()) for v in (lo, hi))], names=["key", "anchor", "whole", "begin", "lo", "hi"])
-
-    single = segments.where(F.col("texts") > shard_limit).select("anchor", "whole", "words", "lo", "hi").mapInArrow(windows, "key binary, anchor long, whole long, begin int, lo long, hi long")
-    firsts = single.groupBy("key").agg(F.min("lo").alias("first"))
-    large = single.join(firsts, "key").where("first < hi").select("anchor", "whole", "begin", (F.col("begin") + 1).alias("end"), "first")
+    found_, temporary = _owners(segments.select(F.col("anchor").alias("shard"), "whole", "texts", "lo", "hi", F.lit(-1).cast("long").alias("place"), "words"), window, anchor, shard_limit, BANDS)
     own = F.col("owner.doc_id")
     alone = sized.where(F.col("texts").isNull() & (own < F.col("hi"))).select("anchor", "whole", F.lit(0).alias("begin"), F.pmod("owner.at", F.lit(_PACK)).cast("int").alias("end"), own.alias("first"))
-    verdicts = common.written(alone.union(small).union(large), "verdicts")
+    verdicts = common.written(alone.union(found_), "verdicts")
     at = F.shiftright("at", _PACK.bit_length() - 1)
     spans = places.join(verdicts, ["anchor", "whole"]).where("first < doc_id").select("doc_id", "body", (at + F.col("begin")).alias("begin"), (at + F.col("end") + window - 1).alias("end"))
     gone = common.written(spans.groupBy("doc_id", "body").agg(F.collect_set(F.struct("begin", "end")).alias("removals")), "removals")
-    common.dropped(places, sized, segments, verdicts)
+    common.dropped(places, sized, segments, verdicts, *temporary)
     return gone, texts.drop("hits")
 
 

@@ -4,9 +4,10 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontaminate, html_extract, quality_classifier, quality_rules, secret_scan
+from eventloom.llm import decontaminate, html_extract, quality_classifier, quality_rules, secret_scan, substring_dedup
 
 from .test_llm import table
 
@@ -92,3 +93,21 @@ def test_columns_named_as_the_operators_own(spark):
     assert sorted(map(str, secret_scan.scan(clash).collect())) == sorted(map(str, secret_scan.scan(docs).collect()))
     labels = spark.createDataFrame([(1, 1, "x", "y"), (2, 0, "x", "y")], "doc_id long, quality int, text string, id string")
     assert sorted(map(str, quality_classifier.classify(clash, labels).collect())) == sorted(map(str, quality_classifier.classify(docs, labels.select("doc_id", "quality")).collect()))
+
+
+@pytest.mark.parametrize(("limit", "bands"), [(1, (8, 1)), (2, (40, 3)), (1, (1,))])
+def test_substring_shards_dealt_by_places(spark, monkeypatch, limit, bands):
+    """Large shards give the same, however they are dealt; texts that repeat themselves and near copies among them."""
+    monkeypatch.setattr(substring_dedup, "BANDS", bands)
+    rnd = random.Random(37)
+    words = [f"w{i}" for i in range(2000)]
+    base = [rnd.choice(words) for _ in range(150)]
+    texts = ["rep " * 130, "a b c " * 50, "a b c " * 30 + "d", None, ""]
+    for _ in range(40):
+        t = list(base)
+        for _ in range(rnd.randint(0, 4)):
+            t[rnd.randrange(len(t))] = rnd.choice(words)
+        texts.append(" ".join([rnd.choice(words) for _ in range(rnd.randint(0, 9))] + t[rnd.randint(0, 40) :]))
+    want = {r.doc_id: (r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(table(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(table(spark, texts), shard_limit=limit).collect()}
+    assert got == want and sum(n > 0 for n, _ in got.values()) > 30
