@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.values import round2
+from ..sources.logs import split_rejects
 from ..sources.models import last_named
 from .graph import order_case
 
@@ -42,8 +43,8 @@ def gateway_branches(flows: DataFrame, elements: DataFrame, gateways: DataFrame)
 
 
 def task_places(log: DataFrame) -> DataFrame:
-    """First and last position of each task of a case."""
-    return order_case(log.where("caseid is not null and task is not null")).groupBy(F.col("log_name").alias("model_id"), "caseid", "task").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    """First and last position of each task of a case, of rows that can be ranked."""
+    return order_case(split_rejects(log)[0].where("task is not null")).groupBy(F.col("log_name").alias("model_id"), "caseid", "task").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
 def branch_match(branches: DataFrame, log: DataFrame) -> DataFrame:

@@ -38,19 +38,24 @@ def avg_rank(log: DataFrame) -> DataFrame:
 
 
 def order_case(log: DataFrame) -> DataFrame:
-    """Adds ``pos``: the place of a row in its case, by rank, then input order."""
-    return log.withColumn("pos", F.row_number().over(Window.partitionBy(*CASE).orderBy("start_timestamp", "input_ordinal")))
+    """Adds ``pos``: the place of a row in its case, by rank, then input order; null where the row has no rank."""
+    in_order = Window.partitionBy(*CASE).orderBy(F.col("start_timestamp").asc_nulls_last(), "input_ordinal")
+    return log.withColumn("pos", F.when(F.col("caseid").isNotNull() & F.col("start_timestamp").isNotNull(), F.row_number().over(in_order)))
 
 
 def sequences(log: DataFrame) -> DataFrame:
-    """``trace``: tasks of each case in order; rows without a case are left out."""
+    """``trace``: tasks of each case in order; rows without a case or a start time are left out."""
     steps = F.array_sort(F.collect_list(F.struct("start_timestamp", "input_ordinal", "task")))
-    return log.where("caseid is not null").groupBy(*CASE).agg(F.transform(steps, lambda s: s["task"]).alias("trace"))
+    return split_rejects(log)[0].groupBy(*CASE).agg(F.transform(steps, lambda s: s["task"]).alias("trace"))
 
 
 def next_task(log: DataFrame) -> DataFrame:
-    """Adds ``next_task``, the task of the following row of the case."""
-    return log.withColumn("next_task", F.lead("task").over(Window.partitionBy(*CASE).orderBy("start_timestamp", "input_ordinal")))
+    """Adds ``next_task``, the task of the following row of the case; rows without a case or a start time follow none."""
+    in_order = Window.partitionBy(*CASE).orderBy(F.col("start_timestamp").asc_nulls_last(), "input_ordinal")
+    after = F.lead(F.struct("start_timestamp", "task")).over(in_order)
+    told = log.withColumn("next_task", after)
+    there = F.col("caseid").isNotNull() & F.col("next_task.start_timestamp").isNotNull()
+    return told.withColumn("next_task", F.when(there, F.col("next_task.task")))
 
 
 def trace_order(log: DataFrame, one_timestamp: bool = False) -> DataFrame:

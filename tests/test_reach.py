@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import rules
-from eventloom.operators import graph
+from eventloom.operators import branching, graph
 from tests.test_rules_and_graph import LOG, T0, log_of, model, rule_table
 
 
@@ -112,7 +112,12 @@ def test_rows_that_cannot_be_ranked(spark):
     assert ranks(log) == ranks(good)
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(graph.dfg(log)) == rows(graph.dfg(good)) and rows(graph.case_graph(log)) == rows(graph.case_graph(good))
-    assert rows(graph.case_counts(log)) == rows(graph.case_counts(good))
+    assert rows(graph.case_counts(log)) == rows(graph.case_counts(good)) and rows(graph.sequences(log)) == rows(graph.sequences(good))
+    assert rows(graph.order_case(log).where("pos is not null")) == rows(graph.order_case(good)) and graph.order_case(log).count() == log.count()
+    known = [r.input_ordinal for r in good.collect()]
+    assert rows(graph.next_task(log).where(F.col("input_ordinal").isin(known))) == rows(graph.next_task(good)) and graph.next_task(log).where("next_task is not null").count() == 2
+    ways = spark.createDataFrame([("L", "g", "A", "B"), ("L", "g", "A", "Z"), ("L", "g", "Z", "B")], "model_id string, gateway_id string, start_task string, end_task string")
+    assert rows(branching.branch_counts(ways, log)) == rows(branching.branch_counts(ways, good))
     table = rules.parse(spark.createDataFrame([("L", p, p, None) for p in ("A >> B", "^Z", "A >> * >> C")], "log_name string, rule_id string, raw_path string, raw_variation string"))
     assert rows(graph.conform_stats(graph.case_graph(log), table, graph.case_counts(log))) == rows(graph.conform_stats(graph.case_graph(good), table, graph.case_counts(good)))
 
