@@ -137,17 +137,18 @@ def closure(nodes: Column, succ: Column) -> Column:
     mark = lambda row, at: F.transform(row, lambda word, w: F.when(w == F.floor(at / _WORD), word.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at % _WORD))).otherwise(word))
     own = F.transform(succ, lambda after: F.aggregate(after, none, lambda row, b: mark(row, F.array_position(nodes, b).cast("int") - 1)))
     join = lambda row, other: F.zip_with(row, other, lambda x, y: x.bitwiseOR(y))
-    step = lambda rows, k: let(F.get(rows, k), lambda through: F.transform(rows, lambda row: F.when(_bit(row, k), join(row, through)).otherwise(row)))
+    step = lambda rows, k: let(F.get(rows, k), lambda through: F.transform(rows, lambda row: F.when(_has(row, k), join(row, through)).otherwise(row)))
     return F.when(count > 0, F.aggregate(F.sequence(F.lit(0), count - 1), own, step))
 
 
-def _bit(row: Column, at: Column) -> Column:
+def _has(row: Column, at: Column) -> Column:
+    """Whether a set of packed bits has the one at a place."""
     return F.getbit(F.get(row, F.floor(at / _WORD).cast("int")), (at % _WORD).cast("int")) == 1
 
 
 def _reaches(place: Column, closed: Column, i: Column, j: Column) -> Column:
     """Whether the node at ``j`` can be reached from that at ``i``, itself included."""
-    return F.when(place.isNotNull(), F.get(place, j) >= F.get(place, i)).otherwise((i == j) | _bit(F.get(closed, i), j))
+    return F.when(place.isNotNull(), F.get(place, j) >= F.get(place, i)).otherwise((i == j) | _has(F.get(closed, i), j))
 
 
 def _at(nodes: Column, task: Column) -> Column:
@@ -243,7 +244,10 @@ def conform_stats(graphs: DataFrame, rules: DataFrame, cases: DataFrame | None =
         starts = F.filter("pairs", lambda p: F.array_contains(nodes, p["a"]))
 
         def found(p: Column, closed: Column) -> Column:
-            there = let(_at(nodes, p["a"]), lambda i: F.filter(nodes, lambda _, j: _reaches(place, closed, i, j)))
+            i = _at(nodes, p["a"])
+            by_place = let(F.get(place, i), lambda own: F.filter(nodes, lambda _, j: F.get(place, j) >= own))
+            by_bits = let(F.get(closed, i), lambda row: F.filter(nodes, lambda b, j: (b == p["a"]) | _has(row, j)))
+            there = F.when(place.isNotNull(), by_place).otherwise(by_bits)
             return F.transform(F.array_intersect(p["ends"], there), lambda b: one("reach", p["a"], b))
 
         pairs = let(F.when(place.isNull() & (F.size(starts) > 0), closure(nodes, F.col("succ"))), lambda closed: F.flatten(F.transform(starts, lambda p: found(p, closed))))
