@@ -115,8 +115,10 @@ def nation_elements(spark: SparkSession, sf_dir: str, tobe: bool) -> DataFrame:
 def nation_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulation parameters per nation: customers are resources, order priorities tasks."""
     rows = _nation_orders(spark, sf_dir)
-    tasks = rows.groupBy("model_id", "c_mktsegment", "c_custkey", "c_name", "c_acctbal").agg(F.array_sort(F.collect_set(F.concat(F.lit("t_"), "o_orderpriority"))).alias("tasks"))
-    one = F.struct(F.col("c_custkey").alias("k"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("cost_per_hour"), F.lit(None).cast("bigint").alias("amount"), F.col("tasks").alias("assignedTasks"))
+    tasks = rows.groupBy("model_id", "c_mktsegment", "c_custkey", "c_name", "c_acctbal").agg(
+        F.array_sort(F.collect_set(F.concat(F.lit("t_"), "o_orderpriority"))).alias("tasks"), F.any_value("c_acctbal").alias("balance")
+    )  # a key of a group has lost the sign of a zero
+    one = F.struct(F.col("c_custkey").alias("k"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.when(F.col("balance") >= 0, F.col("balance")).alias("cost_per_hour"), F.lit(None).cast("bigint").alias("amount"), F.col("tasks").alias("assignedTasks"))
     listed = F.transform(F.array_sort(F.collect_list(one)), lambda r: F.struct(*(r[c].alias(c) for c in ("id", "name", "cost_per_hour", "amount", "assignedTasks"))))
     profiles = tasks.groupBy("model_id", F.col("c_mktsegment").alias("id")).agg(listed.alias("resource_list"))
     profiles = profiles.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("id", "resource_list"))).alias("resource_profiles"))
