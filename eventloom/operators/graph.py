@@ -3,6 +3,7 @@
 One exchange on the case builds everything up to ``case_graph``: rows of a case are
 grouped into layers of equal average rank, and a layer's edges go to the next layer
 if its rank is the next whole number (ranks leave gaps where start times are tied).
+The exchange has as many tasks as the log's rows ask for, and layers need one sort.
 
 Rows without a case or a start time have no rank; they are in no graph and no count, and
 ``rejects`` counts them.
@@ -18,9 +19,13 @@ from ..functions.values import let
 from ..sources.logs import split_rejects, stored
 
 CASE = ("log_name", "caseid")
+#: The same, in the order in which rows are told apart soonest.
+_KEYS = ("caseid", "log_name")
 _EDGES = "array<struct<src:string,dst:string>>"
 #: Bits of a word.
 _WORD = 64
+#: Rows of a log that one task sorts, on average.
+TASK_ROWS = 200_000
 
 
 def rejects(log: DataFrame) -> DataFrame:
@@ -29,12 +34,30 @@ def rejects(log: DataFrame) -> DataFrame:
     return log.groupBy("log_name").agg(F.count("*").alias("rows"), one("caseid"), one("start_timestamp"))
 
 
+def dealt(log: DataFrame) -> DataFrame:
+    """Rows of a log by case, in as many tasks as its rows ask for, so that a task's memory does not grow with the log."""
+    tasks = max(log.sparkSession.sparkContext.defaultParallelism, -(-log.count() // TASK_ROWS))
+    # A constant name would be left out of the keys of windows and groups, and these would deal the rows again.
+    name = F.coalesce(F.when(F.length("caseid") >= 0, F.col("log_name")), F.col("log_name"))
+    return log.withColumn("log_name", name).repartition(tasks, *CASE)
+
+
+def _by_time():
+    return Window.partitionBy(*_KEYS).orderBy(F.col("start_timestamp").asc_nulls_last())
+
+
+def _tied():
+    """Rows of a case of one time; a frame, not a partition, so that ranks need one sort."""
+    return _by_time().rangeBetween(Window.currentRow, Window.currentRow)
+
+
+def _rank() -> Column:
+    return F.floor(F.rank().over(_by_time()) + (F.count("*").over(_tied()) - 1) / 2)
+
+
 def avg_rank(log: DataFrame) -> DataFrame:
     """Adds ``rk``: the average rank of the start time in its case, cut to a whole number; null where either is missing."""
-    by_time = Window.partitionBy(*CASE).orderBy(F.col("start_timestamp").asc_nulls_last())
-    tied = Window.partitionBy(*CASE, "start_timestamp")
-    rank = F.floor(F.rank().over(by_time) + (F.count("*").over(tied) - 1) / 2)
-    return log.withColumn("rk", F.when(F.col("caseid").isNotNull() & F.col("start_timestamp").isNotNull(), rank))
+    return dealt(log).withColumn("rk", F.when(F.col("caseid").isNotNull() & F.col("start_timestamp").isNotNull(), _rank()))
 
 
 def order_case(log: DataFrame) -> DataFrame:
@@ -72,9 +95,10 @@ def layers(log: DataFrame) -> DataFrame:
 
     ``run`` is equal in layers whose ranks follow one another without a gap.
     """
-    by_rank = avg_rank(split_rejects(log)[0]).where("task is not null").groupBy(*CASE, "rk").agg(F.array_sort(F.collect_set("task")).alias("t"))
-    in_order = Window.partitionBy(*CASE).orderBy("rk")
-    placed = by_rank.select("*", F.lead(F.struct("rk", "t")).over(in_order).alias("nx"), (F.col("rk") - F.row_number().over(in_order)).alias("run"))
+    rows = dealt(split_rejects(log)[0].select(*CASE, "start_timestamp", "task"))
+    ranked = rows.select(*CASE, "start_timestamp", _rank().alias("rk"), F.collect_set("task").over(_tied()).alias("tasks"), (F.row_number().over(_by_time()) == F.rank().over(_by_time())).alias("first"))
+    by_rank = ranked.where(F.col("first") & (F.size("tasks") > 0)).select(*CASE, "start_timestamp", "rk", F.array_sort("tasks").alias("t"))
+    placed = by_rank.select("*", F.lead(F.struct("rk", "t")).over(_by_time()).alias("nx"), (F.col("rk") - F.row_number().over(_by_time())).alias("run"))
     return placed.select(*CASE, "rk", "run", "t", F.when(F.col("nx.rk") == F.col("rk") + 1, F.col("nx.t")).otherwise(F.array().cast("array<string>")).alias("after"))
 
 
@@ -104,7 +128,7 @@ def islands(spans: DataFrame) -> DataFrame:
     strongly connected part, and parts come one after another: a task can be reached from
     another if its place is no smaller.  A running maximum finds the parts, without a closure.
     """
-    by_lo = Window.partitionBy(*CASE).orderBy("lo")
+    by_lo = Window.partitionBy(*_KEYS).orderBy("lo")
     before = F.max("hi").over(by_lo.rowsBetween(Window.unboundedPreceding, -1))
     new = spans.withColumn("new", F.when(F.col("lo") <= before, 0).otherwise(1))
     return new.withColumn("place", F.sum("new").over(by_lo.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new")
@@ -117,12 +141,12 @@ def case_graph(log: DataFrame) -> DataFrame:
     its island (see ``islands``), null for a case with a gap or a layer of several tasks.
     """
     made = layers(log).select(*CASE, "rk", "run", (F.size("t") > 1).alias("wide"), F.explode("t").alias("task"), "after")
-    spans = made.groupBy(*CASE, "task").agg(
+    spans = made.groupBy(*_KEYS, "task").agg(
         F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.min("run").alias("first_run"), F.max("run").alias("last_run"), F.max("wide").alias("wide"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("after")))).alias("succ"),
     )
     listed = F.array_sort(F.collect_list(F.struct("task", "succ", "place")))
-    cases = islands(spans).groupBy(*CASE).agg(listed.alias("l"), ((F.min("first_run") == F.max("last_run")) & ~F.max("wide")).alias("plain"))
+    cases = islands(spans).groupBy(*_KEYS).agg(listed.alias("l"), ((F.min("first_run") == F.max("last_run")) & ~F.max("wide")).alias("plain"))
     pairs = lambda x: F.transform(x["succ"], lambda b: F.struct(x["task"].alias("src"), b.alias("dst")))
     return cases.select(*CASE, F.col("l.task").alias("nodes"), F.flatten(F.transform("l", pairs)).alias("edges"), F.col("l.succ").alias("succ"), F.when(F.col("plain"), F.col("l.place")).alias("place"))
 

@@ -1,11 +1,14 @@
 """Tables with what only large ones have: a zero with a sign, many models, many rows a task."""
 
 import os
+import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from eventloom.operators import graph
 
 from .test_queries import SF
 
@@ -34,3 +37,21 @@ def test_sign_of_zero_is_kept(spark, signed, name):
     want = sorted(tuple(str(r[there.index(c)]) for c in sorted(there)) for r in cur.fetchall())
     assert any("-0.0" in text for row in want for text in row)
     assert sorted(tuple(str(r[c]) for c in sorted(there)) for r in df.collect()) == want
+
+
+def test_tasks_of_a_log_grow_with_its_rows(spark, monkeypatch):
+    """A task of a graph has so many rows at most, on average, at every size of the log, and sorts them once for its layers."""
+    rows = spark.range(4000).select(F.lit("l").alias("log_name"), (F.col("id") / 4).cast("int").cast("string").alias("caseid"), (F.col("id") % 3).cast("string").alias("task"), F.timestamp_seconds(F.col("id") % 5).alias("start_timestamp"))
+    monkeypatch.setattr(graph, "TASK_ROWS", 100, raising=False)
+    for made in (graph.avg_rank(rows), graph.dfg(rows), graph.case_graph(rows)):
+        assert made.rdd.getNumPartitions() == 40
+    plan = graph.layers(rows)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bSort \[", plan)) == 1
+
+
+def test_layers_of_tied_rows(spark):
+    """Tied rows of one task, rows without a task, and a layer that has none are as before."""
+    made = [("l", "c", "A", 1), ("l", "c", "A", 1), ("l", "c", "B", 2), ("l", "c", None, 3), ("l", "c", "C", 4), ("l", "c", None, 4), ("l", "d", "A", 1), ("l", "d", "C", 1), ("l", "d", "B", 1), ("l", "d", "A", 4), ("l", "e", "A", None), ("l", None, "A", 1)]
+    log = spark.createDataFrame(made, "log_name string, caseid string, task string, at int").withColumn("start_timestamp", F.timestamp_seconds("at"))
+    got = sorted((r.caseid, r.rk, r.t, r.after) for r in graph.layers(log).collect())
+    assert got == [("c", 1, ["A"], []), ("c", 3, ["B"], []), ("c", 5, ["C"], []), ("d", 2, ["A", "B", "C"], []), ("d", 4, ["A"], [])]
