@@ -138,14 +138,15 @@ def nation_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.join(profiles, "model_id").join(dist, "model_id").join(gates, "model_id")
 
 
-def bpmn_text(flows_: DataFrame, elements_: DataFrame, gateways_: DataFrame) -> DataFrame:
-    """One model file's text per row: ``model_id, value``."""
-    line = lambda ordinal, text: F.struct(F.col(ordinal).alias("o"), text.alias("x"))
-    joined = lambda: F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda s: s["x"]), "")
-    e = elements_.select("model_id", line("ordinal", F.format_string('<%s id="%s" name="%s"/>', "tag", "element_id", "name")).alias("l")).groupBy("model_id").agg(joined().alias("e"))
-    g = gateways_.select("model_id", line("ordinal", F.format_string('<exclusiveGateway id="%s" gatewayDirection="%s"/>', "gateway_id", "direction")).alias("l")).groupBy("model_id").agg(joined().alias("g"))
-    f = flows_.select("model_id", line("ordinal", F.format_string('<sequenceFlow id="%s" sourceRef="%s" targetRef="%s"/>', "flow_id", "source_ref", "target_ref")).alias("l")).groupBy("model_id").agg(joined().alias("f"))
-    return e.join(g, "model_id").join(f, "model_id").select("model_id", F.concat(F.lit('<definitions><process id="'), "model_id", F.lit('">'), "e", "g", "f", F.lit("</process></definitions>")).alias("value"))
+def bpmn_processes(flows_: DataFrame, elements_: DataFrame, gateways_: DataFrame) -> DataFrame:
+    """One process per row, in the shape of its XML; parts are in document order."""
+    steps = lambda rows, part, **named: rows.select("model_id", F.struct("ordinal", F.struct(*(F.col(c).alias(f"_{a}") for a, c in named.items())).alias("x")).alias("l"), part.alias("part"))
+    listed = lambda part: F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.col("l")))), lambda s: s["x"])
+    tags = ("task", "userTask")
+    e = steps(elements_, F.col("tag"), id="element_id", name="name").groupBy("model_id").agg(*(listed(t).alias(t) for t in tags))
+    g = steps(gateways_, F.lit("g"), id="gateway_id", gatewayDirection="direction").groupBy("model_id").agg(listed("g").alias("exclusiveGateway"))
+    f = steps(flows_, F.lit("f"), id="flow_id", sourceRef="source_ref", targetRef="target_ref").groupBy("model_id").agg(listed("f").alias("sequenceFlow"))
+    return e.join(g, "model_id").join(f, "model_id").select(F.col("model_id").alias("_id"), *tags, "exclusiveGateway", "sequenceFlow")
 
 
 def stats_text(spark: SparkSession, sf_dir: str) -> DataFrame:

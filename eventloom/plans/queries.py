@@ -143,9 +143,7 @@ def s4(s, d):
 
 def _models(s, d) -> DataFrame:
     log = A.fleet_log(s, d)
-    path = L.scratch(s, "models")
-    A.bpmn_text(*A.model_parts(log)).withColumnRenamed("model_id", "model").write.partitionBy("model").text(path)
-    return S.read_models(s, path)
+    return S.read_models(s, S.write_models(A.bpmn_processes(*A.model_parts(log)), L.scratch(s, "models")))
 
 
 @query("S5_scan_flows", f"WITH RECURSIVE {_MODEL} SELECT model_id, ordinal::INT AS ordinal, flow_id, source_ref, target_ref FROM flows")

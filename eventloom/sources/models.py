@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 # Tags of named model elements, in the order in which they are read.
 ELEMENT_TAGS = ("task", "userTask", "serviceTask", "scriptTask", "manualTask", "businessRuleTask", "receiveTask", "sendTask", "callActivity", "startEvent", "endEvent")
 STATS_MARKER = "Individual task statistics"
+#: Models of one file at most.
+FILE_MODELS = 5_000
 
 _FLOW = "array<struct<_id:string,_sourceRef:string,_targetRef:string>>"
 _GATEWAY = "array<struct<_id:string,_gatewayDirection:string>>"
@@ -33,6 +35,12 @@ def read_models(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "process").option("ignoreNamespace", True).schema(schema).load(path).withColumnRenamed("_id", "model_id")
 
 
+def write_models(processes: DataFrame, path: str) -> str:
+    """Write processes as XML, thousands a file, so that files are few and none is large; as many as there are models would take most of the time."""
+    processes.write.format("xml").option("rootTag", "definitions").option("rowTag", "process").option("maxRecordsPerFile", FILE_MODELS).save(path)
+    return path
+
+
 def scan_flows(models: DataFrame) -> DataFrame:
     return models.select("model_id", F.posexplode("sequenceFlow").alias("ordinal", "f")).select("model_id", "ordinal", F.col("f._id").alias("flow_id"), F.col("f._sourceRef").alias("source_ref"), F.col("f._targetRef").alias("target_ref"))
 

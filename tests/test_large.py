@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from eventloom.operators import graph
+from eventloom.plans import queries
+from eventloom.sources import models
 
 from .test_queries import SF
 
@@ -55,3 +57,15 @@ def test_layers_of_tied_rows(spark):
     log = spark.createDataFrame(made, "log_name string, caseid string, task string, at int").withColumn("start_timestamp", F.timestamp_seconds("at"))
     got = sorted((r.caseid, r.rk, r.t, r.after) for r in graph.layers(log).collect())
     assert got == [("c", 1, ["A"], []), ("c", 3, ["B"], []), ("c", 5, ["C"], []), ("d", 2, ["A", "B", "C"], []), ("d", 4, ["A"], [])]
+
+
+def _files(df):
+    return len(df.inputFiles())
+
+
+def test_models_share_files(spark, monkeypatch):
+    """There are not as many files as models, and none with more models than fit one."""
+    monkeypatch.setattr(models, "FILE_MODELS", 4, raising=False)
+    processes = queries._models(spark, SF)
+    many = processes.count()
+    assert many > 8 and many / 4 <= _files(processes) < many / 2
