@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.logs import stored
 from .graph import CASE, trace_order
 
+#: Events of one file of traces, on average.
+FILE_EVENTS = 100_000
+
 
 def lifecycle_rows(log: DataFrame, one_timestamp: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """A start and a complete event for each row, or the latter alone for logs with one timestamp.
@@ -42,8 +46,14 @@ def trace_docs(events: DataFrame, numbers: dict[str, str] | None = None) -> Data
 
 
 def write_traces(docs: DataFrame, path: str) -> str:
-    """Write trace documents as XML, in the order of their case ids as text."""
-    docs.orderBy(F.get("string", F.lit(0))["_value"]).write.format("xml").option("rootTag", "log").option("rowTag", "trace").save(path)
+    """Write trace documents as XML, in the order of their case ids as text.
+
+    A file is read by one task, so there are as many as the events ask for; the documents are made once.
+    """
+    made = stored(docs, "traces")
+    files = max(1, -(-(made.agg(F.sum(F.size("event"))).first()[0] or 0) // FILE_EVENTS))
+    case = F.get("string", F.lit(0))["_value"]
+    made.repartitionByRange(files, case).sortWithinPartitions(case).write.format("xml").option("rootTag", "log").option("rowTag", "trace").save(path)
     return path
 
 

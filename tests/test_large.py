@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from eventloom.operators import graph
+from eventloom.operators import export, graph
 from eventloom.plans import queries
 from eventloom.sources import models
 
@@ -69,3 +69,14 @@ def test_models_share_files(spark, monkeypatch):
     processes = queries._models(spark, SF)
     many = processes.count()
     assert many > 8 and many / 4 <= _files(processes) < many / 2
+
+
+def test_files_of_traces_grow_with_events(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(export, "FILE_EVENTS", 100, raising=False)
+    docs = queries._traces(spark, SF)
+    events = docs.selectExpr("sum(size(event))").first()[0]
+    back = export.read_traces(spark, export.write_traces(docs, f"file://{tmp_path}/xes"))
+    assert _files(back) >= events / 200 > 8
+    assert back.selectExpr("sum(size(event))").first()[0] == events
+    names = [r.name for r in back.select("_metadata.file_path", F.col("string")[0]["_value"].alias("name")).orderBy("file_path", F.monotonically_increasing_id()).collect()]
+    assert names == sorted(names)
