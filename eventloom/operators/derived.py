@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.logs import stored
 from .graph import CASE, case_counts, case_graph, conform, conform_stats, dfg
 
 
@@ -25,15 +26,15 @@ def sample_to_share(checked: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``=p`` is the target p, ``+p`` the observed share plus p (an assumption), at most 1.  As many
     cases as can be are kept: of the conforming or of the other cases the first ones in
-    hash order.  The place of a case in that order comes from counts per hash bucket, so
-    no rule's cases are sorted in one task.
+    hash order, by bucket of the hash.  Counts per bucket tell at which one a rule's limit falls: those
+    before it are kept whole, and only its own cases are ordered, so the rows are neither sorted nor shuffled.
     """
     buckets = 4096
     h = F.xxhash64("caseid")
     rows = checked.withColumn("ok", F.coalesce("ok", F.lit(False))).withColumn("h", h).withColumn("bucket", F.pmod(h, F.lit(buckets)))
-    sizes = rows.groupBy("log_name", "rule_id", "ok", "bucket").agg(F.count("*").alias("n"))
+    sizes = stored(rows.groupBy("log_name", "rule_id", "ok", "bucket").agg(F.count("*").alias("n")), "sizes")
     before = F.sum("n").over(Window.partitionBy("log_name", "rule_id", "ok").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
+    starts = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
     totals = sizes.groupBy("log_name", "rule_id").agg(F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("total"))
     p = F.when(F.col("variation_op") == "=", F.col("variation_value")).when(F.col("variation_op") == "+", F.least(F.lit(1.0), F.col("good") / F.col("total") + F.col("variation_value")))
     bad = F.col("total") - F.col("good")
@@ -43,9 +44,20 @@ def sample_to_share(checked: DataFrame, rules: DataFrame) -> DataFrame:
         F.when(F.col("p") >= 1, F.col("good")).otherwise(F.least(F.col("good"), F.floor(bad * F.col("p") / (1 - F.col("p")) + 1e-9))).alias("keep_good"),
         F.when(F.col("p") <= 0, bad).otherwise(F.least(bad, F.floor(F.col("good") * (1 - F.col("p")) / F.col("p") + 1e-9))).alias("keep_bad"),
     )
-    place = F.row_number().over(Window.partitionBy("log_name", "rule_id", "ok", "bucket").orderBy("h", "caseid"))
-    placed = rows.withColumn("place", place).join(starts, ["log_name", "rule_id", "ok", "bucket"]).join(limits, ["log_name", "rule_id"])
-    return placed.where(F.col("before") + F.col("place") <= F.when(F.col("ok"), F.col("keep_good")).otherwise(F.col("keep_bad"))).select("log_name", "rule_id", "caseid", "ok")
+    keep = F.when(F.col("ok"), F.col("keep_good")).otherwise(F.col("keep_bad"))
+    passed = F.when(F.col("before") + F.col("n") > keep, F.struct(F.col("bucket").alias("cut"), (keep - F.col("before")).alias("rest")))
+    cuts = starts.join(limits, ["log_name", "rule_id"]).groupBy("log_name", "rule_id", "ok").agg(F.min(passed).alias("at"))
+    cuts = stored(cuts.select("log_name", "rule_id", "ok", "at.cut", "at.rest"), "cuts")
+    key = ["log_name", "rule_id", "ok"]
+    whole = rows.join(cuts, key).where("cut is null or bucket < cut")
+    # Cases of other buckets are left out before anything is asked about them.
+    open_ = cuts.where("rest > 0")
+    near = checked.join(open_.select(F.col("cut").alias("open")).distinct(), F.pmod(h, F.lit(buckets)) == F.col("open"), "left_semi")
+    edge = near.withColumn("ok", F.coalesce("ok", F.lit(False))).withColumn("h", h).join(open_, key).where(F.pmod("h", F.lit(buckets)) == F.col("cut"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("h", "caseid"))
+    edge = edge.withColumn("place", place).where("place <= rest")
+    out = ["log_name", "rule_id", "caseid", "ok"]
+    return whole.select(*out).union(edge.select(*out))
 
 
 def dfg_frequency(log: DataFrame) -> DataFrame:

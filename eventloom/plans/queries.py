@@ -768,7 +768,7 @@ def r2(s, d):
 def r3(s, d):
     log = A.events_log(s, d)
     rules = _parsed(log)
-    kept = D.sample_to_share(G.conform(G.case_graph(log), rules), rules)
+    kept = D.sample_to_share(G.conform(L.stored(G.case_graph(log), "graphs"), rules), rules)
     return kept.groupBy("rule_id").agg(F.count_if("ok").alias("n_good"), F.count_if(~F.col("ok")).alias("n_bad"))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from eventloom.operators import export, graph
+from eventloom.operators import derived, export, graph
 from eventloom.plans import queries
 from eventloom.sources import models
 
@@ -80,3 +80,17 @@ def test_files_of_traces_grow_with_events(spark, monkeypatch, tmp_path):
     assert back.selectExpr("sum(size(event))").first()[0] == events
     names = [r.name for r in back.select("_metadata.file_path", F.col("string")[0]["_value"].alias("name")).orderBy("file_path", F.monotonically_increasing_id()).collect()]
     assert names == sorted(names)
+
+
+def test_sample_at_the_limit(spark):
+    """Kept are the first cases by bucket and hash, and the rows are not sorted to find them."""
+    checked = spark.range(20000).select(F.lit("l").alias("log_name"), F.lit("r").alias("rule_id"), F.col("id").cast("string").alias("caseid"), F.when(F.col("id") % 7 > 0, F.col("id") % 3 == 0).alias("ok"))
+    rules = spark.createDataFrame([("l", "r", "=", 0.6)], "log_name string, rule_id string, variation_op string, variation_value double")
+    made = derived.sample_to_share(checked, rules)
+    got = {(r.caseid, r.ok) for r in made.collect()}
+    h = F.xxhash64("caseid")
+    order = lambda ok: [r.caseid for r in checked.where(F.coalesce("ok", F.lit(False)) == ok).orderBy(F.pmod(h, F.lit(4096)), h, "caseid").collect()]
+    good, bad = order(True), order(False)
+    n = int(len(good) * 0.4 / 0.6 + 1e-9)
+    assert got == {(c, True) for c in good} | {(c, False) for c in bad[:n]}
+    assert "Union" in made._jdf.queryExecution().optimizedPlan().toString()
