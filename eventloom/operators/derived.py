@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.logs import stored
-from .graph import CASE, case_counts, case_graph, conform, conform_stats, dfg
+from .graph import CASE, case_counts, case_graph, conform, dfg, log_stats
 
 
 def task_durations(log: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def dfg_frequency(log: DataFrame) -> DataFrame:
 
 def rule_screen(log: DataFrame, rules: DataFrame) -> DataFrame:
     """Observed share of every rule on its log, its target and the gap."""
-    stats = conform_stats(case_graph(log), rules, case_counts(log))
+    stats = log_stats(log, rules, case_counts(log))
     share = F.col("positive") / F.col("total")
     target = F.when(F.col("variation_op") == "=", F.col("variation_value")).when(F.col("variation_op") == "+", F.least(F.lit(1.0), share + F.col("variation_value")))
     return stats.join(rules.select("log_name", "rule_id", "variation_op", "variation_value"), ["log_name", "rule_id"]).select("log_name", "rule_id", "positive", "total", share.alias("share"), target.alias("target"), (target - share).alias("gap"))
@@ -80,7 +80,7 @@ def share_compare(asis: DataFrame, tobe: DataFrame, rules: DataFrame) -> DataFra
     def one(log: DataFrame, name: str) -> DataFrame:
         asked = rules.select("rule_id", "rule_type", "path").dropDuplicates(["rule_id"]).withColumn("log_name", F.lit(name))
         named = log.withColumn("log_name", F.lit(name))
-        stats = conform_stats(case_graph(named), asked, case_counts(named))
+        stats = log_stats(named, asked, case_counts(named))
         return stats.select("rule_id", F.col("positive").alias(f"{name}_cases"), F.col("total").alias(f"{name}_total"), (F.col("positive") / F.col("total")).alias(f"{name}_share"))
 
     return one(asis, "asis").join(one(tobe, "tobe"), "rule_id", "full_outer")

@@ -416,7 +416,7 @@ def _conform(name: str, kind: str) -> None:
     def run(s, d):
         log = A.lineitem_log(s, d)
         rules = _parsed(log).where(F.col("rule_type") == kind)
-        return G.conform_stats(G.case_graph(log), rules).drop("log_name")
+        return G.log_stats(log, rules).drop("log_name")
 
     query(name, sql)(run)
 
@@ -443,14 +443,14 @@ def g10(s, d):
 @query("G11_conform_stats", f"WITH RECURSIVE {_EV}, {_graph('ev')}, {_rules('ev')}, {_CHECKED} SELECT log_name, rule_id, count(*) FILTER (WHERE ok) AS positive, count(*) AS total FROM checked GROUP BY ALL")
 def g11(s, d):
     log = A.events_log(s, d)
-    return G.conform_stats(G.case_graph(log), _parsed(log), G.case_counts(log))
+    return G.log_stats(log, _parsed(log), G.case_counts(log))
 
 
 @query("G11_conform_ragged", f"WITH RECURSIVE {_RG}, {_graph('ok')}, {_rules('ok')}, {_CHECKED} SELECT rule_id, count(*) FILTER (WHERE ok) AS positive, count(*) AS total FROM checked GROUP BY ALL")
 def g11_ragged(s, d):
     """Rules over a log that has rows without a case or a start time."""
     log = A.ragged_log(s, d)
-    return G.conform_stats(G.case_graph(log), _parsed(log), G.case_counts(log)).drop("log_name")
+    return G.log_stats(log, _parsed(log), G.case_counts(log)).drop("log_name")
 
 
 # ---- models and branches

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from eventloom.functions import rules
 from eventloom.operators import derived, export, graph
 from eventloom.plans import queries
 from eventloom.sources import models
@@ -59,6 +60,48 @@ def test_layers_of_tied_rows(spark):
     assert got == [("c", 1, ["A"], []), ("c", 3, ["B"], []), ("c", 5, ["C"], []), ("d", 2, ["A", "B", "C"], []), ("d", 4, ["A"], [])]
 
 
+def _tied_log(spark):
+    """Cases with and without ties, some with gaps, and some rows without a task."""
+    h = lambda n: F.xxhash64("id", F.lit(n))
+    task = F.when(F.pmod(h(1), F.lit(9)) > 0, F.pmod(h(2), F.lit(5)).cast("string"))
+    return spark.range(3000).select(F.lit("l").alias("log_name"), (F.col("id") / 6).cast("int").cast("string").alias("caseid"), task.alias("task"), F.timestamp_seconds(F.pmod(h(3), F.lit(30))).alias("start_timestamp"))
+
+
+_PATHS = {"eventually": "{} >> * >> {}", "directly": "{} >> {}", "required": "{}", "not_allowed": "^{}", "long": "{} >> {} >> 3"}
+
+
+def _rules_of(spark, *kinds):
+    paths = sorted({_PATHS[kind].format(a, b) for kind in kinds for a in range(6) for b in range(6)})
+    return rules.parse(spark.createDataFrame([("l", p, p, None) for p in paths], "log_name string, rule_id string, raw_path string, raw_variation string"))
+
+
+@pytest.mark.parametrize("kinds", [*((k,) for k in _PATHS), tuple(_PATHS)], ids="-".join)
+def test_graphs_are_made_once(spark, kinds):
+    """Counts of cases come from the graphs that rules are counted on, not from a second making of these."""
+    log, table = _tied_log(spark), _rules_of(spark, *kinds)
+    told = graph.conform_stats(graph.case_graph(log), table)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    checked = graph.conform(graph.case_graph(log), table).groupBy("rule_id").agg(F.count_if("ok").alias("positive"), F.count("*").alias("total"))
+    want = sorted(map(tuple, checked.collect()))
+    rows = lambda df: sorted(map(tuple, df.select("rule_id", "positive", "total").collect()))
+    assert rows(told) == want and any(r[1] for r in want)
+    assert rows(graph.log_stats(log, table)) == rows(graph.log_stats(log, table, graph.case_counts(log).where("total > 0"))) == want
+
+
+def test_parts_of_graphs(spark):
+    """Nodes alone ask for no ranks, edges alone for one sort, and each part is that of the whole graph."""
+    log = _tied_log(spark)
+    whole = {r.caseid: r for r in graph.case_graph(log).collect()}
+    assert {r.place is None for r in whole.values()} == {True, False}
+    for parts, nulls in (((), ()), (("edges",), ()), (("succ", "place"), ("succ",))):
+        got = {r.caseid: r for r in graph.case_graph(log, parts).collect()}
+        assert got.keys() == whole.keys()
+        for case, r in got.items():
+            assert all(r[p] == whole[case][p] for p in ("nodes", *parts) if not (p in nulls and r.place is not None))
+    plan = lambda *parts: graph.case_graph(log, parts)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan() and len(re.findall(r"\bSort \[", plan("edges"))) == 1
+
+
 def _files(df):
     return len(df.inputFiles())
 
