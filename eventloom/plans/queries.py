@@ -402,7 +402,7 @@ def g2(s, d):
 
 @query("G3_case_nodes", f"WITH {_LI}, {_graph('li')} SELECT caseid, string_agg(task, '|' ORDER BY task) AS nodes FROM node GROUP BY 1")
 def g3(s, d):
-    return G.case_graph(A.lineitem_log(s, d)).select("caseid", _text("nodes").alias("nodes"))
+    return G.case_graph(A.lineitem_log(s, d), ()).select("caseid", _text("nodes").alias("nodes"))
 
 
 @query("G4_case_edges", f"WITH {_LI}, {_graph('li')} SELECT caseid, string_agg(src || '>' || dst, '|' ORDER BY src, dst) AS edges FROM (SELECT DISTINCT caseid, src, dst FROM edge) GROUP BY 1")
