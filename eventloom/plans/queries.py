@@ -407,7 +407,7 @@ def g3(s, d):
 
 @query("G4_case_edges", f"WITH {_LI}, {_graph('li')} SELECT caseid, string_agg(src || '>' || dst, '|' ORDER BY src, dst) AS edges FROM (SELECT DISTINCT caseid, src, dst FROM edge) GROUP BY 1")
 def g4(s, d):
-    return G.case_graph(A.lineitem_log(s, d)).where(F.size("edges") > 0).select("caseid", _text(F.transform("edges", lambda e: F.concat_ws(">", e["src"], e["dst"]))).alias("edges"))
+    return G.case_graph(A.lineitem_log(s, d), ("edges",)).where(F.size("edges") > 0).select("caseid", _text(F.transform("edges", lambda e: F.concat_ws(">", e["src"], e["dst"]))).alias("edges"))
 
 
 def _conform(name: str, kind: str) -> None:
