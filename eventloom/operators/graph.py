@@ -39,8 +39,17 @@ def rejects(log: DataFrame) -> DataFrame:
 
 
 def dealt(log: DataFrame) -> DataFrame:
-    """Rows of a log by case, in as many tasks as its rows ask for, so that a task's memory does not grow with the log."""
-    tasks = max(log.sparkSession.sparkContext.defaultParallelism, -(-log.count() // TASK_ROWS))
+    """Rows of a log by case, in as many tasks as its rows ask for, so that a task's memory does not grow with the log.
+
+    Up to ``direct`` parts are written row by row. For more, a task that reads the log would hold all its rows to sort them
+    by part, so these are first dealt to ``direct`` parts, each of which is then dealt to its own share of the tasks.
+    """
+    sc = log.sparkSession.sparkContext
+    tasks = max(sc.defaultParallelism, -(-log.count() // TASK_ROWS))
+    direct = int(sc.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    if tasks > direct > 0:
+        tasks = -(-tasks // direct) * direct
+        log = log.repartition(direct, *CASE)
     # A constant name would be left out of the keys of windows and groups, and these would deal the rows again.
     name = F.coalesce(F.when(F.length("caseid") >= 0, F.col("log_name")), F.col("log_name"))
     return log.withColumn("log_name", name).repartition(tasks, *CASE)

@@ -52,6 +52,21 @@ def test_tasks_of_a_log_grow_with_its_rows(spark, monkeypatch):
     assert len(re.findall(r"\bSort \[", plan)) == 1
 
 
+@pytest.mark.parametrize("name", ["G6_rule_not_allowed"])
+def test_rules_of_a_large_log(spark, monkeypatch, name):
+    """Tasks grow with the log; more than a task writes without a sort are dealt in two steps, with the same counts."""
+    query, rows = entry.queries()[name], spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    parts = lambda df: [int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString())]
+    want = query(spark, SF).collect()
+    monkeypatch.setattr(graph, "TASK_ROWS", 100, raising=False)
+    assert parts(query(spark, SF)) == [-(-rows // 100)]
+    monkeypatch.setattr(graph, "TASK_ROWS", 20, raising=False)
+    told = query(spark, SF)
+    last, first = parts(told)
+    assert first == 200 and last >= rows / 20 > 200 and last % first == 0
+    assert sorted(told.collect()) == sorted(want)
+
+
 def test_layers_of_tied_rows(spark):
     """Tied rows of one task, rows without a task, and a layer that has none are as before."""
     made = [("l", "c", "A", 1), ("l", "c", "A", 1), ("l", "c", "B", 2), ("l", "c", None, 3), ("l", "c", "C", 4), ("l", "c", None, 4), ("l", "d", "A", 1), ("l", "d", "C", 1), ("l", "d", "B", 1), ("l", "d", "A", 4), ("l", "e", "A", None), ("l", None, "A", 1)]
