@@ -52,7 +52,7 @@ def test_tasks_of_a_log_grow_with_its_rows(spark, monkeypatch):
     assert len(re.findall(r"\bSort \[", plan)) == 1
 
 
-@pytest.mark.parametrize("name", ["G6_rule_not_allowed"])
+@pytest.mark.parametrize("name", ["G6_rule_not_allowed", "G7_rule_directly"])
 def test_rules_of_a_large_log(spark, monkeypatch, name):
     """Tasks grow with the log; more than a task writes without a sort are dealt in two steps, with the same counts."""
     query, rows = entry.queries()[name], spark.read.parquet(f"{SF}/lineitem.parquet").count()
