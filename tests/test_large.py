@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from eventloom.functions import rules
 from eventloom.operators import derived, export, graph
-from eventloom.plans import queries
+from eventloom.plans import adapters, queries
 from eventloom.sources import models
 
 from .test_queries import SF
@@ -67,6 +67,23 @@ def test_rules_of_a_large_log(spark, monkeypatch, name):
     assert sorted(told.collect()) == sorted(want)
 
 
+def test_rows_of_a_task_at_eight_times(spark, monkeypatch, tmp_path):
+    """A log of eight copies, dealt in two steps, has no more rows a task than one copy, and G7 counts eight times as many."""
+    copies = "SELECT l.* REPLACE (l_orderkey + k * 1000000 AS l_orderkey) FROM '{}/lineitem.parquet' l, range({}) t(k)"
+    for n in (1, 8):
+        (tmp_path / f"x{n}").mkdir()
+        duckdb.execute(f"COPY ({copies.format(SF, n)}) TO '{tmp_path}/x{n}/lineitem.parquet' (FORMAT parquet)")
+    monkeypatch.setattr(graph, "TASK_ROWS", 200, raising=False)
+    most, told = {}, {}
+    for n in (1, 8):
+        folder = os.fspath(tmp_path / f"x{n}")
+        layers = graph.layers(adapters.lineitem_log(spark, folder))
+        most[n] = layers.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        told[n] = sorted((r.rule_id, r.positive, r.total) for r in entry.queries()["G7_rule_directly"](spark, folder).collect())
+    assert most[8] <= 1.5 * most[1]
+    assert told[8] == [(rule, 8 * positive, 8 * total) for rule, positive, total in told[1]] and any(r[1] for r in told[1])
+
+
 def test_layers_of_tied_rows(spark):
     """Tied rows of one task, rows without a task, and a layer that has none are as before."""
     made = [("l", "c", "A", 1), ("l", "c", "A", 1), ("l", "c", "B", 2), ("l", "c", None, 3), ("l", "c", "C", 4), ("l", "c", None, 4), ("l", "d", "A", 1), ("l", "d", "C", 1), ("l", "d", "B", 1), ("l", "d", "A", 4), ("l", "e", "A", None), ("l", None, "A", 1)]
